@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup
+from . import common, exact_dedup, language_id
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,7 +12,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.owners(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_id.identify(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op10_language_id": op10_language_id,
+}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
