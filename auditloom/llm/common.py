@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.scratch import cut, shared_dir, written  # noqa: F401
+
 #: The whitespace of all contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of whole texts handed to Python at once; Spark also bounds a batch by bytes.
@@ -20,24 +19,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="auditloom-")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: later steps start from it, also after lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """The text as a string, null as the empty one."""
     return F.coalesce(df[name].cast("string"), F.lit(""))
