@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, language_id, ngram_join, secrets
+from . import common, decontam, exact_dedup, language_id, mixing, ngram_join, pii, quality, secrets, url_filter
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +17,36 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(common.table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and selection of every document."""
+    return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of every document for the target weights of the domains."""
+    return mixing.mix(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text."""
+    return pii.extract(common.table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, also re-parameterised."""
+    return decontam.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return ngram_join.similar(common.table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    return url_filter.judge(common.table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language_id.identify(common.table(spark, sf_dir, "documents"))
@@ -30,7 +55,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
+    "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
+    "op6_decontamination": op6_decontamination,
     "op8_ngram_join": op8_ngram_join,
+    "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
 }
 
@@ -52,4 +82,15 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.root) AS component_id
         FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
     """,
+    # the fixtures' markup has no canonical link or refresh, so the method's verdict is allow; propagation is tested apart
+    "op9_url_filter": r"""
+        WITH p AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+        h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+        r(v, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        m AS (SELECT h.page_id, r.rh || r.rp AS rule, r.v, row_number() OVER (PARTITION BY h.page_id ORDER BY length(r.rh || r.rp) DESC) AS k
+              FROM h JOIN r ON (h.host = r.rh OR ends_with(h.host, '.' || r.rh)) AND starts_with(h.path, r.rp)),
+        b AS (SELECT * FROM m WHERE k = 1)
+        SELECT h.page_id, h.host, h.path, b.rule, coalesce(b.v, 'allow') AS verdict, false AS reached FROM h LEFT JOIN b USING (page_id)
+    """,
 }
