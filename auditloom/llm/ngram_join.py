@@ -216,22 +216,62 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 20_000) -> Iterator[pa.Table]:
+    """Rows sorted by key, in tables that no run of equal keys is cut by."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(key).to_numpy()
+        if rows >= least and (keys[0] != held[-1].column(key)[held[-1].num_rows - 1].as_py() or keys[0] != keys[-1]):
+            cut = int(np.argmax(keys != held[-1].column(key)[held[-1].num_rows - 1].as_py()))
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held, rows = [b.slice(cut)], b.num_rows - cut
+        else:
+            held.append(b)
+            rows += b.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _forest(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of the pairs that each signature's tree can't exclude."""
+    """Spanning edges of the pairs that each signature's tree can't exclude.
+
+    Near copies share many signatures: trees of the same members are built once. Of two members the bound itself is the tree.
+    """
     out: set[tuple[int, int]] = set()
-    for t in runs(batches, ["sig"]):
-        ids, n = t["rep"].to_numpy(), t["n"].to_numpy()
-        if len(ids) < 2:
-            continue
-        points = unpacked(t["point"].to_pylist())
-        tree, labels = CountTree(points, n, num, den), Labels(len(ids))
-        for i in range(len(ids)):
-            near = tree.search(points[i], int(n[i]))
-            near = near[labels.of[near] != labels.of[i]]
-            if len(near):
-                _, first = np.unique(labels.of[near], return_index=True)
-                out.update((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in near[first])
-                labels.join(i, near)
+    seen: set[bytes] = set()
+    for t in _whole_runs(batches, "sig"):
+        sig, ids, n = t["sig"].to_numpy(), t["rep"].to_numpy(), t["n"].to_numpy()
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        sizes = np.diff(np.append(starts, len(sig)))
+        raw = t["point"].to_pylist()
+        two = starts[sizes == 2]
+        if len(two):
+            lo, hi = np.minimum(ids[two], ids[two + 1]), np.maximum(ids[two], ids[two + 1])
+            _, first = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
+            two = two[first]
+            bound = np.minimum(unpacked([raw[i] for i in two]), unpacked([raw[i + 1] for i in two])).sum(axis=1, dtype=np.int64)
+            ok = bound * (num + den) >= num * (n[two] + n[two + 1])
+            out.update(zip(lo[first][ok].tolist(), hi[first][ok].tolist(), strict=True))
+        for a, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            order = a + np.argsort(ids[a : a + size], kind="stable")
+            mark = xxhash.xxh3_128_digest(ids[order].tobytes())
+            if mark in seen:
+                continue
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.add(mark)
+            i_ids, i_n, points = ids[order], n[order], unpacked([raw[i] for i in order])
+            tree, labels = CountTree(points, i_n, num, den), Labels(size)
+            for i in range(size):
+                near = tree.search(points[i], int(i_n[i]))
+                near = near[labels.of[near] != labels.of[i]]
+                if len(near):
+                    _, first = np.unique(labels.of[near], return_index=True)
+                    out.update((int(min(i_ids[i], i_ids[j])), int(max(i_ids[i], i_ids[j]))) for j in near[first])
+                    labels.join(i, near)
         if len(out) > 50_000:
             yield _pairs(out)
             out = set()
