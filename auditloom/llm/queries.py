@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontam, exact_dedup, language_id, mixing, ngram_join, pii, quality, secrets, url_filter
+from . import common, decontam, exact_dedup, hpylm, language_id, mixing, ngram_join, pii, quality, secrets, url_filter
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every whole text, learned from the documents outside the fold 2 of 7."""
+    docs = common.table(spark, sf_dir, "documents")
+    return hpylm.score(docs, common.id_mod(docs["doc_id"], 7) != 2)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return ngram_join.similar(common.table(spark, sf_dir, "documents"), 3, 90, 100)
@@ -59,6 +65,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
+    "op7_lm_score": op7_lm_score,
     "op8_ngram_join": op8_ngram_join,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
