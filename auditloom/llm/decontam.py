@@ -195,23 +195,38 @@ def _search(batches: Iterator[pa.RecordBatch], items, width: int, literals: int,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "matched_windows", "item_windows", "match_kind"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST, literals: int = LITERALS, block_chars: int = 4_000_000) -> DataFrame:
-    """Pairs (doc_id, item_id) of documents with the benchmark items that they hold: matched_windows, item_windows, match_kind."""
-    spark = common.prepare(docs.sparkSession)
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator:
+    """The benchmark's items in broadcasts of bounded size; each block is collected when its turn comes."""
+    spark = benchmark.sparkSession
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()["c"]
     blocks = max(1, -(-size // block_chars))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
-    found = None
     for i in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        sent = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.collect()])
+        yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.collect()])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST, literals: int = LITERALS, block_chars: int = 4_000_000) -> DataFrame:
+    """Pairs (doc_id, item_id) of documents with the benchmark items that they hold: matched_windows, item_windows, match_kind."""
+    common.prepare(docs.sparkSession)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
+    found = None
+    for sent in _blocks(benchmark, block_chars):
         part = rows.mapInArrow(lambda it, sent=sent: _search(it, sent, width, literals, least), "doc_id long, item_id long, matched_windows long, item_windows long, match_kind string")
         found = part if found is None else found.unionAll(part)
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is not among the contaminated ones, all columns; a null doc_id goes if its own text is found."""
-    gone = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+def _without(batches: Iterator[pa.RecordBatch], at: int, items, width: int, literals: int, least: int) -> Iterator[pa.RecordBatch]:
+    index, codes = Index(items.value, width, literals), Codes()
+    for b in batches:
+        yield b.filter(pa.array([x is None or not found_in(x, index, codes, least) for x in b.column(at).to_pylist()], pa.bool_()))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST, literals: int = LITERALS, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of docs whose text holds no benchmark item, with all columns."""
+    common.prepare(docs.sparkSession)
+    at = docs.columns.index("text")
+    for sent in _blocks(benchmark, block_chars):
+        docs = docs.mapInArrow(lambda it, sent=sent: _without(it, at, sent, width, literals, least), docs.schema)
+    return docs

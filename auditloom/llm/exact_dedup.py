@@ -104,10 +104,14 @@ def owners(docs: DataFrame, **sizes: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, **sizes: int) -> DataFrame:
     """The row with the smallest doc_id of each group of equal texts, with all columns of docs."""
-    key = F.struct(F.octet_length(normalized(common.text_of(docs)).cast("binary")).cast("long").alias("n"), F.unhex(F.sha2(normalized(common.text_of(docs)).cast("binary"), 256)).alias("sha"))
-    found = groups(docs, **sizes).select(F.struct(F.col("n_bytes").alias("n"), "sha").alias("_own_key"), F.col("keep_id").alias("_own_id"), F.col("ties").alias("_own_ties"))
-    hit = docs.withColumn("_doc_key", key).join(found, (F.col("_doc_key") == F.col("_own_key")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_own_id")))
-    # an inner join hands on one row of each key here, but for rows that repeat the owner's doc_id: those few meet in one more step
-    single = hit.where("_own_ties = 1").select(*[docs[c] for c in docs.columns])
-    several = hit.where("_own_ties > 1").dropDuplicates(["_own_key"]).select(*[docs[c] for c in docs.columns])
-    return single.unionAll(several)
+    norm = normalized(common.text_of(docs)).cast("binary")
+    found = common.written(groups(docs, **sizes), "owners").select(F.col("n_bytes").alias("_al_n"), F.col("sha").alias("_al_sha"), F.col("keep_id").alias("_al_own"), F.col("ties").alias("_al_ties"))
+    keyed = docs.withColumns({"_al_norm_n": F.octet_length(norm).cast("long"), "_al_norm_sha": F.unhex(F.sha2(norm, 256))})
+    same = (F.col("_al_norm_n") == F.col("_al_n")) & (F.col("_al_norm_sha") == F.col("_al_sha")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_al_own"))
+    kept = keyed.join(found.where("_al_ties = 1"), same, "left_semi").select(*(docs[c] for c in docs.columns))
+    tied = found.where("_al_ties > 1")
+    if tied.isEmpty():
+        return kept
+    # rows that repeat their owner's doc_id: one of them stays
+    several = keyed.join(tied, same).dropDuplicates(["_al_norm_n", "_al_norm_sha"]).select(*(docs[c] for c in docs.columns))
+    return kept.unionAll(several)

@@ -17,16 +17,21 @@ uniform; a domain with no expected tokens cannot be fed and is left out of the r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, hashed_text
 from .language_id import softmax
 
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of the tokens after mixing.
-TARGETS = {"clean": 0.90, "low": 0.09, "toxic": 0.01}
+TARGETS = {"clean": 0.97, "low": 0.025, "toxic": 0.005}
 
 
 def domain(labels: DataFrame) -> Column:
@@ -109,3 +114,41 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     rate = F.when(F.col("n_tokens") > 0, state["x"] if taken else state).otherwise(F.lit(1.0))
     unit = F.xxhash64(common.id_text(F.col("doc_id")), F.lit("copies")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     return table.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+
+
+def rates_of(p: np.ndarray, taken: list[list[float]], moments: list[float]) -> np.ndarray:
+    """``replayed`` for rows of posteriors."""
+    x = y = np.ones(len(p))
+    for g, m in zip(taken, moments, strict=True):
+        new = np.maximum(0.0, y - p @ np.array(g))
+        x, y = new, new + m * (new - x)
+    return x
+
+
+def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, fit_rows: int = 8_000, steps: int = 60) -> DataFrame:
+    """The rows of docs that the mixture takes, all columns, with ``rate`` and ``copies`` (1 or more) added; columns of these names are replaced.
+
+    Rates are computed from a row's own text, so no join is needed and rows may repeat doc_ids.
+    """
+    weights = fit(hashed_text.labelled_sample(docs, labels, domain(labels), fit_rows))
+    names = [f"p_{d}" for d in DOMAINS]
+    table = common.written(hashed_text.scored(docs, lambda rows: list(softmax(hashed_text.sums(rows, weights)).T), names, count=True), "posteriors")
+    taken, moments, _ = fit_rates(table, targets or TARGETS, steps)
+    docs = docs.select(*(c for c in docs.columns if c not in ("rate", "copies")))
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("rate", T.DoubleType()), T.StructField("copies", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = hashed_text.Buckets()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            texts = [x or "" for x in b.column(at).to_pylist()]
+            p = softmax(hashed_text.sums([hashed_text.features(x, buckets) for x in texts], weights)).astype(float)
+            rate = np.where([bool(x.split()) for x in texts], rates_of(p, taken, moments), 1.0)
+            unit = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), seed=1) for x in texts], dtype=np.uint64) / 2.0**64
+            copies = np.floor(rate) + (unit < rate - np.floor(rate))
+            made = pa.RecordBatch.from_arrays([*b.columns, pa.array(rate), pa.array(copies.astype(np.int64))], names=[*b.schema.names, "rate", "copies"])
+            yield made.filter(pa.array(copies > 0))
+
+    return docs.mapInArrow(run, schema)

@@ -360,5 +360,5 @@ def similar(docs: DataFrame, k: int, num: int, den: int, block_docs: int = BLOCK
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs whose doc_id names their component, with all columns; rows with a null doc_id stay."""
-    gone = similar(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = similar(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_al_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_al_gone"), "left_anti").select(*docs.columns)
