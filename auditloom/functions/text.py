@@ -85,4 +85,4 @@ def capital_first(x: Column) -> Column:
 def last_modified_ts(x: Column) -> Column:
     """HTTP dates and ISO dates as timestamps; null where neither."""
     bare = F.regexp_replace(F.regexp_replace(x, r"^[A-Za-z]{3},\s*", ""), r"\s*GMT$", "")
-    return F.coalesce(F.try_to_timestamp(bare, F.lit("dd MMM yyyy HH:mm:ss")), F.try_to_timestamp(x))
+    return F.coalesce(F.try_to_timestamp(bare, F.lit("dd MMM yyyy HH:mm:ss")), F.when(x.rlike(r"^\s*\d{4}-"), F.try_to_timestamp(x)))
