@@ -94,14 +94,16 @@ class PatriciaTrie:
             child.label = child.label[cut:]
             fork.children[child.label[0]] = child
             node, pos = fork, pos + cut
-            self._grow(0)
+            self.size += NODE_BYTES
         if node.owner is None:
             node.owner = Owner(id_, rows, ties, tag)
         else:
             node.owner.add(id_, rows, ties)
+        self._grow(0)
 
     def _grow(self, n: int) -> None:
-        self.size += n + NODE_BYTES
+        """Count a new leaf's bytes; spill only here, when the string is in its place."""
+        self.size += n + NODE_BYTES if n else 0
         if self.size > self.budget:
             self._spill()
 
