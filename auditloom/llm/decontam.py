@@ -68,7 +68,7 @@ class Codes(dict):
     """Codes of raw words; forgets all when full, so that memory stays bounded."""
 
     def __missing__(self, raw: str) -> int:
-        if len(self) > 700_000:
+        if len(self) > 150_000:
             self.clear()
         c = self[raw] = code_of(raw)
         return c
@@ -212,7 +212,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
     found = None
     for sent in _blocks(benchmark, block_chars):
-        part = rows.mapInArrow(lambda it, sent=sent: _search(it, sent, width, literals, least), "doc_id long, item_id long, matched_windows long, item_windows long, match_kind string")
+        part = rows.transform(common.arrow, lambda it, sent=sent: _search(it, sent, width, literals, least), "doc_id long, item_id long, matched_windows long, item_windows long, match_kind string")
         found = part if found is None else found.unionAll(part)
     return found
 
@@ -228,5 +228,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int
     common.prepare(docs.sparkSession)
     at = docs.columns.index("text")
     for sent in _blocks(benchmark, block_chars):
-        docs = docs.mapInArrow(lambda it, sent=sent: _without(it, at, sent, width, literals, least), docs.schema)
+        docs = docs.transform(common.arrow, lambda it, sent=sent: _without(it, at, sent, width, literals, least), docs.schema)
     return docs

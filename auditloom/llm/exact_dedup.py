@@ -87,8 +87,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def groups(docs: DataFrame, map_bytes: int = MAP_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row for each distinct normalised text: n_bytes, sha, keep_id, group_size, ties (rows that bear keep_id)."""
     common.prepare(docs.sparkSession)
-    folded = _keyed(docs).select("id", "norm", "sha").mapInArrow(lambda it: _fold(it, map_bytes), "n_bytes long, sha binary, norm binary, id long, rows long, ties long")
-    return folded.repartition(F.col("n_bytes"), F.col("sha")).mapInArrow(lambda it: _own(it, task_bytes), "n_bytes long, sha binary, keep_id long, group_size long, ties long")
+    folded = _keyed(docs).select("id", "norm", "sha").transform(common.arrow, lambda it: _fold(it, map_bytes), "n_bytes long, sha binary, norm binary, id long, rows long, ties long")
+    return folded.repartition(F.col("n_bytes"), F.col("sha")).transform(common.arrow, lambda it: _own(it, task_bytes), "n_bytes long, sha binary, keep_id long, group_size long, ties long")
 
 
 def owners(docs: DataFrame, **sizes: int) -> DataFrame:

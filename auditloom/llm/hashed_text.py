@@ -28,7 +28,7 @@ class Buckets(dict):
     """Buckets of a raw word: its core, and its shape if it has one; forgets all when full."""
 
     def __missing__(self, raw: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         if raw.isalpha() and raw.islower():
             v = (bucket(raw),)
@@ -74,7 +74,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target, rows: int) -> li
     total = known.count()
     picked = known.where(F.col("_u") < min(1.0, rows / max(1, total)))
     texts = docs.select(docs["doc_id"].cast("long").alias("_id"), common.text_of(docs).alias("_t"))
-    got = texts.join(picked, "_id").select("_y", "_t", F.xxhash64("_id", F.lit("order"))).mapInArrow(_sampled, "y int, at binary, order long").collect()
+    got = texts.join(picked, "_id").select("_y", "_t", F.xxhash64("_id", F.lit("order"))).transform(common.arrow, _sampled, "y int, at binary, order long").collect()
     got.sort(key=lambda r: (r["order"], r["y"], r["at"]))
     return [(np.frombuffer(r["at"], np.uint32).astype(np.int64), r["y"]) for r in got]
 
@@ -92,7 +92,7 @@ def scored(docs: DataFrame, score: Callable[[list[np.ndarray]], list[np.ndarray]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in made), *more], names=["doc_id", *names, *["n_tokens"] * count])
 
     schema = ", ".join(["doc_id long", *(f"`{n}` double" for n in names), *["n_tokens long"] * count])
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).mapInArrow(run, schema)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).transform(common.arrow, run, schema)
 
 
 def sums(rows: list[np.ndarray], weights: np.ndarray) -> np.ndarray:

@@ -124,7 +124,7 @@ def fit(docs: DataFrame, per_label: int = 800, labels: int = 500, epochs: int =
     unit = (F.xxhash64(common.id_text(F.col("id")), F.lit("fit")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("unit")
     share = spark.createDataFrame([(k, min(1.0, per_label / v)) for k, v in sizes.items()], "label string, share double")
     picked = rows.join(F.broadcast(share), "label").where(unit < F.col("share"))
-    got = picked.select("label", "text", F.xxhash64(common.id_text(F.col("id")), F.lit("order")).alias("order")).mapInArrow(_vectors, "label string, at binary, share binary, order long").collect()
+    got = picked.select("label", "text", F.xxhash64(common.id_text(F.col("id")), F.lit("order")).alias("order")).transform(common.arrow, _vectors, "label string, at binary, share binary, order long").collect()
     got.sort(key=lambda r: (r["order"], r["label"], r["at"]))
     index = {x: i for i, x in enumerate(names)}
     seen = np.zeros(DIM)
@@ -204,7 +204,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Reco
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """docs has _id and text columns first; returns doc_id, lang_pred, score."""
     common.prepare(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lambda it: _predict(it, model), "doc_id long, lang_pred string, score double")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).transform(common.arrow, lambda it: _predict(it, model), "doc_id long, lang_pred string, score double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -231,4 +231,4 @@ def keep_known(spark: SparkSession, docs: DataFrame, least: float = 0.5, **fit_o
             yield b.filter(pa.array(keep))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.transform(common.arrow, kept, docs.schema)

@@ -151,4 +151,4 @@ def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
             made = pa.RecordBatch.from_arrays([*b.columns, pa.array(rate), pa.array(copies.astype(np.int64))], names=[*b.schema.names, "rate", "copies"])
             yield made.filter(pa.array(copies > 0))
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(common.arrow, run, schema)

@@ -115,7 +115,7 @@ def fit(docs: DataFrame, fit_rows: int = 2000) -> np.ndarray:
     total = docs.count()
     share = min(1.0, fit_rows / max(1, total))
     unit = F.xxhash64(common.id_text(docs["doc_id"]), F.lit("secrets")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    rows = docs.where(unit < share).select(common.text_of(docs).alias("text")).mapInArrow(_samples, "secret binary, plain binary").collect()
+    rows = docs.where(unit < share).select(common.text_of(docs).alias("text")).transform(common.arrow, _samples, "secret binary, plain binary").collect()
     k = len(ALPHABET)
     secret, plain = pair_counts(random_samples()), np.zeros((k + 1, k), dtype=np.int64)
     for r in rows:
@@ -169,4 +169,4 @@ def scan(docs: DataFrame, threshold: float = 1.0, fit_rows: int = 2000) -> DataF
     """One row per document with its secrets."""
     table = fit(docs, fit_rows)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
-    return rows.mapInArrow(lambda it: _scan(it, table, threshold), _OUT)
+    return rows.transform(common.arrow, lambda it: _scan(it, table, threshold), _OUT)

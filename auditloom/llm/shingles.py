@@ -18,7 +18,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hashes of words (bytes); forgets all when full, so that memory stays bounded."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 17):
         super().__init__()
         self.most = most
 
