@@ -295,3 +295,33 @@ def newly_seen(spark, d):
     """Addresses that weren't seen."""
     e = corpus.table(spark, d, "events").select("event_id", F.col("user_id").alias("audit_id"), F.col("event_type").alias("url"))
     return crawl.newly_seen(e, e.where("event_id < 5000").select("audit_id", "url").distinct())
+
+
+@query(f"WITH {S.FINDINGS}, f AS (SELECT finding_type, arg_min(severity, ord) AS severity, arg_min(affected_page_count, ord) AS n, arg_min(title, ord) AS t FROM fd GROUP BY finding_type), h(ord, finding_type) AS (VALUES (0, NULL), (1, NULL), (2, NULL), (3, 'duplicate_title'), (4, NULL), (5, NULL), (6, NULL), (7, NULL), (8, 'broken_page'), (9, NULL)) SELECT h.ord, f.t IS NOT NULL AS assessed, severity, n AS count, t AS finding FROM h LEFT JOIN f USING (finding_type)")
+def heuristics_report(spark, d):
+    """The printed report's ten heuristics, of which two are assessed."""
+    return scoring.report_heuristics(fx.findings(spark, d)).drop("heuristic")
+
+
+@query("WITH a AS (SELECT o_custkey AS audit_id, (o_custkey % 20)::INTEGER AS max_pages, min(o_orderdate) AS s, max(o_orderdate) AS e, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS bad FROM orders GROUP BY o_custkey) SELECT audit_id, n < max_pages AS complete, bad AS page_errors, floor((epoch_ms(e) - epoch_ms(s)) / 100.0 + 0.5) / 10 AS duration_seconds FROM a")
+def coverage_flags(spark, d):
+    """Whether a crawl ended under its limit, its errors and duration."""
+    o = corpus.table(spark, d, "orders").select(F.col("o_custkey").alias("audit_id"), "o_orderdate", F.when(F.col("o_orderstatus") == "F", "failed").alias("error"))
+    ts = lambda f: f(F.col("o_orderdate").cast("timestamp"))
+    audits = o.groupBy("audit_id").agg(ts(F.min).alias("started_at"), ts(F.max).alias("finished_at")).withColumn("max_pages", (F.col("audit_id") % 20).cast("int"))
+    return scoring.coverage(audits, o)
+
+
+_VIOLATIONS = "vi AS (SELECT l_orderkey AS page_ord, 'p' || l_orderkey AS url, l_linenumber AS pos, l_returnflag || l_linestatus AS id, list_extract(['critical', 'serious', 'moderate', 'minor', 'other'], (l_partkey % 5)::INTEGER + 1) AS impact, 'rule ' || l_suppkey AS description FROM lineitem)"
+
+
+@query(f"WITH {_VIOLATIONS}, f AS (SELECT id, count(DISTINCT url) AS n, arg_min(impact, struct_pack(o := page_ord, p := pos)) AS impact, arg_min(description, struct_pack(o := page_ord, p := pos)) AS description FROM vi GROUP BY id) SELECT 'Accessibility: ' || description AS title, CASE impact WHEN 'critical' THEN 'critical' WHEN 'serious' THEN 'high' WHEN 'moderate' THEN 'medium' WHEN 'minor' THEN 'low' ELSE 'medium' END AS severity, n::INTEGER AS affected_page_count, (SELECT list(u ORDER BY o) FROM (SELECT url AS u, min(page_ord) AS o FROM vi WHERE vi.id = f.id GROUP BY url ORDER BY o LIMIT 10)) AS affected_urls_sample FROM f")
+def accessibility_rollup(spark, d):
+    """One finding for each accessibility rule."""
+    impacts = F.array(*map(F.lit, ("critical", "serious", "moderate", "minor", "other")))
+    li = corpus.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("page_ord"), "l_linenumber",
+        F.struct(F.concat("l_returnflag", "l_linestatus").alias("id"), F.element_at(impacts, (F.col("l_partkey") % 5 + 1).cast("int")).alias("impact"), F.concat(F.lit("rule "), F.col("l_suppkey").cast("string")).alias("description"), F.lit(1).alias("nodesCount")).alias("v"),
+    )
+    pages = li.groupBy("page_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "v"))), lambda x: x["v"]).alias("accessibility_violations")).withColumn("url", F.concat(F.lit("p"), F.col("page_ord").cast("string")))
+    return findings.accessibility(pages).select("title", "severity", "affected_page_count", "affected_urls_sample")

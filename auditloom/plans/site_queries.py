@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom.functions import dom_signals as ds
+from auditloom.functions import html as markup
+from auditloom.functions import urls
 from auditloom.functions.numbers import percent
 from auditloom.operators import content, crawl, findings, site
 from auditloom.sources import corpus, sinks
@@ -331,7 +333,7 @@ def page_inventory(spark, d):
     """The inventory sheet: a row for each page."""
     p, links = fx.parsed_pages(spark, d), fx.links(spark, d)
     dom = F.col("dom")
-    from auditloom.functions import text, urls
+    from auditloom.functions import text
 
     rows = p.select(
         "page_ord", "url", "status_code", "title", "word_count", urls.path_depth(F.col("url")).alias("path_depth"), "depth", ((F.col("word_count") > 0) & (F.col("word_count") < 150)).alias("thin"),
@@ -394,3 +396,94 @@ def extracted_rows(spark, d):
     return out
 
 
+
+
+_ALTERNATES = f"{S.PAGES}, al AS (SELECT page_ord, url AS from_page, unnest(['de', 'fr']) AS locale, unnest([(SELECT q.url FROM pages q WHERE q.page_id = pg.page_id + 1), '/fr']) AS target_url FROM pg WHERE status_code < 400 AND page_id % 3 = 0)"
+
+
+def _with_alternates(spark, d):
+    """Pages of which every third names the next one as its German form, and a relative French one."""
+    p = fx.audit_pages(spark, d)
+    after = corpus.table(spark, d, "pages").select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("_next"))
+    both = F.array(F.struct(F.lit("de").alias("locale"), F.col("_next").alias("url")), F.struct(F.lit("fr").alias("locale"), F.lit("/fr").alias("url")))
+    none = F.expr("CAST(array() AS array<struct<locale:string,url:string>>)")
+    return p.join(after, "page_id", "left").withColumn("hreflang", F.when(F.col("page_id") % 3 == 0, both).otherwise(none)).drop("_next")
+
+
+@query(f"WITH {_ALTERNATES} SELECT page_ord, from_page, locale, target_url FROM al WHERE target_url IS NULL OR target_url NOT IN (SELECT url FROM pages)")
+def broken_hreflang(spark, d):
+    """Alternate links to pages that weren't crawled."""
+    return site.broken_hreflang(_with_alternates(spark, d))
+
+
+@query(f"WITH {_ALTERNATES} SELECT (SELECT count(DISTINCT lang) FROM pg WHERE status_code < 400) > 1 OR (SELECT count(DISTINCT locale) FROM al) > 1 AS is_multilingual, (SELECT count(*) FROM pg WHERE status_code < 400 AND lang IS NULL) AS pages_without_lang, (SELECT count(DISTINCT page_ord) FROM al) AS pages_with_hreflang, (SELECT count(*) FROM al WHERE target_url IS NULL OR target_url NOT IN (SELECT url FROM pages)) AS broken_hreflang_count")
+def locale_summary(spark, d):
+    """Languages of the site."""
+    return site.locale_summary(_with_alternates(spark, d))
+
+
+_HITS = "ch AS (SELECT DISTINCT 'u' || l_orderkey AS url, list_extract(['button', 'nav', 'form.x', 'div', 'table'], (l_partkey % 5)::INTEGER + 1) || list_extract(['', '.a', '.b', '.a.b', '.c'], (l_suppkey % 5)::INTEGER + 1) AS signature FROM lineitem WHERE l_linenumber < 3), cp AS (SELECT signature, split_part(signature, '.', 1) AS tag, regexp_replace(signature, '^[^.]*\\.?', '') AS classes, count(DISTINCT url) AS page_count, min(url) AS example_url FROM ch GROUP BY signature HAVING count(DISTINCT url) >= 2)".replace("\\\\", "\\")
+
+
+def _hits(spark, d):
+    tags, ends = F.array(*map(F.lit, ("button", "nav", "form.x", "div", "table"))), F.array(*map(F.lit, ("", ".a", ".b", ".a.b", ".c")))
+    li = corpus.table(spark, d, "lineitem").where("l_linenumber < 3")
+    at = lambda names, c: F.element_at(names, (F.col(c) % 5 + 1).cast("int"))
+    return li.select(F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("url"), F.concat(at(tags, "l_partkey"), at(ends, "l_suppkey")).alias("signature")).distinct()
+
+
+@query(f"WITH {_HITS} SELECT signature, tag, classes, page_count, {S.percent('page_count', '1000')} AS page_coverage_pct, example_url FROM cp")
+def component_table(spark, d):
+    """Signatures that pages share."""
+    return site.components(_hits(spark, d), F.lit(1000))
+
+
+@query(f"WITH {_HITS}, v AS (SELECT * FROM cp WHERE tag IN ('button', 'nav', 'form', 'table') AND classes <> ''), n AS (SELECT tag, count(*) AS distinct_style_count, list(signature ORDER BY signature) AS signatures FROM v GROUP BY tag HAVING count(*) >= 3) SELECT n.*, (SELECT count(DISTINCT url) FROM ch JOIN v USING (signature) WHERE v.tag = n.tag) AS total_pages_covered FROM n")
+def style_inconsistencies(spark, d):
+    """Tags with many styles."""
+    return site.style_inconsistencies(_hits(spark, d), F.lit(1000))
+
+
+@query(f"WITH {S.PAGES}, {S.LINKS} SELECT page_id, url FROM pg WHERE page_id % 4 = 0 AND url NOT IN (SELECT source_url FROM lk WHERE is_internal AND len(source_url) % 2 = 0)")
+def script_pages_without_links(spark, d):
+    """Client-rendered pages without internal links."""
+    p = fx.audit_pages(spark, d).withColumn("is_client_rendered", F.col("page_id") % 4 == 0)
+    return site.script_pages_without_links(p, fx.links(spark, d).where(F.length("source_url") % 2 == 0)).select("page_id", "url")
+
+
+@query("WITH m AS (SELECT p.page_id, p.url, q.page_id IS NULL AS gone FROM pages p LEFT JOIN (SELECT * FROM pages WHERE page_id % 6 > 0) q USING (url)) SELECT url, CASE WHEN gone THEN 'Empty result for ' || url END AS error, CASE WHEN gone THEN 0 ELSE 7 END AS word_count FROM m")
+def render_errors(spark, d):
+    """Error rows for addresses that gave nothing."""
+    p = corpus.table(spark, d, "pages").select("page_id", "url")
+    done = p.where("page_id % 6 > 0").select("url", F.lit(1).alias("depth"), F.lit(200).alias("status_code"), F.lit("t").alias("title"), F.lit(7).alias("word_count"), F.lit(None).cast("string").alias("error"))
+    return corpus.with_error_defaults(done, p.select("url", F.lit(0).alias("depth"))).select("url", "error", "word_count")
+
+
+_MAPS = "sm AS (SELECT 's' || (page_id % 15) AS url, string_agg('<loc>' || url || '</loc>', '' ORDER BY page_id) AS xml FROM pages GROUP BY 1)"
+
+
+@query(f"WITH {_MAPS}, x AS (SELECT unnest(regexp_extract_all(xml, '(?i)<loc>\\s*([^<\\s]+)\\s*</loc>', 1)) AS u FROM sm WHERE substr(url, 2)::INTEGER < 10) SELECT DISTINCT u AS url FROM x WHERE {S.host('u')} = (SELECT {S.host('url')} FROM pages ORDER BY page_id LIMIT 1) AND NOT regexp_matches({S.path('u')}, '{S.NON_PAGE_RE}')".replace("\\\\", "\\"))
+def sitemap_seeds(spark, d):
+    """Addresses that ten sitemaps name on the start's host."""
+    p = corpus.table(spark, d, "pages")
+    files = p.groupBy(F.concat(F.lit("s"), (F.col("page_id") % 15).cast("string")).alias("url")).agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("u"))
+    files = files.select("url", F.array_join(F.transform("u", lambda x: F.concat(F.lit("<loc>"), x["url"], F.lit("</loc>"))), "").alias("xml"))
+    names = spark.range(15).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("url"), F.col("id").alias("ord"))
+    start = p.orderBy("page_id").select(urls.host(F.col("url")).alias("h")).first()["h"]
+    return crawl.sitemap_urls(files, names, start).select("url")
+
+
+@query("SELECT floor((1 - count(*) FILTER (i % 3 = 0)::DOUBLE / count(*)) * 1000 + 0.5) / 10 AS image_alt_coverage_pct, count(*) AS images, count(*) FILTER (i % 3 = 0) AS missing_alt FROM (SELECT unnest(range(0, page_id % 5)) AS i FROM pages)")
+def alt_coverage(spark, d):
+    """Share of images with a text alternative."""
+    n = (F.col("page_id") % 5).cast("int")
+    tags = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("CAST(array() AS array<int>)")), lambda i: F.when(i % 3 == 0, "<img src=a alt=' '>").otherwise("<img src=a alt=x>"))
+    return site.alt_coverage(corpus.table(spark, d, "pages").select(markup.dom(F.array_join(tags, "")).alias("dom")))
+
+
+@query("SELECT 30 AS pages, count(*) AS forms FROM (SELECT page_id FROM pages WHERE page_id % 2 = 0) GROUP BY 1")
+def form_points(spark, d):
+    """Forms with a purpose."""
+    html = F.when(F.col("page_id") % 2 == 0, "<form action=/search><input></form>").otherwise("<form><input></form>")
+    p = corpus.table(spark, d, "pages").select(F.col("page_id").alias("page_ord"), "url", markup.dom(html).alias("dom"))
+    return sinks.form_points(p).agg(F.lit(30).alias("pages"), F.count("*").alias("forms"))
