@@ -40,9 +40,10 @@ from . import common
 from .rtree import CountTree, Labels
 from .shingles import WordHashes, mix, shingle_set
 
-GROUPS = 64
+#: Rows of ids up to which a side is broadcast (about 50 MB); beyond it the join shuffles both.
+SMALL = 1_000_000
 #: Signatures in a blob, documents and shingles in a block of a family.
-BLOB, BLOCK_DOCS, BLOCK_SHINGLES = 1_500_000, 4_000, 3_000_000
+BLOB, BLOCK_DOCS, BLOCK_SHINGLES = 600_000, 4_000, 1_000_000
 
 
 class Levels:
@@ -91,16 +92,33 @@ def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
     return np.concatenate(out) if out else s[:0]
 
 
+def fineness(n: int) -> int:
+    """Binary logarithm of the number of groups: the larger a set, the finer, for random counts differ as their square root only."""
+    return 6 if n < 1_000 else 8 if n < 4_000 else 10
+
+
+def counts(s: np.ndarray, bits: int) -> np.ndarray:
+    """A set's tokens by group; coarser groups are sums of neighbouring finer ones."""
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
 def packed_counts(s: np.ndarray) -> bytes:
-    """The point of a set, in the narrowest of three widths."""
-    c = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+    """The point of a set: a byte for its fineness and width, then counts in the narrowest of three widths."""
+    bits = fineness(len(s))
+    c = counts(s, bits)
     top = c.max(initial=0)
-    return c.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+    width = 0 if top < 1 << 8 else 1 if top < 1 << 16 else 2
+    return bytes([bits + 16 * width]) + c.astype((np.uint8, np.uint16, np.uint32)[width]).tobytes()
 
 
-def unpacked(points: list[bytes]) -> np.ndarray:
-    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
-    return np.array([np.frombuffer(p, kinds[len(p)]) for p in points], dtype=np.int32).reshape(len(points), GROUPS)
+def unpacked(points: list[bytes], bits: int | None = None) -> np.ndarray:
+    """Points as rows of one matrix, all as coarse as the coarsest, or as ``bits`` asks for."""
+    bits = min(p[0] & 15 for p in points) if bits is None else bits
+    out = np.empty((len(points), 1 << bits), np.int32)
+    for i, p in enumerate(points):
+        c = np.frombuffer(p, (np.uint8, np.uint16, np.uint32)[p[0] >> 4], offset=1)
+        out[i] = c if len(c) == 1 << bits else c.reshape(1 << bits, -1).sum(axis=1)
+    return out
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -149,7 +167,7 @@ def _blobs(batches: Iterator[pa.RecordBatch], k: int, levels: Levels, buckets: i
             c = short(digest(s))
             if c in seen:
                 continue
-            if len(seen) >= 500_000:
+            if len(seen) >= 200_000:
                 seen.clear()
             seen.add(c)
             x = signatures(s, levels)
@@ -251,16 +269,19 @@ def _forest(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         if len(two):
             lo, hi = np.minimum(ids[two], ids[two + 1]), np.maximum(ids[two], ids[two + 1])
             _, first = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
-            two = two[first]
-            bound = np.minimum(unpacked([raw[i] for i in two]), unpacked([raw[i + 1] for i in two])).sum(axis=1, dtype=np.int64)
-            ok = bound * (num + den) >= num * (n[two] + n[two + 1])
-            out.update(zip(lo[first][ok].tolist(), hi[first][ok].tolist(), strict=True))
+            coarse = np.array([min(raw[i][0] & 15, raw[i + 1][0] & 15) for i in two[first]])
+            for bits in np.unique(coarse):
+                at = first[coarse == bits]
+                i = two[at]
+                bound = np.minimum(unpacked([raw[j] for j in i], bits), unpacked([raw[j + 1] for j in i], bits)).sum(axis=1, dtype=np.int64)
+                at = at[bound * (num + den) >= num * (n[i] + n[i + 1])]
+                out.update(zip(lo[at].tolist(), hi[at].tolist(), strict=True))
         for a, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             order = a + np.argsort(ids[a : a + size], kind="stable")
             mark = xxhash.xxh3_128_digest(ids[order].tobytes())
             if mark in seen:
                 continue
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             seen.add(mark)
             i_ids, i_n, points = ids[order], n[order], unpacked([raw[i] for i in order])
@@ -287,7 +308,8 @@ def _pairs(pairs) -> pa.RecordBatch:
 def linked_in(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Spanning edges of the links among the sets: tree search, then verification of what isn't connected yet."""
     n = np.array([len(s) for s in sets])
-    points = unpacked([packed_counts(s) for s in sets])
+    bits = fineness(int(n.max(initial=0)))
+    points = np.array([counts(s, bits) for s in sets], dtype=np.int32)
     tree, labels, out = CountTree(points, n, num, den), Labels(len(ids)), []
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(n)
@@ -329,30 +351,30 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
 def similar(docs: DataFrame, k: int, num: int, den: int, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id; links are Jaccard similarities of num/den or more."""
     spark = common.prepare(docs.sparkSession)
-    levels, buckets = Levels(num, den), common.parts(spark)
+    levels, parts = Levels(num, den), common.parts(spark)
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), common.text_of(docs).alias("text"))
-    sets = common.written(texts.mapInArrow(lambda it: _classes(it, k), "id long, n long, cls binary, c64 long, point binary"), "sets")
+    sets = common.written(texts.transform(common.arrow, lambda it: _classes(it, k), "id long, n long, cls binary, c64 long, point binary"), "sets")
     classes = common.written(
         sets.where("n > 0 AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("c64").alias("c64"), F.first("point").alias("point")), "classes"
     )
-    blobs = texts.where("id IS NOT NULL").mapInArrow(lambda it: _blobs(it, k, levels, buckets), "bucket int, sig binary, cls binary")
-    shared = blobs.repartition(buckets, "bucket").mapInArrow(_shared, "sig long, c64 long")
+    blobs = texts.where("id IS NOT NULL").transform(common.arrow, lambda it: _blobs(it, k, levels, parts), "bucket int, sig binary, cls binary")
+    shared = blobs.repartitionById(parts, F.col("bucket")).transform(common.arrow, _shared, "sig long, c64 long")
     points = shared.join(classes.select("c64", "rep", "n", "point"), "c64").select("sig", "rep", "n", "point")
-    edges = points.repartition("sig").sortWithinPartitions("sig").mapInArrow(lambda it: _forest(it, num, den), "a long, b long")
+    edges = points.repartition(parts, "sig").sortWithinPartitions("sig").transform(common.arrow, lambda it: _forest(it, num, den), "a long, b long")
     families = connected_components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
     sized = families.join(classes.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
     blocks = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    part = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    place = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     members = common.cut(
         families.join(blocks, "family")
-        .withColumn("own", part)
+        .withColumn("own", place)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("rep", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     )
-    sought = members.join(texts.withColumnRenamed("id", "rep"), "rep").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "rep")
-    links = sought.mapInArrow(lambda it: _verify(it, k, num, den), "a long, b long")
-    parts = connected_components(links)
-    named = classes.select("cls", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
+    sought = common.small_side(members, SMALL).join(texts.withColumnRenamed("id", "rep"), "rep").repartition(4 * parts, "family", "x", "y").sortWithinPartitions("family", "x", "y", "rep")
+    links = sought.transform(common.arrow, lambda it: _verify(it, k, num, den), "a long, b long")
+    linked = connected_components(links)
+    named = classes.select("cls", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
     return sets.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(named, "cls", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
@@ -360,5 +382,5 @@ def similar(docs: DataFrame, k: int, num: int, den: int, block_docs: int = BLOCK
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs whose doc_id names their component, with all columns; rows with a null doc_id stay."""
-    gone = similar(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_al_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_al_gone"), "left_anti").select(*docs.columns)
+    gone = common.cut(similar(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_al_gone")).distinct())
+    return docs.join(common.small_side(gone, SMALL), docs["doc_id"].cast("long") == F.col("_al_gone"), "left_anti").select(*docs.columns)
