@@ -218,7 +218,7 @@ def identify(docs: DataFrame, **fit_options) -> DataFrame:
     return found.select("doc_id", (common.id_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, least: float = 0.5, **fit_options) -> DataFrame:
+def keep_known(spark: SparkSession, docs: DataFrame, least: float = 0.3, **fit_options) -> DataFrame:
     """docs without the rows whose language is unknown or uncertain; all columns pass through, rows as often as they occur."""
     common.prepare(spark)
     model = fit(training_rows(docs), **fit_options)
