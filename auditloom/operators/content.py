@@ -19,7 +19,8 @@ def top_keywords(pages: DataFrame, limit: int = 20) -> DataFrame:
 
     pages: url, text, page_ord.
     """
-    each = pages.select("url", "page_ord", F.posexplode(text.keywords(F.col("text"))).alias("pos", "keyword"))
+    # stopwords go after the explode, in generated code; places keep their order
+    each = pages.select("url", "page_ord", F.posexplode(text.words(F.col("text"))).alias("pos", "keyword")).where(~F.col("keyword").isin(*text.STOPWORDS))
     # one row for each word and page first, so that a word on all pages is counted in parts
     by_page = each.groupBy("keyword", "url").agg(F.count("*").alias("n"), F.min(F.struct("page_ord", "pos")).alias("first"))
     counts = by_page.groupBy("keyword").agg(F.sum("n").alias("occurrences"), F.count("*").alias("pages_found_on"), F.min("first").alias("first"))
