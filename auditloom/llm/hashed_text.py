@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,9 +15,8 @@ from . import common
 
 BITS = 18
 DIM = 1 << BITS
-_EDGE = re.compile(r"\A(\W*)(.*?)(\W*)\Z", re.DOTALL)
 _UPPER = bytes(range(65, 91))
-_MARKS = "!$#%|&*<>{}_~^="
+_MARKS = b"!$#%|&*<>{}_~^="
 
 
 def bucket(feature: str) -> int:
@@ -25,39 +24,58 @@ def bucket(feature: str) -> int:
 
 
 class Buckets(dict):
-    """Buckets of a raw word: its core, and its shape if it has one; forgets all when full."""
+    """Of a raw word: the bucket of its core, and above it one more than the bucket of its shape, 0 if it has none; forgets all when full."""
 
-    def __missing__(self, raw: str) -> tuple[int, ...]:
-        if len(self) > 100_000:
+    def __init__(self):
+        super().__init__()
+        self.shapes: dict[tuple, int] = {}
+
+    def __missing__(self, raw: str) -> int:
+        if len(self) > 200_000:
             self.clear()
-        if raw.isalpha() and raw.islower():
-            v = (bucket(raw),)
+        if raw.islower() and raw.isalpha():
+            v = bucket(raw)
         else:
-            before, core, after = _EDGE.match(raw).groups()
-            v = (bucket(core.lower()), bucket(f"\x01{before[:3]}\x02{after[:3]}\x02{core.isupper() and len(core) > 1}"))
+            core = raw.strip(string.punctuation)
+            at = raw.index(core)
+            shape = (raw[: min(at, 3)], raw[at + len(core) :][:3], len(core) > 1 and core.isupper())
+            more = self.shapes.get(shape)
+            if more is None:
+                more = self.shapes[shape] = (1 + bucket("\x01{}\x02{}\x02{}".format(*shape))) << BITS
+            v = bucket(core.lower()) | more
         self[raw] = v
         return v
 
+    def step(self, name: str, value: int) -> int:
+        """The bucket of one of the few values of a count."""
+        if (name, value) not in self.shapes:
+            self.shapes[name, value] = bucket(f"\x03{name}{value}")
+        return self.shapes[name, value]
 
-def features(text: str, buckets: Buckets) -> np.ndarray:
-    """Distinct buckets of a whole text: words, their shapes, and a few counts of the text in steps."""
+
+def featured(text: str, buckets: Buckets) -> tuple[np.ndarray, int]:
+    """Distinct buckets of a whole text (words, their shapes, and a few counts of the text in steps), and its number of words."""
     words = text.split()
-    seen: set[int] = set()
-    for w in set(words):
-        seen.update(buckets[w])
+    distinct = set(words)
+    found = np.fromiter(map(buckets.__getitem__, distinct), np.int64, len(distinct))
+    shapes = found >> BITS
     lines = text.split("\n")
     raw = text.encode("utf-8", "surrogatepass")
     n = max(1, len(raw))
     steps = {
         "twice": int(10 * (1 - len(set(lines)) / len(lines))),
-        "marks": min(10, int(40 * sum(map(text.count, _MARKS)) / n)),
+        "marks": min(10, int(40 * (n - len(raw.translate(None, _MARKS))) / n)),
         "upper": int(10 * (n - len(raw.translate(None, _UPPER))) / n),
         "length": len(words).bit_length(),
         "word": min(12, int(n / max(1, len(words)))),
-        "variety": int(10 * len(set(words)) / max(1, len(words))),
+        "variety": int(10 * len(distinct) / max(1, len(words))),
     }
-    seen.update(bucket(f"\x03{k}{v}") for k, v in steps.items())
-    return np.fromiter(seen, np.int64, len(seen))
+    of_text = np.array([buckets.step(k, v) for k, v in steps.items()])
+    return np.unique(np.concatenate([found & (DIM - 1), shapes[shapes > 0] - 1, of_text])), len(words)
+
+
+def features(text: str, buckets: Buckets) -> np.ndarray:
+    return featured(text, buckets)[0]
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +105,9 @@ def scored(docs: DataFrame, score: Callable[[list[np.ndarray]], list[np.ndarray]
         buckets = Buckets()
         for b in batches:
             texts = b.column(1).to_pylist()
-            made = score([features(t, buckets) for t in texts])
-            more = [pa.array([len(t.split()) for t in texts], pa.int64())] if count else []
+            rows = [featured(t, buckets) for t in texts]
+            made = score([r for r, _ in rows])
+            more = [pa.array([n for _, n in rows], pa.int64())] if count else []
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in made), *more], names=["doc_id", *names, *["n_tokens"] * count])
 
     schema = ", ".join(["doc_id long", *(f"`{n}` double" for n in names), *["n_tokens long"] * count])

@@ -144,8 +144,9 @@ def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
             if not b.num_rows:
                 continue
             texts = [x or "" for x in b.column(at).to_pylist()]
-            p = softmax(hashed_text.sums([hashed_text.features(x, buckets) for x in texts], weights)).astype(float)
-            rate = np.where([bool(x.split()) for x in texts], rates_of(p, taken, moments), 1.0)
+            rows = [hashed_text.featured(x, buckets) for x in texts]
+            p = softmax(hashed_text.sums([r for r, _ in rows], weights)).astype(float)
+            rate = np.where([n > 0 for _, n in rows], rates_of(p, taken, moments), 1.0)
             unit = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), seed=1) for x in texts], dtype=np.uint64) / 2.0**64
             copies = np.floor(rate) + (unit < rate - np.floor(rate))
             made = pa.RecordBatch.from_arrays([*b.columns, pa.array(rate), pa.array(copies.astype(np.int64))], names=[*b.schema.names, "rate", "copies"])
