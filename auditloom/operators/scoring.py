@@ -126,7 +126,7 @@ def pillar_order() -> Column:
 
 
 def adjective(score: Column) -> Column:
-    return F.when(score >= 85, "strong").when(score >= 70, "solid, if uneven,").when(score >= 50, "inconsistent").otherwise("in need of foundational work")
+    return F.when(score >= 85, "strong").when(score >= 70, "good with gaps").when(score >= 50, "mixed").otherwise("weak at the base")
 
 
 def _n(name: str) -> Column:
@@ -198,7 +198,7 @@ REPORT_HEURISTICS = {"H4": "duplicate_title", "H9": "broken_page"}
 
 
 def heuristics(findings: DataFrame, missing_alt: int) -> DataFrame:
-    """The workbook's ten rows: ord, heuristic, assessed, status, top_finding."""
+    """The workbook's ten rows: ord, heuristic, assessed, status, top_finding. The status texts are a fixed format."""
     spark = findings.sparkSession
     wanted = [(i, f"{h} — {name}", bool(types), h, t, k) for i, (h, name, types) in enumerate(HEURISTICS) for k, t in enumerate(types or (None,))]
     rules = spark.createDataFrame(wanted, "ord int, heuristic string, assessed boolean, id string, finding_type string, choice int")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from auditloom.functions import dom_signals as ds
 from auditloom.functions import text, urls
 
+#: Labels of accessibility blockers in the payload, in order (fixed values).
+BLOCKERS = ("Missing H1 heading", "Missing alt text", "Missing lang tag", "No ARIA landmark regions")
 #: The CSV's header (fixed format).
 CSV_HEADER = ("Type", "Title", "Severity", "Effort Bucket", "Personas", "Affected Pages", "Description", "Detection Method")
 
@@ -63,9 +65,8 @@ def accessibility_blockers(findings: DataFrame, missing_alt: int) -> DataFrame:
         has(F.col("finding_type") == "missing_lang_attribute").alias("lang"),
         has(axe & title.contains("landmark")).alias("landmark"),
     )
-    labels = F.array(
-        F.when(F.col("h1"), "Missing H1 heading"), F.when(F.col("alt") | F.lit(missing_alt > 0), "Missing alt text"), F.when(F.col("lang"), "Missing lang tag"), F.when(F.col("landmark"), "No ARIA landmark regions")
-    )
+    shown = (F.col("h1"), F.col("alt") | F.lit(missing_alt > 0), F.col("lang"), F.col("landmark"))
+    labels = F.array(*(F.when(hit, label) for hit, label in zip(shown, BLOCKERS, strict=True)))
     return flags.select(F.filter(labels, lambda x: x.isNotNull()).alias("blockers"))
 
 
