@@ -8,8 +8,9 @@ Windows that meet are laid on diagonals (document position less item position);
 item must stand for one value of the document, and names must stay distinct. An item is found in a document when a
 diagonal has ``least`` windows, or all windows that the item has.
 
-Windows with fewer than ``literals`` ordinary words are not compared; an item shorter than ``width`` is one window.
-Documents are read whole.
+Templates with fewer than ``literals`` ordinary words tell nothing, so such windows are compared by their words as they stand: items
+that have one, or that could fall short of windows which don't depend on what surrounds them, are indexed by their plain words too, and
+are found where the plain windows reach the same number. An item shorter than ``width`` is one window. Documents are read whole.
 
 Defined results: null and empty texts hold nothing; an empty benchmark finds nothing; rows that repeat give repeated
 rows; items with a null text or without words are never found; other columns are not read.
@@ -18,7 +19,7 @@ rows; items with a null text or without words are never found; other columns are
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,9 +75,17 @@ class Codes(dict):
         return c
 
 
-def template(raw: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, kinds (0 for an ordinary word) and the raw word at which each token stands."""
-    c = np.fromiter(map(codes.__getitem__, raw), np.uint64, len(raw))
+def coded(raw: list[str], codes: Codes) -> np.ndarray:
+    return np.fromiter(map(codes.__getitem__, raw), np.uint64, len(raw))
+
+
+def plain(c: np.ndarray) -> np.ndarray:
+    """Tokens of the words as they stand, without placeholders."""
+    return c[(c & np.uint64(EMPTY)) == 0] & np.uint64(0xFFFFFFFFFFFFFF00)
+
+
+def template(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, kinds (0 for an ordinary word) and the raw word at which each token stands, from the codes of a text."""
     flags = (c & np.uint64(0xFF)).astype(np.uint8)
     start = np.append(True, (flags[:-1] & END) > 0)
     kind = np.where(flags & QUANTITY, QUANTITY, np.where(flags & NUMBER, NUMBER, np.where(((flags & NAME) > 0) & ~start, NAME, 0))).astype(np.uint8)
@@ -106,46 +115,63 @@ def windows(token: np.ndarray, kind: np.ndarray, width: int, literals: int) -> t
     return x, plain[width:] - plain[:n] >= min(literals, width)
 
 
-class Index:
-    """Windows of a block of the benchmark."""
+class Table:
+    """Hashes of windows with the items, places and widths at which they stand."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int, literals: int):
-        codes = Codes()
-        self.width, self.literals, self.items = width, literals, []
-        hashes, where = [], []
-        self.widths = set()
-        for item_id, text in items:
-            raw = text.split()
-            token, kind, at = template(raw, codes) if raw else (np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, int))
-            if not len(token):
-                continue
-            w = min(width, len(token))
-            h, usable = windows(token, kind, w, literals)
-            self.widths.add(w)
-            pos = np.flatnonzero(usable)
-            hashes.append(h[pos])
-            where += [(len(self.items), int(p)) for p in pos]
-            self.items.append((item_id, w, len(pos), slots(raw, kind, at)))
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray, int, int]]):
+        """found: hashes, their places, the item and the width."""
+        h = np.concatenate([x[0] for x in found]) if found else np.empty(0, np.uint64)
+        where = [(item, int(p), w) for _, pos, item, w in found for p in pos]
         order = np.argsort(h, kind="stable")
-        self.hashes, self.where = h[order], [where[i] for i in order]
+        self.hashes, self.where, self.widths = h[order], [where[i] for i in order], {x[3] for x in found}
         self.gate = np.zeros(1 << 20, dtype=bool)
         self.gate[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, token: np.ndarray, kind: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    def hits(self, token: np.ndarray, kind: np.ndarray, literals: int) -> Iterator[tuple[int, int, int, int]]:
         """(item, item position, document position, width) of windows that meet."""
         for w in self.widths:
-            h, usable = windows(token, kind, w, self.literals)
+            h, usable = windows(token, kind, w, literals)
             at = np.flatnonzero(self.gate[(h >> np.uint64(44)).astype(np.int64)] & usable)
             if not len(at):
                 continue
             lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
             for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for item, pos in self.where[a:b]:
-                    if self.items[item][1] == w:
+                for item, pos, wide in self.where[a:b]:
+                    if wide == w:
                         yield item, pos, p, w
 
 
+class Index:
+    """Windows of a block of the benchmark, by template and, where that isn't enough, by plain words."""
+
+    def __init__(self, items: list[tuple[int, str]], width: int, literals: int, least: int):
+        codes = Codes()
+        self.literals, self.items = literals, []
+        by_template, by_words = [], []
+        for item_id, text in items:
+            raw = text.split()
+            if not raw:
+                continue
+            c = coded(raw, codes)
+            token, kind, at = template(c)
+            if not len(token):
+                continue
+            i, w, words = len(self.items), min(width, len(token)), plain(c)
+            h, usable = windows(token, kind, w, literals)
+            pos = np.flatnonzero(usable)
+            by_template.append((h[pos], pos, i, w))
+            # what stands before and after an item decides on its first and its last token
+            if not usable.all() or usable[1:-1].sum() < min(least, len(pos)):
+                v = min(width, len(words))
+                x = windows(words, np.zeros(len(words), np.uint8), v, 0)[0]
+                by_words.append((x, np.arange(len(x)), i, v))
+                whole = len(x)
+            else:
+                whole = 0
+            self.items.append((item_id, whole, len(pos), slots(raw, kind, at)))
+        self.templates, self.words = Table(by_template), Table(by_words)
+
+
 def slots(raw: list[str], kind: np.ndarray, at: np.ndarray) -> dict[int, tuple[int, str]]:
     """Token position to kind and value of each slot."""
     return {int(i): (int(kind[i]), _EDGE.match(raw[at[i]])[1].lower()) for i in np.flatnonzero(kind)}
@@ -166,13 +192,12 @@ def found_in(text: str, index: Index, codes: Codes, least: int) -> list[tuple[in
     raw = text.split()
     if not raw or not index.items:
         return []
-    token, kind, at = template(raw, codes)
+    c = coded(raw, codes)
+    token, kind, at = template(c)
     diagonals: dict[tuple[int, int], list] = defaultdict(list)
-    for item, pos, p, w in index.hits(token, kind):
+    for item, pos, p, w in index.templates.hits(token, kind, index.literals):
         diagonals[item, p - pos].append((pos, w))
-    if not diagonals:
-        return []
-    mine, best = slots(raw, kind, at), {}
+    mine, best = slots(raw, kind, at) if diagonals else {}, {}
     for (item, shift), met in diagonals.items():
         item_id, _, total, theirs = index.items[item]
         if len(met) < min(least, total):
@@ -180,13 +205,23 @@ def found_in(text: str, index: Index, codes: Codes, least: int) -> list[tuple[in
         covered = {i for pos, w in met for i in range(pos, pos + w)}
         pairs = [(theirs[i], mine[i + shift]) for i in sorted(covered) if i in theirs]
         if consistent(pairs):
-            row = (len(met), "exact" if all(a[1] == b[1] for a, b in pairs) else "template")
-            best[item] = max(best.get(item, (0, "")), row)
-    return [(index.items[i][0], n, index.items[i][2], how) for i, (n, how) in sorted(best.items())]
+            row = (len(met), total, "exact" if all(a[1] == b[1] for a, b in pairs) else "template")
+            best[item] = max(best.get(item, (0, 0, "")), row)
+    if index.words.widths:
+        words, same = plain(c), Counter()
+        for item, pos, p, _ in index.words.hits(words, np.zeros(len(words), np.uint8), 0):
+            same[item, p - pos] += 1
+        verbatim = {}
+        for (item, _), n in same.items():
+            whole = index.items[item][1]
+            if item not in best and n >= min(least, whole):
+                verbatim[item] = max(verbatim.get(item, (0, 0, "")), (n, whole, "exact"))
+        best |= verbatim
+    return [(index.items[i][0], *row) for i, row in sorted(best.items())]
 
 
 def _search(batches: Iterator[pa.RecordBatch], items, width: int, literals: int, least: int) -> Iterator[pa.RecordBatch]:
-    index, codes = Index(items.value, width, literals), Codes()
+    index, codes = Index(items.value, width, literals, least), Codes()
     for b in batches:
         out = [(d, *row) for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for row in found_in(text, index, codes, least)]
         if out:
@@ -218,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
 
 
 def _without(batches: Iterator[pa.RecordBatch], at: int, items, width: int, literals: int, least: int) -> Iterator[pa.RecordBatch]:
-    index, codes = Index(items.value, width, literals), Codes()
+    index, codes = Index(items.value, width, literals, least), Codes()
     for b in batches:
         yield b.filter(pa.array([x is None or not found_in(x, index, codes, least) for x in b.column(at).to_pylist()], pa.bool_()))
 

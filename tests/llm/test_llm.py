@@ -303,6 +303,22 @@ def test_templates_and_slots(spark):
     assert not {1, 2, 7} & {r["doc_id"] for r in kept.collect()} and kept.count() >= 6
 
 
+def found_pairs(spark, items, docs):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["match_kind"] for r in decontam.contaminated(docs, items).collect()}
+
+
+def test_slot_heavy_items_are_found_as_they_stand(spark):
+    rest = "gave it to all of the others who were there on that day and then went home again without a word"
+    items = ["Calculate 12 + 35", "Sort 3, 8, 15, 4, 16, 23, 42, 7, 1, 90, 11, 62, 5, 70 now", "Teams: Anna Bob Carl Dora Emil Fritz Gerd Hans Ida Jan Karl Lea Max Nora " + rest]
+    names = " ".join(items[2].split()[:15])
+    copies = [(i, x) for i, item in enumerate(items) for x in (item, f"Please do this. {item} in the end", f"words 7 {item} 9 words")] + [(2, f"some list {names} of people")]
+    others = ["Calculate 12 + 36", items[1].replace("15", "14").replace("7,", "8,").replace("62", "63"), names.replace("Carl", "Otto").replace("Ida", "Eva"), "12 35", ""]
+    want = {(d, i): "exact" for d, (i, _) in enumerate(copies)}
+    assert found_pairs(spark, items, [x for _, x in copies] + others) == want
+
+
 def test_passages_of_the_fixture(spark):
     docs, items = docs_of(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     found = {r["doc_id"] for r in decontam.contaminated(docs, items).collect()}
