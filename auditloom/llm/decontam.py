@@ -5,7 +5,9 @@ unit) and names (capitalised within a sentence) as typed placeholders. Windows o
 joined with those of the benchmark by a hash table; a benchmark of more than ``block_chars`` characters is joined in
 blocks of bounded size, each against all documents, so that the table sent to executors never grows with the benchmark.
 Windows that meet are laid on diagonals (document position less item position); on a diagonal every slot value of the
-item must stand for one value of the document, and names must stay distinct. An item is found in a document when a
+item must stand for one value of the document, and names must stay distinct. Whether a capitalised first word is a name depends on
+what precedes the item, so an item's first window is indexed with its first word as a name and as an ordinary word; where document and
+item differ in that, the word must be the same. An item is found in a document when a
 diagonal has ``least`` windows, or all windows that the item has.
 
 Templates with fewer than ``literals`` ordinary words tell nothing, so such windows are compared by their words as they stand: items
@@ -141,6 +143,15 @@ class Table:
                         yield item, pos, p, w
 
 
+def flipped(c: np.ndarray, token: np.ndarray, kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """Tokens and kinds with a capitalised first word as a name if it is an ordinary word, and the other way round."""
+    if not c[at[0]] & np.uint64(NAME) or kind[0] not in (0, NAME):
+        return None, kind
+    token, kind = token.copy(), kind.copy()
+    token[0], kind[0] = (c[at[0]] & np.uint64(0xFFFFFFFFFFFFFF00), 0) if kind[0] else (_SLOT[NAME], NAME)
+    return token, kind
+
+
 class Index:
     """Windows of a block of the benchmark, by template and, where that isn't enough, by plain words."""
 
@@ -160,6 +171,11 @@ class Index:
             h, usable = windows(token, kind, w, literals)
             pos = np.flatnonzero(usable)
             by_template.append((h[pos], pos, i, w))
+            first, form = flipped(c, token[:w], kind[:w], at)
+            if first is not None:
+                x, fit = windows(first, form, w, literals)
+                by_template.append((x[fit], np.flatnonzero(fit), i, w))
+            value = _EDGE.match(raw[at[0]])[1].lower()
             # what stands before and after an item decides on its first and its last token
             if not usable.all() or usable[1:-1].sum() < min(least, len(pos)):
                 v = min(width, len(words))
@@ -168,7 +184,7 @@ class Index:
                 whole = len(x)
             else:
                 whole = 0
-            self.items.append((item_id, whole, len(pos), slots(raw, kind, at)))
+            self.items.append((item_id, whole, len(pos), slots(raw, kind, at), value))
         self.templates, self.words = Table(by_template), Table(by_words)
 
 
@@ -199,12 +215,16 @@ def found_in(text: str, index: Index, codes: Codes, least: int) -> list[tuple[in
         diagonals[item, p - pos].append((pos, w))
     mine, best = slots(raw, kind, at) if diagonals else {}, {}
     for (item, shift), met in diagonals.items():
-        item_id, _, total, theirs = index.items[item]
+        _, _, total, theirs, value = index.items[item]
+        total = max(total, 1)  # the first window may be usable in its other form only
         if len(met) < min(least, total):
             continue
         covered = {i for pos, w in met for i in range(pos, pos + w)}
-        pairs = [(theirs[i], mine[i + shift]) for i in sorted(covered) if i in theirs]
-        if consistent(pairs):
+        pairs = [(theirs[i], mine[i + shift]) for i in sorted(covered) if i in theirs and i + shift in mine]
+        alone = (NAME, value) if 0 in covered and (0 in theirs) != (shift in mine) else None
+        if alone:
+            pairs.append((alone, mine.get(shift, alone)))
+        if consistent(pairs) and (not alone or pairs[-1][1] == alone):
             row = (len(met), total, "exact" if all(a[1] == b[1] for a, b in pairs) else "template")
             best[item] = max(best.get(item, (0, 0, "")), row)
     if index.words.widths:

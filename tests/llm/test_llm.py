@@ -319,6 +319,16 @@ def test_slot_heavy_items_are_found_as_they_stand(spark):
     assert found_pairs(spark, items, [x for _, x in copies] + others) == want
 
 
+def test_short_items_are_found_wherever_they_stand(spark):
+    items = ["What is the capital of the northern province", "Peter gave all of his 12 apples to a friend", "- Anna walks slowly to the old market square"]
+    copies = [(i, lead + item) for i, item in enumerate(items) for lead in ("Question: ", "so, ", "title line\n", "It ends. ", "")]
+    changed = [(1, "Question: Peter gave all of his 15 apples to a friend"), (2, "It ends. Anna walks slowly to the old market square")]
+    others = ["Question: Where is the capital of the northern province", "Question: Paul gave all of his 15 apples to a friend"]
+    got = found_pairs(spark, items, [x for _, x in copies + changed] + others)
+    assert set(got) == {(d, i) for d, (i, _) in enumerate(copies + changed)}
+    assert [k for k in got if got[k] != "exact"] == [(len(copies), 1)]
+
+
 def test_passages_of_the_fixture(spark):
     docs, items = docs_of(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     found = {r["doc_id"] for r in decontam.contaminated(docs, items).collect()}
