@@ -69,6 +69,17 @@ def near_duplicate_pairs(pages: DataFrame, key: str, threshold: float = 0.75, k:
     return scored.unionByName(same)
 
 
+def unlike_pairs(pairs: DataFrame) -> DataFrame:
+    """All pairs under 1 from those of near_duplicate_pairs, also those of the members of a class for which its first one stands."""
+    pairs = scratch.written(pairs, "pairs")
+    members = pairs.where("jaccard = 1").select(F.col("a").alias("first"), F.col("b").alias("member"))
+    out = pairs.where("jaccard < 1")
+    for side in ("a", "b"):
+        other = out.join(members, F.col(side) == F.col("first")).drop(side, "first").withColumnRenamed("member", side)
+        out = out.unionByName(other)
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+
+
 def near_duplicate_clusters(pages: DataFrame, key: str, threshold: float = 0.75, k: int = 8, max_pages: int | None = 300) -> DataFrame:
     """(id, cluster) of pages in clusters of more than one; none if there are more than max_pages, unless that is None."""
     if max_pages is not None and pages.limit(max_pages + 1).count() > max_pages:

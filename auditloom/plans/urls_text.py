@@ -203,7 +203,7 @@ def near_dup_pairs(spark, d):
     """Pairs of unlike near-duplicate documents, the first of each text."""
     docs = corpus.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     firsts = docs.groupBy("text").agg(F.min("id").alias("id"))
-    pairs = content.near_duplicate_pairs(firsts, "id").where("jaccard < 1")
+    pairs = content.unlike_pairs(content.near_duplicate_pairs(firsts, "id"))
     return pairs.select("a", "b", (half_up(F.col("jaccard") * 1000000) / 1000000).alias("jaccard"))
 
 

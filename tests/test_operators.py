@@ -195,6 +195,22 @@ def test_outputs(spark, tmp_path):
     assert spark.read.parquet(out).count() == 1
 
 
+def test_near_dup_pairs_of_case_variants(spark, tmp_path):
+    import duckdb
+
+    from auditloom.plans import catalog
+
+    words = [a * 3 + b * 2 for a in "abcdef" for b in "klmnop"]
+    text, near = " ".join(words), " ".join([*words[:-1], "another"])
+    rows = [(5, text), (2, text.upper()), (9, text + "."), (4, near), (1, near.title()), (7, text), (8, "nothing like the others at all but long enough for some shingles"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.ORACLE_SQL["near_dup_pairs"]).fetchall())
+    got = catalog.QUERIES["near_dup_pairs"](spark, str(tmp_path)).collect()
+    assert sorted((r["a"], r["b"], r["jaccard"]) for r in got) == want and len(want) == 6
+
+
 def test_payload_is_json(spark):
     from auditloom.plans import catalog
 
