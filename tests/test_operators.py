@@ -218,6 +218,18 @@ def test_payload_is_json(spark):
     assert set(json.loads(row)) == {"project_metadata", "scores", "persona_findings"}
 
 
+def test_payload_covers_all_findings(spark):
+    from auditloom.plans import catalog, fixtures
+
+    d = "/root/testdata/sf0.001"
+    found = json.loads(catalog.QUERIES["payload"](spark, d).first()["json"])["persona_findings"]
+    f = fixtures.findings(spark, d)
+    types = {r["finding_type"]: r for r in f.groupBy("finding_type").agg(F.count("*").alias("n"), F.max("affected_page_count").alias("most")).collect()}
+    assert f.count() > 100 and len(found["content_strategist"]["duplicate_clusters"]) == types["near_duplicate_content"]["n"]
+    assert found["ux_lead"]["orphan_pages_count"] == types["orphan_page"]["most"] and found["content_strategist"]["missing_metadata_count"] == types["missing_title"]["most"]
+    assert len(found["business_analyst"]["prioritized_backlog_items"]) == scoring.backlog(f).count()
+
+
 def test_streams(spark, tmp_path):
     from auditloom.streaming import crawl_state
 
