@@ -9,8 +9,9 @@ stand beside ``support`` distinct seeds or more discover the unseen candidates b
 Texts are read once; occurrences with their contexts go to a table in the shared folder, and all counts are grouped with partial
 aggregation, so a pattern or an entity may hold any share of the rows.
 
-Regular expressions are possessive and begin only where a run of their first class begins (or where the last match ended), so that
-long runs cost linear time and the matches are those of the plain expressions.
+Positions are running totals, taken in rounds that double, so a text of n matches costs n log n steps, however many it has. Regular
+expressions are possessive and begin only where a run of their first class begins (or where the last match ended), so that long runs
+cost linear time and the matches are those of the plain expressions.
 
 Defined results: a null text is empty and has no span; the hash of no spans is that of the empty string; rows that repeat give
 repeated rows; positions count code points; other columns are not read.
@@ -35,28 +36,23 @@ NEAR = 48
 _NONE = "CAST(array() AS array<struct<s:int,e:int,k:int,t:string,l:string,r:string>>)"
 
 
-def _located(text: str, pattern: str, kind: int, valid: str) -> str:
-    """SQL for the spans of a pattern: start, end, kind, text, words before and after. ``valid`` judges a match m.
-
-    The pieces between matches give the positions: their lengths and those of the matches add up.
-    """
-    r = "r'" + pattern.replace("'", "\\'") + "'"
+def scanned(array: str, step: str, nothing: str) -> str:
+    """SQL for the running totals of an array, ``step`` of v and w: each round adds what lies 2**k places before, so n elements cost n log n."""
     return f"""
-        aggregate(
-            arrays_zip(sequence(0, size({kind_m(kind)}) - 1), {kind_m(kind)}),
-            named_struct('at', 0, 'gaps', split({text}, {r}, -1), 'out', {_NONE}),
-            (a, x) -> named_struct(
-                'at', a.at + length(a.gaps[x['0']]) + length(x['{kind_m(kind)}']),
-                'gaps', a.gaps,
-                'out', concat(a.out, filter(array(named_struct(
-                    's', a.at + length(a.gaps[x['0']]), 'e', a.at + length(a.gaps[x['0']]) + length(x['{kind_m(kind)}']), 'k', {kind}, 't', x['{kind_m(kind)}'],
-                    'l', right(a.gaps[x['0']], {NEAR}), 'r', left(a.gaps[x['0'] + 1], {NEAR}))),
-                    y -> {valid}))),
-            a -> a.out)"""
+        aggregate(sequence(0, int(ceil(log2(greatest(size({array}), 1))))), {array},
+            (a, k) -> transform(a, (v, i) -> {step.replace('w', f'(CASE WHEN i >= shiftleft(1, k) THEN a[i - shiftleft(1, k)] ELSE {nothing} END)')}))"""
+
 
+def _located(kind: int, valid: str) -> str:
+    """SQL for the spans of a kind: start, end, kind, text, words before and after. ``valid`` judges a match y.
 
-def kind_m(kind: int) -> str:
-    return f"m{kind}"
+    The pieces between matches (g) give the positions: their lengths and those of the matches (m) add up to the matches' ends (e).
+    """
+    # arrays meet in one zip: an array named inside a lambda may be computed again for each element
+    return f"""
+        filter(transform(arrays_zip(m{kind}, e{kind}, g{kind}, slice(g{kind}, 2, size(m{kind}))),
+                         z -> named_struct('s', z.e{kind} - length(z.m{kind}), 'e', z.e{kind}, 'k', {kind}, 't', z.m{kind}, 'l', right(z.g{kind}, {NEAR}), 'r', left(z.`3`, {NEAR}))),
+               y -> y.t IS NOT NULL AND {valid})"""
 
 
 _DIGITS = "length(regexp_replace(y.t, '[^0-9]', ''))"
@@ -75,12 +71,23 @@ _WORD_BEFORE, _WORD_AFTER = r"(\p{L}+)[^\p{L}\s]{0,3}\s{0,2}$", r"^\s{0,2}[^\p{L
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash, base spans and other strings with digits, one row per document."""
+    """doc_id, text hash, base spans and other strings with digits that meet none of them, one row per document."""
+    kinds = range(len(_RULES))
+    none, ints = "CAST(array() AS array<string>)", "CAST(array() AS array<int>)"
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("_t"))
-    rows = rows.select("doc_id", "_t", *(F.expr(f"CASE WHEN {gate} THEN regexp_extract_all(_t, r'{p}', 0) ELSE CAST(array() AS array<string>) END").alias(kind_m(i)) for i, (gate, p, _) in enumerate(_RULES)))
-    rows = rows.select("doc_id", F.xxhash64("_t").alias("hash"), *(F.expr(f"CASE WHEN size({kind_m(i)}) = 0 THEN {_NONE} ELSE {_located('_t', p, i, valid)} END").alias(f"f{i}") for i, (_, p, valid) in enumerate(_RULES)))
-    rows = rows.select("doc_id", "hash", F.concat("f0", "f1", "f2", "f3").alias("base"), "f4")
-    return rows.select("doc_id", "hash", F.array_sort("base").alias("base"), F.expr("CASE WHEN size(f4) = 0 THEN f4 ELSE filter(f4, c -> NOT exists(base, b -> b.s < c.e AND c.s < b.e)) END").alias("other"))
+    rows = rows.select("doc_id", "_t", *(F.expr(f"CASE WHEN {gate} THEN regexp_extract_all(_t, r'{p}', 0) ELSE {none} END").alias(f"m{i}") for i, (gate, p, _) in enumerate(_RULES)))
+    rows = rows.select("doc_id", F.xxhash64("_t").alias("hash"), *(f"m{i}" for i in kinds), *(F.expr(f"CASE WHEN size(m{i}) > 0 THEN split(_t, r'{p}', -1) ELSE {none} END").alias(f"g{i}") for i, (_, p, _) in enumerate(_RULES)))
+    rows = rows.select("*", *(F.expr(f"zip_with(m{i}, slice(g{i}, 1, size(m{i})), (t, x) -> length(x) + length(t))").alias(f"n{i}") for i in kinds))
+    rows = rows.select("*", *(F.expr(f"CASE WHEN size(m{i}) = 0 THEN {ints} ELSE {scanned(f'n{i}', 'v + w', '0')} END").alias(f"e{i}") for i in kinds))
+    rows = rows.select("doc_id", "hash", *(F.expr(f"CASE WHEN size(m{i}) = 0 THEN {_NONE} ELSE {_located(i, valid)} END").alias(f"f{i}") for i, (_, _, valid) in enumerate(_RULES)))
+    rows = rows.select("doc_id", "hash", F.array_sort(F.concat("f0", "f1", "f2", "f3")).alias("base"), "f4")
+    # in the order of all spans, the furthest end of the base spans before a candidate and the next start of those after it
+    some = "size(f4) > 0 AND size(base) > 0"
+    rows = rows.select("doc_id", "hash", "base", "f4", F.expr(f"CASE WHEN {some} THEN array_sort(concat(base, f4)) ELSE {_NONE} END").alias("every"))
+    rows = rows.select("*", F.expr("transform(every, c -> CASE WHEN c.k < 4 THEN c.e ELSE 0 END)").alias("ends"), F.expr("transform(reverse(every), c -> CASE WHEN c.k < 4 THEN c.s ELSE 2147483647 END)").alias("starts"))
+    rows = rows.select("doc_id", "hash", "base", "f4", "every", *(F.expr(f"CASE WHEN size(every) = 0 THEN {ints} ELSE {scanned(c, f'{f}(v, w)', z)} END").alias(c) for c, f, z in (("ends", "greatest", "0"), ("starts", "least", "2147483647"))))
+    other = "CASE WHEN size(every) = 0 THEN f4 ELSE transform(filter(arrays_zip(every, ends, reverse(starts)), z -> z.every.k = 4 AND z.ends <= z.every.s AND z.`2` >= z.every.e), z -> z.every) END"
+    return rows.select("doc_id", "hash", "base", F.expr(other).alias("other"))
 
 
 def patterns(found: DataFrame, rounds: int, shrink: float) -> DataFrame:
