@@ -6,11 +6,12 @@ from a key alphabet with a fixed seed, so that the model exists before any secre
 ordinary words. The fitting rows are a bounded sample by hash of doc_id (``fit_rows``); the scan reads every whole text.
 
 Base spans (kinds assign, access, hex) stay as found. A candidate is a maximal run of ``[A-Za-z0-9+/_=-]`` of
-``shortest`` characters or more, with a digit and a letter, that meets no base span; it becomes a span of kind
-``random`` if its mean log-likelihood ratio per character exceeds ``threshold``.
+``SHORTEST`` characters or more that meets no base span, whatever it is made of; it becomes a span of kind ``random`` if its
+log-likelihood ratio exceeds ``evidence`` (the odds against a run being a key, so that short runs must stand out more)
+and ``threshold`` for each character.
 
 Defined results: a null text is empty and has no span; the hash of no spans is that of the empty string; equal rows
-give equal rows; other columns are not read. Positions count code points.
+give equal rows; other columns are not read; a very long run is one candidate, in linear time. Positions count code points.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import hashlib
 import re
 import string
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so the length may stand in the pattern
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 _CODE = {c: i for i, c in enumerate(ALPHABET)}
 _TABLE = np.zeros(128, dtype=np.int64)
@@ -95,53 +98,57 @@ _WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pair counts of found values and of ordinary words, one row for each batch."""
+    """A task's pair counts of found values, and behind them those of ordinary words."""
+    k = len(ALPHABET)
+    total = np.zeros((2, k + 1, k), dtype=np.int64)
     for b in batches:
-        secret, plain = [], []
         for text in b.column(0).to_pylist():
             spans = base_spans(text)
-            secret += base_values(text)
-            for m in _WORD.finditer(text):
-                if not any(s < m.end() and m.start() < e for s, _, e in spans):
-                    plain.append(m[0])
-        keep = [s for s in secret if all(c in _CODE for c in s)]
-        ordinary = [s for s in plain if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s))]
-        yield pa.RecordBatch.from_arrays([pa.array([pair_counts(keep).tobytes()]), pa.array([pair_counts(ordinary).tobytes()])], names=["secret", "plain"])
+            met = np.zeros(len(text) + 1, dtype=bool)
+            for s, _, e in spans:
+                met[s:e] = True
+            total[0] += pair_counts([s for s in base_values(text) if all(c in _CODE for c in s)])
+            total[1] += pair_counts([m[0] for m in _WORD.finditer(text) if not met[m.start() : m.end()].any() and not _mixed(m[0])])
+    flat = total.reshape(-1)
+    at = np.flatnonzero(flat)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["i", "n"])
 
 
 def fit(docs: DataFrame, fit_rows: int = 2000) -> np.ndarray:
-    """The table of log-likelihood ratios for character pairs."""
+    """The table of log-likelihood ratios for character pairs; counts are summed before they are collected."""
     common.prepare(docs.sparkSession)
-    total = docs.count()
-    share = min(1.0, fit_rows / max(1, total))
+    share = min(1.0, fit_rows / max(1, docs.count()))
     unit = F.xxhash64(common.id_text(docs["doc_id"]), F.lit("secrets")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    rows = docs.where(unit < share).select(common.text_of(docs).alias("text")).transform(common.arrow, _samples, "secret binary, plain binary").collect()
+    counted = docs.where(unit < share).select(common.text_of(docs).alias("text")).transform(common.arrow, _samples, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
     k = len(ALPHABET)
-    secret, plain = pair_counts(random_samples()), np.zeros((k + 1, k), dtype=np.int64)
-    for r in rows:
-        secret += np.frombuffer(r["secret"], np.int64).reshape(k + 1, k)
-        plain += np.frombuffer(r["plain"], np.int64).reshape(k + 1, k)
-    return log_model(secret) - log_model(plain)
+    total = np.zeros(2 * (k + 1) * k, dtype=np.int64)
+    for r in counted.collect():
+        total[r["i"]] = r["n"]
+    secret, plain = total.reshape(2, k + 1, k)
+    return log_model(secret + pair_counts(random_samples())) - log_model(plain)
 
 
 def ratio(s: str, table: np.ndarray) -> float:
-    """Mean log-likelihood ratio per character."""
+    """The log-likelihood ratio of a string."""
     c = codes(s)
-    return float((table[-1, c[0]] + table[c[:-1], c[1:]].sum()) / len(c))
+    return float(table[-1, c[0]] + table[c[:-1], c[1:]].sum())
 
 
 def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
-def spans(text: str, table: np.ndarray, threshold: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans(text: str, table: np.ndarray, threshold: float, evidence: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and those together with what the models add."""
     base = base_spans(text)
-    more = [
-        (m.start(), 3, m.end())
-        for m in CANDIDATE.finditer(text)
-        if _mixed(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base) and ratio(m[0], table) > threshold
-    ]
+    more, i = [], 0
+    reach = list(accumulate((e for _, _, e in base), max))  # furthest end of the base spans up to each
+    for m in CANDIDATE.finditer(text):
+        s, e = m.span()
+        while i < len(base) and base[i][0] < e:
+            i += 1
+        if not (i and reach[i - 1] > s) and ratio(m[0], table) > max(evidence, threshold * (e - s)):
+            more.append((s, 3, e))
     return base, sorted(base + more) if more else base
 
 
@@ -152,11 +159,11 @@ def shown(found: list[tuple[int, int, int]]) -> str:
 _OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], table: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], table: np.ndarray, threshold: float, evidence: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[] for _ in range(6)]
         for text in b.column(1).to_pylist():
-            base, every = spans(text, table, threshold)
+            base, every = spans(text, table, threshold, evidence)
             kinds = [k for _, k, _ in every]
             row = (*(kinds.count(k) for k in range(3)), hashlib.sha256(shown(base).encode()).hexdigest(), shown(every), kinds.count(3))
             for column, x in zip(out, row, strict=True):
@@ -165,8 +172,8 @@ def _scan(batches: Iterator[pa.RecordBatch], table: np.ndarray, threshold: float
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=[x.split()[0] for x in _OUT.split(", ")])
 
 
-def scan(docs: DataFrame, threshold: float = 1.0, fit_rows: int = 2000) -> DataFrame:
+def scan(docs: DataFrame, threshold: float = 1.0, evidence: float = 16.0, fit_rows: int = 2000) -> DataFrame:
     """One row per document with its secrets."""
     table = fit(docs, fit_rows)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
-    return rows.transform(common.arrow, lambda it: _scan(it, table, threshold), _OUT)
+    return rows.transform(common.arrow, lambda it: _scan(it, table, threshold, evidence), _OUT)
