@@ -4,11 +4,15 @@ Features are hashed n-grams of one to ``N`` lower-cased characters; tf is the sh
 from the fitting rows. Weights are trained with follow-the-regularised-leader (per-coordinate rates, L1 and L2),
 then a temperature is fitted on rows that the weights haven't seen.
 
-The model is fitted on a bounded sample: about ``per_label`` rows of each label, at most ``labels`` labels, taken by
-a hash of doc_id; everything else covers whole texts of all rows.
+A text also has a rarity, the mean idf of its n-grams: how seldom the fitting rows have what it is made of. It doesn't depend on
+the labels or their number. ``keep_known`` takes a text for one of no learned language where its rarity exceeds by ``margin`` all
+that the rows held back from the weights show; texts of fewer than ``LEAST_GRAMS`` n-grams are too short to tell, and stay.
+
+The model is fitted on a bounded sample: about ``per_label`` rows of each label, taken by a hash of doc_id; everything else
+covers whole texts of all rows. Every label is learned: the model has a column for each, as a language list is short.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every text if no labelled
-row exists; equal texts get equal results; other columns are not read.
+row exists (``keep_known`` then drops all); equal texts get equal results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ CHUNK = 400_000
 SCALE = 40.0
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 UNKNOWN = "und"
+LEAST_GRAMS = 60
 
 
 def code_points(text: str) -> np.ndarray:
@@ -50,6 +55,11 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
+def grams(length: int) -> int:
+    """The number of n-grams of a text."""
+    return sum(max(0, length - n + 1) for n in range(1, N + 1))
+
+
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a whole text with their shares."""
     total = np.zeros(DIM, dtype=np.int64)
@@ -65,10 +75,10 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(label, *map(np.ndarray.tobytes, counts(text)), order) for label, text, order in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if has_letter(text)]
+        rows = [(label, *map(np.ndarray.tobytes, counts(text)), order, grams(len(text))) for label, text, order in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if has_letter(text)]
         if rows:
-            label, at, share, order = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(at, pa.binary()), pa.array(share, pa.binary()), pa.array(order, pa.int64())], names=["label", "at", "share", "order"])
+            label, at, share, order, size = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(at, pa.binary()), pa.array(share, pa.binary()), pa.array(order, pa.int64()), pa.array(size, pa.int64())], names=["label", "at", "share", "order", "size"])
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -113,22 +123,22 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def fit(docs: DataFrame, per_label: int = 800, labels: int = 500, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> dict:
-    """Fit on the rows of docs (text, label, id) with both text and label; a dict of arrays, of bounded size."""
+def fit(docs: DataFrame, per_label: int = 800, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> dict:
+    """Fit on the rows of docs (text, label, id) with both text and label; a dict of arrays. The last column of the weights, after the labels, gives a text's rarity."""
     spark = common.prepare(docs.sparkSession)
     rows = docs.where(F.col("text").isNotNull() & F.col("label").isNotNull())
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(labels).collect()}
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes)
     if not names:
-        return {"labels": [], "weights": np.zeros((DIM, 0), np.float32), "bias": np.zeros(0), "temperature": 1.0}
+        return {"labels": [], "weights": np.zeros((DIM, 1), np.float32), "bias": np.zeros(1), "temperature": 1.0, "rarest": np.inf}
     unit = (F.xxhash64(common.id_text(F.col("id")), F.lit("fit")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("unit")
     share = spark.createDataFrame([(k, min(1.0, per_label / v)) for k, v in sizes.items()], "label string, share double")
     picked = rows.join(F.broadcast(share), "label").where(unit < F.col("share"))
-    got = picked.select("label", "text", F.xxhash64(common.id_text(F.col("id")), F.lit("order")).alias("order")).transform(common.arrow, _vectors, "label string, at binary, share binary, order long").collect()
+    got = picked.select("label", "text", F.xxhash64(common.id_text(F.col("id")), F.lit("order")).alias("order")).transform(common.arrow, _vectors, "label string, at binary, share binary, order long, size long").collect()
     got.sort(key=lambda r: (r["order"], r["label"], r["at"]))
     index = {x: i for i, x in enumerate(names)}
     seen = np.zeros(DIM)
-    data = []
+    data, sizes = [], np.array([r["size"] for r in got])
     for r in got:
         at, tf = np.frombuffer(r["at"], np.uint32), np.frombuffer(r["share"], np.float32)
         seen[at] += 1
@@ -139,12 +149,19 @@ def fit(docs: DataFrame, per_label: int = 800, labels: int = 500, epochs: int =
     w = ftrl(ready[cut:], len(names), epochs, alpha, beta, l1, l2)
     held = np.array([x @ w[at] for at, x, _ in ready[:cut]]).reshape(cut, len(names))
     t = temperature(held, np.array([y for _, _, y in ready[:cut]], dtype=int))
-    return {"labels": names, "weights": (w[:DIM] * (idf * SCALE)[:, None]).astype(np.float32), "bias": w[DIM], "temperature": t}
+    # n-grams that only the held rows have would not be known, so what they show is counted by the others
+    known = np.zeros(DIM)
+    for at, _, _ in data[cut:]:
+        known[at] += 1
+    rare = np.log((1 + len(data) - cut) / (1 + known)) + 1
+    shown = [float(tf @ rare[at]) for (at, tf, _), n in zip(data[:cut], sizes[:cut], strict=True) if n >= LEAST_GRAMS]
+    weights = np.column_stack([w[:DIM] * (idf * SCALE)[:, None], rare]).astype(np.float32)
+    return {"labels": names, "weights": weights, "bias": np.append(w[DIM], 0.0), "temperature": t, "rarest": max(shown, default=np.inf)}
 
 
 def logits(texts: list[str], model: dict) -> np.ndarray:
-    """Logits of whole texts; short ones are laid end to end and summed by segment."""
-    w, k = model["weights"], len(model["labels"])
+    """Logits of whole texts, and their rarity in the last column; short texts are laid end to end and summed by segment."""
+    w, k = model["weights"], model["weights"].shape[1]
     out = np.zeros((len(texts), k))
     i = 0
     while i < len(texts):
@@ -189,22 +206,23 @@ def _predict(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Reco
     names, t = model["labels"], model["temperature"]
     for b in batches:
         texts = b.column(1).to_pylist()
-        label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        label, score, rarity = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         some = [i for i, x in enumerate(texts) if x is not None and has_letter(x)]
         if names and some:
-            p = softmax(logits([texts[i] for i in some], model) / t)
+            z = logits([texts[i] for i in some], model)
+            p = softmax(z[:, : len(names)] / t)
             best = p.argmax(axis=1)
             for i, j in zip(some, best, strict=True):
                 label[i] = names[j]
-            score[some] = p[np.arange(len(some)), best]
+            score[some], rarity[some] = p[np.arange(len(some)), best], z[:, -1]
         kept = [b.column(i) for i in range(b.num_columns) if i != 1]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(label, pa.string()), pa.array(score)], names=[*(n for i, n in enumerate(b.schema.names) if i != 1), "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(label, pa.string()), pa.array(score), pa.array(rarity)], names=[*(n for i, n in enumerate(b.schema.names) if i != 1), "lang_pred", "score", "rarity"])
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs has _id and text columns first; returns doc_id, lang_pred, score."""
+    """One row per document: doc_id, lang_pred, score, rarity."""
     common.prepare(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).transform(common.arrow, lambda it: _predict(it, model), "doc_id long, lang_pred string, score double")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).transform(common.arrow, lambda it: _predict(it, model), "doc_id long, lang_pred string, score double, rarity double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -215,11 +233,11 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, **fit_options) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     found = predict(docs, fit(training_rows(docs), **fit_options))
-    return found.select("doc_id", (common.id_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (common.id_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rarity")
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, least: float = 0.3, **fit_options) -> DataFrame:
-    """docs without the rows whose language is unknown or uncertain; all columns pass through, rows as often as they occur."""
+def keep_known(spark: SparkSession, docs: DataFrame, margin: float = 0.25, **fit_options) -> DataFrame:
+    """docs without the rows that have no letter or are in no learned language; all columns pass through, rows as often as they occur."""
     common.prepare(spark)
     model = fit(training_rows(docs), **fit_options)
 
@@ -227,7 +245,9 @@ def keep_known(spark: SparkSession, docs: DataFrame, least: float = 0.3, **fit_o
         for b in batches:
             two = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(at)], names=["doc_id", "text"])
             found = next(_predict(iter([two]), model))
-            keep = np.array([x != UNKNOWN for x in found.column(1).to_pylist()], dtype=bool) & (found.column(2).to_numpy() >= least)
+            long = np.array([x is not None and grams(len(x)) >= LEAST_GRAMS for x in b.column(at).to_pylist()], dtype=bool)
+            strange = long & (found.column(3).to_numpy() > (1 + margin) * model["rarest"])
+            keep = np.array([x != UNKNOWN for x in found.column(1).to_pylist()], dtype=bool) & ~strange
             yield b.filter(pa.array(keep))
 
     at = docs.columns.index("text")
