@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common, decontam, exact_dedup, hpylm, language_id, mixing, ngram_join, pii, quality, secrets, url_filter
 
@@ -40,7 +41,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every whole text, learned from the documents outside the fold 2 of 7."""
     docs = common.table(spark, sf_dir, "documents")
-    return hpylm.score(docs, common.id_mod(docs["doc_id"], 7) != 2)
+    held = common.id_mod(F.col("doc_id"), 7) == 2
+    return hpylm.score(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
