@@ -6,6 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,29 @@ def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return df.mapInArrow(run, schema)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows that are sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(b.num_rows - 1, dtype=bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1), b.num_rows]
+        for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, e - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def small_side(df: DataFrame, most: int) -> DataFrame:
     """A join side of few short columns, with a broadcast hint if it is counted to have at most ``most`` rows. Pass a checkpointed or written side."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

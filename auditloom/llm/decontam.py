@@ -1,33 +1,35 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes a template: its words in lower case without surrounding punctuation, numbers, quantities (number and
-unit) and names (capitalised within a sentence) as typed placeholders. Windows of ``width`` template tokens are hashed and
-joined with those of the benchmark by a hash table; a benchmark of more than ``block_chars`` characters is joined in
-blocks of bounded size, each against all documents, so that the table sent to executors never grows with the benchmark.
-Windows that meet are laid on diagonals (document position less item position); on a diagonal every slot value of the
-item must stand for one value of the document, and names must stay distinct. Whether a capitalised first word is a name depends on
-what precedes the item, so an item's first window is indexed with its first word as a name and as an ordinary word; where document and
-item differ in that, the word must be the same. An item is found in a document when a
-diagonal has ``least`` windows, or all windows that the item has.
+unit) and names (capitalised within a sentence) as typed placeholders. Windows of ``width`` template tokens of documents and items
+are hashed and joined; windows that meet are laid on diagonals (document position less item position); on a diagonal every slot
+value of the item must stand for one value of the document, and names must stay distinct. Whether a capitalised first word is a name depends
+on what precedes the item, so an item's first window stands in both forms; where document and item differ in that, the word must be the
+same. An item is found in a document when a diagonal has ``least`` windows, or all windows that the item has.
 
 Templates with fewer than ``literals`` ordinary words tell nothing, so such windows are compared by their words as they stand: items
 that have one, or that could fall short of windows which don't depend on what surrounds them, are indexed by their plain words too, and
 are found where the plain windows reach the same number. An item shorter than ``width`` is one window. Documents are read whole.
 
-Defined results: null and empty texts hold nothing; an empty benchmark finds nothing; rows that repeat give repeated
-rows; items with a null text or without words are never found; other columns are not read.
+Plan. The items' windows are a table; a bit set of their hashes, of bounded size, goes to all tasks, and only windows of
+documents that it lets through leave them, once for each distinct text and task. They are joined with the table by hash (the table is broadcast
+only if it is counted to be small), and a text's windows of one item meet in one task, sorted, where slots are checked. What is found is
+joined to the documents by a 128-bit hash of the text. Benchmarks of any size thus take one scan of the documents.
+
+Defined results: null and empty texts hold nothing; an empty benchmark finds nothing; rows of documents that repeat give repeated
+rows; rows of the benchmark that repeat are one item; items with a null text or without words are never found; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -38,9 +40,23 @@ EMPTY, NUMBER, NAME, UNIT, END, QUANTITY = 1, 2, 4, 8, 16, 32
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs day days hour hours minute minutes second seconds meter meters metre metres mile miles gram grams kilogram kilograms liter liters litre litres foot feet inch inches pound pounds ounce ounces dollar dollars euro euros usd eur cent cents percent degrees kmh mph hz khz mhz ghz kb mb gb tb w kw v a".split())
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*\Z")
 _GLUED = re.compile(r"[+-]?\d[\d.,]*([^\W\d_]+|%)\Z")
-_EDGE = re.compile(r"\A\W*(.*?)(\W*)\Z", re.DOTALL)
 _SLOT = {NUMBER: np.uint64(0x1111111111111100), QUANTITY: np.uint64(0x2222222222222200), NAME: np.uint64(0x3333333333333300)}
 _P = np.uint64(0x9E3779B97F4A7C15)
+_CORE = np.uint64(0xFFFFFFFFFFFFFF00)
+#: Forms of a window: template, or words as they stand.
+TEMPLATE, WORDS = 0, 1
+#: Binary logarithm of the bits of the largest gate; rows of items' windows up to which they are broadcast, and of what is found.
+GATE_BITS, SMALL_WINDOWS, SMALL_FOUND = 27, 200_000, 1_000_000
+
+
+def edges(raw: str) -> tuple[str, str]:
+    """A raw word without surrounding punctuation, and the punctuation behind it."""
+    a, e = 0, len(raw)
+    while a < e and not (raw[a].isalnum() or raw[a] == "_"):
+        a += 1
+    while a < e and not (raw[e - 1].isalnum() or raw[e - 1] == "_"):
+        e -= 1
+    return raw[a:e], raw[e:] if a < e else ""
 
 
 def code_of(raw: str) -> int:
@@ -48,8 +64,7 @@ def code_of(raw: str) -> int:
     if raw.isalpha() and raw.islower():
         core, flags = raw, UNIT if raw in UNITS else 0
     else:
-        m = _EDGE.match(raw)
-        core, tail = m[1], m[2]
+        core, tail = edges(raw)
         flags = END if any(c in ".!?" for c in tail) else 0
         if not core:
             return flags | EMPTY
@@ -83,7 +98,7 @@ def coded(raw: list[str], codes: Codes) -> np.ndarray:
 
 def plain(c: np.ndarray) -> np.ndarray:
     """Tokens of the words as they stand, without placeholders."""
-    return c[(c & np.uint64(EMPTY)) == 0] & np.uint64(0xFFFFFFFFFFFFFF00)
+    return c[(c & np.uint64(EMPTY)) == 0] & _CORE
 
 
 def template(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +111,7 @@ def template(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind[:-1][unit[1:]] = QUANTITY
     at = np.flatnonzero(keep & ~unit)
     kind = kind[at]
-    token = c[at] & np.uint64(0xFFFFFFFFFFFFFF00)
+    token = c[at] & _CORE
     for k, h in _SLOT.items():
         token[kind == k] = h
     return token, kind, at
@@ -117,83 +132,60 @@ def windows(token: np.ndarray, kind: np.ndarray, width: int, literals: int) -> t
     return x, plain[width:] - plain[:n] >= min(literals, width)
 
 
-class Table:
-    """Hashes of windows with the items, places and widths at which they stand."""
-
-    def __init__(self, found: list[tuple[np.ndarray, np.ndarray, int, int]]):
-        """found: hashes, their places, the item and the width."""
-        h = np.concatenate([x[0] for x in found]) if found else np.empty(0, np.uint64)
-        where = [(item, int(p), w) for _, pos, item, w in found for p in pos]
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.where, self.widths = h[order], [where[i] for i in order], {x[3] for x in found}
-        self.gate = np.zeros(1 << 20, dtype=bool)
-        self.gate[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def hits(self, token: np.ndarray, kind: np.ndarray, literals: int) -> Iterator[tuple[int, int, int, int]]:
-        """(item, item position, document position, width) of windows that meet."""
-        for w in self.widths:
-            h, usable = windows(token, kind, w, literals)
-            at = np.flatnonzero(self.gate[(h >> np.uint64(44)).astype(np.int64)] & usable)
-            if not len(at):
-                continue
-            lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for item, pos, wide in self.where[a:b]:
-                    if wide == w:
-                        yield item, pos, p, w
-
-
 def flipped(c: np.ndarray, token: np.ndarray, kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
     """Tokens and kinds with a capitalised first word as a name if it is an ordinary word, and the other way round."""
     if not c[at[0]] & np.uint64(NAME) or kind[0] not in (0, NAME):
         return None, kind
     token, kind = token.copy(), kind.copy()
-    token[0], kind[0] = (c[at[0]] & np.uint64(0xFFFFFFFFFFFFFF00), 0) if kind[0] else (_SLOT[NAME], NAME)
+    token[0], kind[0] = (c[at[0]] & _CORE, 0) if kind[0] else (_SLOT[NAME], NAME)
     return token, kind
 
 
-class Index:
-    """Windows of a block of the benchmark, by template and, where that isn't enough, by plain words."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int, literals: int, least: int):
-        codes = Codes()
-        self.literals, self.items = literals, []
-        by_template, by_words = [], []
-        for item_id, text in items:
-            raw = text.split()
-            if not raw:
-                continue
-            c = coded(raw, codes)
-            token, kind, at = template(c)
-            if not len(token):
-                continue
-            i, w, words = len(self.items), min(width, len(token)), plain(c)
-            h, usable = windows(token, kind, w, literals)
-            pos = np.flatnonzero(usable)
-            by_template.append((h[pos], pos, i, w))
-            first, form = flipped(c, token[:w], kind[:w], at)
-            if first is not None:
-                x, fit = windows(first, form, w, literals)
-                by_template.append((x[fit], np.flatnonzero(fit), i, w))
-            value = _EDGE.match(raw[at[0]])[1].lower()
-            # what stands before and after an item decides on its first and its last token
-            if not usable.all() or usable[1:-1].sum() < min(least, len(pos)):
-                v = min(width, len(words))
-                x = windows(words, np.zeros(len(words), np.uint8), v, 0)[0]
-                by_words.append((x, np.arange(len(x)), i, v))
-                whole = len(x)
-            else:
-                whole = 0
-            self.items.append((item_id, whole, len(pos), slots(raw, kind, at), value))
-        self.templates, self.words = Table(by_template), Table(by_words)
-
-
-def slots(raw: list[str], kind: np.ndarray, at: np.ndarray) -> dict[int, tuple[int, str]]:
-    """Token position to kind and value of each slot."""
-    return {int(i): (int(kind[i]), _EDGE.match(raw[at[i]])[1].lower()) for i in np.flatnonzero(kind)}
-
-
-def consistent(pairs: list[tuple[tuple[int, str], tuple[int, str]]]) -> bool:
+def item_windows(text: str, codes: Codes, width: int, literals: int, least: int) -> list[tuple]:
+    """An item's windows: form, hash, position, width, windows of this form that the item has, slots, first word, whether that is a slot."""
+    raw = text.split()
+    c = coded(raw, codes)
+    if not len(plain(c)):
+        return []
+    token, kind, at = template(c)
+    w, words = min(width, len(token)), plain(c)
+    h, usable = windows(token, kind, w, literals)
+    pos = np.flatnonzero(usable)
+    total, value, led = max(1, len(pos)), int(c[at[0]] & _CORE), bool(kind[0])  # the first window may be usable in its other form only
+    held = slots(c, kind, at)
+    out = [(TEMPLATE, int(h[p]), int(p), w, total, held.within(p, w), value, led) for p in pos]
+    first, form = flipped(c, token[:w], kind[:w], at)
+    if first is not None:
+        x, fit = windows(first, form, w, literals)
+        out += [(TEMPLATE, int(x[p]), int(p), w, total, held.within(p, w), value, led) for p in np.flatnonzero(fit)]
+    # what stands before and after an item decides on its first and its last token
+    if not usable.all() or usable[1:-1].sum() < min(least, len(pos)):
+        v = min(width, len(words))
+        x = windows(words, np.zeros(len(words), np.uint8), v, 0)[0]
+        out += [(WORDS, int(k), p, v, len(x), b"", 0, False) for p, k in enumerate(x)]
+    return out
+
+
+class slots:
+    """The slots of a text: token positions, kinds, and hashes of the words there."""
+
+    def __init__(self, c: np.ndarray, kind: np.ndarray, at: np.ndarray):
+        self.pos = np.flatnonzero(kind)
+        self.kind, self.value = kind[self.pos].astype(np.int64), (c[at[self.pos]] & _CORE).view(np.int64)
+
+    def within(self, p: int, w: int) -> bytes:
+        """Those of a window, packed."""
+        a, e = np.searchsorted(self.pos, (p, p + w))
+        return np.stack([self.pos[a:e], self.kind[a:e], self.value[a:e]]).tobytes()
+
+
+def unpacked_slots(blob: bytes) -> dict[int, tuple[int, int]]:
+    """Token position to kind and value."""
+    pos, kind, value = np.frombuffer(blob, np.int64).reshape(3, -1).tolist()
+    return dict(zip(pos, zip(kind, value, strict=True), strict=True))
+
+
+def consistent(pairs: list[tuple[tuple[int, int], tuple[int, int]]]) -> bool:
     """Whether each value of the item stands for one value, and distinct names for distinct ones."""
     there: dict[tuple, tuple] = {}
     back: dict[tuple, tuple] = {}
@@ -203,85 +195,163 @@ def consistent(pairs: list[tuple[tuple[int, str], tuple[int, str]]]) -> bool:
     return True
 
 
-def found_in(text: str, index: Index, codes: Codes, least: int) -> list[tuple[int, int, int, str]]:
-    """(item_id, matched windows, windows of the item, kind) for each item in a text."""
-    raw = text.split()
-    if not raw or not index.items:
-        return []
-    c = coded(raw, codes)
-    token, kind, at = template(c)
+class Gate:
+    """A bit set of hashes with two probes each."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.shift = bits, np.uint64(64 - (8 * len(bits)).bit_length() + 1)
+
+    @staticmethod
+    def probes(h: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            return (h >> shift).astype(np.int64), ((h * _P ^ h >> np.uint64(31)) * _P >> shift).astype(np.int64)
+
+    def lets(self, h: np.ndarray) -> np.ndarray:
+        """Indices of the hashes that may be in the set."""
+        one, two = self.probes(h, self.shift)
+        some = np.flatnonzero(self.bits[one >> 3] >> (one & 7).astype(np.uint8) & 1)
+        two = two[some]
+        return some[np.flatnonzero(self.bits[two >> 3] >> (two & 7).astype(np.uint8) & 1)]
+
+
+_ITEMS_DDL = "item long, item_id long, form int, h long, pos int, w int, total int, slots binary, value long, led boolean"
+
+
+def _items(batches: Iterator[pa.RecordBatch], width: int, literals: int, least: int) -> Iterator[pa.RecordBatch]:
+    codes = Codes()
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.bool_())
+    for b in batches:
+        for item, item_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            rows = item_windows(text, codes, width, literals, least)
+            if rows:
+                form, h, pos, w, total, held, value, led = zip(*rows, strict=True)
+                made = ([item] * len(rows), [item_id] * len(rows), form, np.array(h, np.uint64).view(np.int64), pos, w, total, held, np.array(value, np.uint64).view(np.int64), led)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types, strict=True)], names=[x.split()[0] for x in _ITEMS_DDL.split(", ")])
+
+
+def _gate_bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    held = np.zeros(1 << bits - 3, np.uint8)
+    for b in batches:
+        for at in Gate.probes(b.column(0).to_numpy().view(np.uint64), np.uint64(64 - bits)):
+            np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["bits"])
+
+
+def gate_of(found: DataFrame, n: int) -> Gate:
+    """The gate of a table of windows: 32 bits or more for each, up to a bound (beyond which it lets more through)."""
+    bits = min(GATE_BITS, max(16, (32 * n).bit_length()))
+    held = np.zeros(1 << bits - 3, np.uint8)
+    # one row for each of a few tasks, added up one by one
+    tasks = min(16, max(1, n // 1_000_000))
+    for r in found.select("h").coalesce(tasks).transform(common.arrow, lambda it: _gate_bits(it, bits), "bits binary").toLocalIterator():
+        held |= np.frombuffer(r["bits"], np.uint8)
+    return Gate(held)
+
+
+_HITS_DDL = "k1 long, k2 long, form int, h long, at int, mine binary"
+
+
+def _hits(batches: Iterator[pa.RecordBatch], gate, widths: list[tuple[int, int]], literals: int) -> Iterator[pa.RecordBatch]:
+    """Windows of texts that the gate lets through; a text that a task has just seen isn't taken again."""
+    codes, seen, let = Codes(), set(), Gate(gate.value)
+    for b in batches:
+        out: list[tuple] = []
+        for k1, k2, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            raw = text.split()
+            if not raw:
+                continue
+            c = coded(raw, codes)
+            token, kind, at = template(c)
+            words = plain(c)
+            found, held = [], None
+            for form, w in widths:
+                h, usable = windows(token, kind, w, literals) if form == TEMPLATE else windows(words, np.zeros(len(words), np.uint8), w, 0)
+                p = let.lets(h)
+                p = p[usable[p]]
+                if len(p):
+                    if form == TEMPLATE and held is None:
+                        held = slots(c, kind, at)
+                    found += [(form, x, i, held.within(i, w) if form == TEMPLATE else b"") for x, i in zip(h[p].view(np.int64).tolist(), p.tolist(), strict=True)]
+            if found and (k1, k2) not in seen:
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.add((k1, k2))
+                out += [(k1, k2, *x) for x in found]
+        if out:
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in _HITS_DDL.split(", ")])
+
+
+def judged(rows: list[dict], least: int) -> tuple[int, int, str] | None:
+    """(matched windows, windows of the item, kind) of the best diagonal where a text holds an item, from the windows that meet."""
     diagonals: dict[tuple[int, int], list] = defaultdict(list)
-    for item, pos, p, w in index.templates.hits(token, kind, index.literals):
-        diagonals[item, p - pos].append((pos, w))
-    mine, best = slots(raw, kind, at) if diagonals else {}, {}
-    for (item, shift), met in diagonals.items():
-        _, _, total, theirs, value = index.items[item]
-        total = max(total, 1)  # the first window may be usable in its other form only
+    for r in rows:
+        diagonals[r["form"], r["at"] - r["pos"]].append(r)
+    best = {}
+    for (form, shift), met in diagonals.items():
+        met = list({r["pos"]: r for r in met}.values())
+        total = met[0]["total"]
         if len(met) < min(least, total):
             continue
-        covered = {i for pos, w in met for i in range(pos, pos + w)}
-        pairs = [(theirs[i], mine[i + shift]) for i in sorted(covered) if i in theirs and i + shift in mine]
-        alone = (NAME, value) if 0 in covered and (0 in theirs) != (shift in mine) else None
-        if alone:
+        if form == WORDS:
+            best[form] = max(best.get(form, (0, 0, "")), (len(met), total, "exact"))
+            continue
+        theirs, mine = {}, {}
+        for r in met:
+            theirs |= unpacked_slots(r["slots"])
+            mine |= unpacked_slots(r["mine"])
+        pairs = [(theirs[i], mine[i + shift]) for i in sorted(theirs) if i + shift in mine]
+        led, alone = met[0]["led"], (NAME, met[0]["value"])
+        lone = any(r["pos"] == 0 for r in met) and led != (shift in mine)
+        if lone:
             pairs.append((alone, mine.get(shift, alone)))
-        if consistent(pairs) and (not alone or pairs[-1][1] == alone):
-            row = (len(met), total, "exact" if all(a[1] == b[1] for a, b in pairs) else "template")
-            best[item] = max(best.get(item, (0, 0, "")), row)
-    if index.words.widths:
-        words, same = plain(c), Counter()
-        for item, pos, p, _ in index.words.hits(words, np.zeros(len(words), np.uint8), 0):
-            same[item, p - pos] += 1
-        verbatim = {}
-        for (item, _), n in same.items():
-            whole = index.items[item][1]
-            if item not in best and n >= min(least, whole):
-                verbatim[item] = max(verbatim.get(item, (0, 0, "")), (n, whole, "exact"))
-        best |= verbatim
-    return [(index.items[i][0], *row) for i, row in sorted(best.items())]
-
-
-def _search(batches: Iterator[pa.RecordBatch], items, width: int, literals: int, least: int) -> Iterator[pa.RecordBatch]:
-    index, codes = Index(items.value, width, literals, least), Codes()
-    for b in batches:
-        out = [(d, *row) for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for row in found_in(text, index, codes, least)]
-        if out:
-            columns = zip(*out, strict=True)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "matched_windows", "item_windows", "match_kind"])
+        if consistent(pairs) and (not lone or pairs[-1][1] == alone):
+            best[form] = max(best.get(form, (0, 0, "")), (len(met), total, "exact" if all(a[1] == b[1] for a, b in pairs) else "template"))
+    return best.get(TEMPLATE, best.get(WORDS))
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator:
-    """The benchmark's items in broadcasts of bounded size; each block is collected when its turn comes."""
-    spark = benchmark.sparkSession
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()["c"]
-    blocks = max(1, -(-size // block_chars))
-    for i in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.collect()])
+_FOUND_DDL = "k1 long, k2 long, item_id long, matched_windows long, item_windows long, match_kind string"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST, literals: int = LITERALS, block_chars: int = 4_000_000) -> DataFrame:
-    """Pairs (doc_id, item_id) of documents with the benchmark items that they hold: matched_windows, item_windows, match_kind."""
-    common.prepare(docs.sparkSession)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
-    found = None
-    for sent in _blocks(benchmark, block_chars):
-        part = rows.transform(common.arrow, lambda it, sent=sent: _search(it, sent, width, literals, least), "doc_id long, item_id long, matched_windows long, item_windows long, match_kind string")
-        found = part if found is None else found.unionAll(part)
-    return found
+def _judge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for t in common.runs(batches, ["k1", "k2", "item"]):
+        got = judged(t.select(["form", "at", "pos", "total", "slots", "mine", "value", "led"]).to_pylist(), least)
+        if got:
+            row = (t["k1"][0].as_py(), t["k2"][0].as_py(), t["item_id"][0].as_py(), *got)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, types, strict=True)], names=[x.split()[0] for x in _FOUND_DDL.split(", ")])
 
 
-def _without(batches: Iterator[pa.RecordBatch], at: int, items, width: int, literals: int, least: int) -> Iterator[pa.RecordBatch]:
-    index, codes = Index(items.value, width, literals, least), Codes()
-    for b in batches:
-        yield b.filter(pa.array([x is None or not found_in(x, index, codes, least) for x in b.column(at).to_pylist()], pa.bool_()))
+def _key(text: Column) -> tuple[Column, Column]:
+    """A text's 128-bit hash."""
+    return F.xxhash64(text), F.xxhash64(text, F.lit("second"))
+
+
+def found_texts(docs: DataFrame, benchmark: DataFrame, width: int, least: int, literals: int) -> DataFrame:
+    """Distinct texts (k1, k2) with the benchmark items that they hold; a written table."""
+    spark = common.prepare(docs.sparkSession)
+    parts = common.parts(spark)
+    text = benchmark["text"].cast("string")
+    items = benchmark.where(text.isNotNull()).select(F.xxhash64(benchmark["item_id"].cast("long"), text).alias("item"), benchmark["item_id"].cast("long").alias("item_id"), text.alias("text"))
+    table = common.written(items.dropDuplicates(["item"]).transform(common.arrow, lambda it: _items(it, width, literals, least), _ITEMS_DDL), "item-windows")
+    widths = [(r["form"], r["w"]) for r in table.select("form", "w").distinct().orderBy("form", "w").collect()]
+    gate = spark.sparkContext.broadcast(gate_of(table, table.count()).bits)
+    whole = common.text_of(docs)
+    hits = docs.select(*(k.alias(n) for k, n in zip(_key(whole), ("k1", "k2"), strict=True)), whole.alias("text")).transform(common.arrow, lambda it: _hits(it, gate, widths, literals), _HITS_DDL)
+    met = hits.distinct().join(common.small_side(table, SMALL_WINDOWS), ["form", "h"])
+    met = met.repartition(parts, "k1", "k2", "item").sortWithinPartitions("k1", "k2", "item")
+    return common.written(met.transform(common.arrow, lambda it: _judge(it, least), _FOUND_DDL), "found-texts")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST, literals: int = LITERALS) -> DataFrame:
+    """Pairs (doc_id, item_id) of documents with the benchmark items that they hold: matched_windows, item_windows, match_kind."""
+    found = found_texts(docs, benchmark, width, least, literals)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *(k.alias(n) for k, n in zip(_key(common.text_of(docs)), ("k1", "k2"), strict=True)))
+    return rows.join(common.small_side(found, SMALL_FOUND), ["k1", "k2"]).select("doc_id", "item_id", "matched_windows", "item_windows", "match_kind")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST, literals: int = LITERALS, block_chars: int = 4_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST, literals: int = LITERALS) -> DataFrame:
     """The rows of docs whose text holds no benchmark item, with all columns."""
-    common.prepare(docs.sparkSession)
-    at = docs.columns.index("text")
-    for sent in _blocks(benchmark, block_chars):
-        docs = docs.transform(common.arrow, lambda it, sent=sent: _without(it, at, sent, width, literals, least), docs.schema)
-    return docs
+    gone = found_texts(docs, benchmark, width, least, literals).select(F.col("k1").alias("_al_k1"), F.col("k2").alias("_al_k2")).distinct()
+    k1, k2 = _key(common.text_of(docs))
+    return docs.join(common.small_side(gone, SMALL_FOUND), (k1 == F.col("_al_k1")) & (k2 == F.col("_al_k2")), "left_anti").select(*docs.columns)

@@ -211,29 +211,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(s[at : at + 50_000]), pa.array(c[at : at + 50_000])], names=["sig", "c64"])
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of rows that are sorted by keys."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(b.num_rows - 1, dtype=bool)
-        for c in columns:
-            new |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(new) + 1), b.num_rows]
-        for a, e in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(c[a] for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(a, e - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 20_000) -> Iterator[pa.Table]:
     """Rows sorted by key, in tables that no run of equal keys is cut by."""
     held: list[pa.RecordBatch] = []
@@ -339,7 +316,7 @@ def linked_in(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> li
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for t in runs(batches, ["family", "x", "y"]):
+    for t in common.runs(batches, ["family", "x", "y"]):
         ids = t["rep"].to_numpy()
         if len(ids) < 2:
             continue

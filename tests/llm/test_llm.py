@@ -349,7 +349,7 @@ def test_shingle_sets():
 # decontamination
 
 
-def test_templates_and_slots(spark):
+def test_templates_and_slots(spark, monkeypatch):
     item = "Anna bought 12 kg of green apples in Berlin for 30 dollars and gave Peter half of all the apples on the next day"
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "five short words of text")], "item_id long, text string")
     other = item.replace("Anna", "Maria").replace("12 kg", "7 kg").replace("30 dollars", "45 dollars").replace("Peter", "Paul").replace("Berlin", "Rome")
@@ -357,8 +357,10 @@ def test_templates_and_slots(spark):
         (1, "prefix words here. " + item + " and more"), (2, "prefix words here. " + other), (3, "prefix. " + item.replace("Peter", "Berlin")), (4, "nothing of the kind at all"), (5, None), (6, ""), (7, "say: five short words of text, indeed"),
         (8, " ".join(item.split()[:12])), (9, item.upper()), (1, "prefix words here. " + item),
     ]
-    for block in (4_000_000, 10):
-        got = sorted((r["doc_id"], r["item_id"], r["match_kind"]) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items, block_chars=block).collect())
+    for most in (decontam.SMALL_WINDOWS, 0):  # the items' windows broadcast, or shuffled
+        monkeypatch.setattr(decontam, "SMALL_WINDOWS", most)
+        monkeypatch.setattr(decontam, "SMALL_FOUND", most)
+        got = sorted((r["doc_id"], r["item_id"], r["match_kind"]) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect())
         assert [x for x in got if x[0] not in (9,)] == [(1, 1, "exact"), (1, 1, "exact"), (2, 1, "template"), (7, 4, "exact")], got
     kept = decontam.clean(spark.createDataFrame(docs, "doc_id long, text string"), items)
     assert not {1, 2, 7} & {r["doc_id"] for r in kept.collect()} and kept.count() >= 6
@@ -380,6 +382,65 @@ def test_slot_heavy_items_are_found_as_they_stand(spark):
     assert found_pairs(spark, items, [x for _, x in copies] + others) == want
 
 
+def test_arithmetic_items_are_found(spark):
+    items = ["3 + 4 = 7 and 12 * 5 = 60 so 99 - 7 = 92 and 8 / 2 = 4", "Compute 17 * 23 .", "A train leaves the station at 9:15 and travels 120 km in 2 hours before it stops for 15 minutes at the next town"]
+    docs = [*(f"Exercise. {x} Then go on." for x in items), "Exercise. " + items[2].replace("9:15", "7:40").replace("120 km", "340 km").replace("2 hours", "4 hours").replace("15 minutes", "35 minutes"), "Compute 17 * 24 .", "3 + 4 = 8 and 12 * 5 = 60"]
+    assert found_pairs(spark, items, docs) == {(0, 0): "exact", (1, 1): "exact", (2, 2): "exact", (3, 2): "template"}
+
+
+def plain_template(text):
+    """(token, kind, value) of each template token, by rules written out again."""
+    out, start = [], True
+    for raw in text.split():
+        core = raw.strip(".,!?:")
+        if not core:
+            continue
+        number, name = core.isdigit(), core[0].isupper() and core[1:].islower() and not start
+        if out and out[-1][0] == "#" and core in ("kg", "km"):
+            out[-1] = ("#unit", *out[-1][1:])
+        else:
+            out.append(("#", "n", core) if number else ("@", "@", core.lower()) if name else (core.lower(), "", core.lower()))
+        start = raw != core and raw[-1] in ".!?"
+    return [(k, "u" if k == "#unit" else kind, v) for k, kind, v in out]
+
+
+def plain_found(doc, item, width=10, least=4, literals=5):
+    d, i = plain_template(doc), plain_template(item)
+    w = min(width, len(i))
+    usable = [p for p in range(len(i) - w + 1) if sum(not k for _, k, _ in i[p : p + w]) >= min(literals, w)]
+    for shift in range(-len(i), len(d)):
+        met = [p for p in usable if 0 <= p + shift and [x[0] for x in d[p + shift : p + shift + w]] == [x[0] for x in i[p : p + w]]]
+        if len(met) >= min(least, max(1, len(usable))):
+            slots = sorted({q for p in met for q in range(p, p + w) if i[q][1]})
+            there, back, good = {}, {}, True
+            for q in slots:
+                a, b = i[q][1:], d[q + shift][1:]
+                good &= there.setdefault(a, b) == b and (a[0] != "@" or back.setdefault(b, a) == a)
+            if good:
+                return "exact" if all(i[q][2] == d[q + shift][2] for q in slots) else "template"
+    return None
+
+
+def test_template_hits_against_all_pairs(spark):
+    rng = random.Random(5)
+    plain, names = [f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz"], ["Anna", "Peter", "Maria", "Paul", "Berlin", "Rome"]
+    word = lambda: rng.choice([rng.choice(plain)] * 5 + [rng.choice(names), str(rng.randrange(5)), f"{rng.randrange(5)} {rng.choice(['kg', 'km'])}"])
+    # items begin and end with an ordinary word and have plain windows enough, so that what surrounds them doesn't matter
+    items = [" ".join([rng.choice(plain), *(word() for _ in range(rng.randrange(20, 30))), rng.choice(plain)]) for _ in range(30)]
+    items = [x for x in items if all(sum(not k for _, k, _ in t[p : p + 10]) >= 5 for t in [plain_template(x)] for p in range(len(t) - 9))]
+    docs = []
+    for item in items:
+        for change in range(6):
+            made = [rng.choice(names) if x in names and rng.random() < 0.2 * change else str(rng.randrange(5)) if x.isdigit() and rng.random() < 0.2 * change else rng.choice(plain) if rng.random() < 0.03 * change else x for x in item.split()]
+            if change == 5:
+                swap = dict(zip(names, rng.sample(names, len(names)), strict=True))
+                made = [swap.get(x, x) for x in item.split()]
+            docs.append(" ".join([*(rng.choice(plain) for _ in range(5)), *made, *(rng.choice(plain) for _ in range(5))]))
+    want = {(d, i): kind for d, doc in enumerate(docs) for i, item in enumerate(items) if (kind := plain_found(doc, item))}
+    got = found_pairs(spark, items, docs)
+    assert got == want and {"exact", "template"} == set(want.values()) and 0 < len(want) < 6 * len(items)
+
+
 def test_short_items_are_found_wherever_they_stand(spark):
     items = ["What is the capital of the northern province", "Peter gave all of his 12 apples to a friend", "- Anna walks slowly to the old market square"]
     copies = [(i, lead + item) for i, item in enumerate(items) for lead in ("Question: ", "so, ", "title line\n", "It ends. ", "")]
@@ -390,6 +451,14 @@ def test_short_items_are_found_wherever_they_stand(spark):
     assert [k for k in got if got[k] != "exact"] == [(len(copies), 1)]
 
 
+def test_edges_cost_linear_time():
+    began = time.time()
+    for raw, want in (("x" + "-" * 200_000 + "x", None), ("-" * 200_000, ("", "")), ("(ab).", ("ab", ").")), ("...", ("", "")), ("", ("", "")), ("_a_", ("_a_", ""))):
+        assert want is None or decontam.edges(raw) == want
+        decontam.code_of(raw)
+    assert time.time() - began < 5
+
+
 def test_passages_of_the_fixture(spark):
     docs, items = docs_of(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     found = {r["doc_id"] for r in decontam.contaminated(docs, items).collect()}
