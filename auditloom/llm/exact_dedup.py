@@ -23,6 +23,8 @@ from .trie import PatriciaTrie
 
 #: Bytes of trie that a task holds before it sends off (map side) or spills (behind the shuffle).
 MAP_BYTES, TASK_BYTES = 48 << 20, 192 << 20
+#: Rows of a group from which it is dealt to several tasks, and groups of that size up to which their list is broadcast.
+HOT_ROWS, SMALL = 1_000, 500_000
 _FOLDED = pa.schema([("n_bytes", pa.int64()), ("sha", pa.binary()), ("norm", pa.binary()), ("id", pa.int64()), ("rows", pa.int64()), ("ties", pa.int64())])
 _OWNED = pa.schema([("n_bytes", pa.int64()), ("sha", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("ties", pa.int64())])
 
@@ -91,14 +93,19 @@ def groups(docs: DataFrame, map_bytes: int = MAP_BYTES, task_bytes: int = TASK_B
     return folded.repartition(F.col("n_bytes"), F.col("sha")).transform(common.arrow, lambda it: _own(it, task_bytes), "n_bytes long, sha binary, keep_id long, group_size long, ties long")
 
 
-def owners(docs: DataFrame, **sizes: int) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    found = groups(docs, **sizes)
-    return (
-        _keyed(docs)
-        .select("id", "n_bytes", "sha")
-        .join(found, ["n_bytes", "sha"])
-        .select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+def owners(docs: DataFrame, hot_rows: int = HOT_ROWS, **sizes: int) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Rows find their group by a join; a group of ``hot_rows`` or more is dealt to several tasks by doc_id, its owner's row copied to each.
+    """
+    found = common.written(groups(docs, **sizes), "owners")
+    salts = F.ceil(F.col("group_size") / hot_rows).cast("int")
+    hot = found.where(F.col("group_size") >= hot_rows).select("n_bytes", "sha", salts.alias("salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("id"), "salts").cast("int"), F.lit(0))
+    rows = _keyed(docs).select("id", "n_bytes", "sha").join(common.small_side(hot, SMALL), ["n_bytes", "sha"], "left").withColumn("salt", salt)
+    dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("group_size") >= hot_rows, salts - 1).otherwise(F.lit(0)))))
+    return rows.join(dealt, ["n_bytes", "sha", "salt"]).select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 

@@ -15,6 +15,8 @@ from . import common
 
 BITS = 18
 DIM = 1 << BITS
+#: Picked labels up to which they are broadcast, so that texts stay where they are.
+SMALL = 500_000
 _UPPER = bytes(range(65, 91))
 _MARKS = b"!$#%|&*<>{}_~^="
 
@@ -86,19 +88,24 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target, rows: int) -> list[tuple[np.ndarray, int]]:
-    """About ``rows`` labelled documents by a hash of doc_id: (buckets, label), in a fixed order. ``target`` is a column of labels, null where a row has no label."""
+    """About ``rows`` labelled documents by a hash of doc_id: (buckets, label), in a fixed order. ``target`` is a column of labels, null where a row has no label; of a document's several labels the smallest counts."""
     unit = F.xxhash64(common.id_text(labels["doc_id"]), F.lit("labels")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    known = labels.select(labels["doc_id"].cast("long").alias("_id"), target.cast("int").alias("_y"), unit.alias("_u")).where("_y IS NOT NULL AND _id IS NOT NULL")
+    known = labels.select(labels["doc_id"].cast("long").alias("_id"), target.cast("int").alias("_y"), unit.alias("_u")).where("_y IS NOT NULL AND _id IS NOT NULL").groupBy("_id", "_u").agg(F.min("_y").alias("_y"))
     total = known.count()
-    picked = known.where(F.col("_u") < min(1.0, rows / max(1, total)))
+    picked = common.cut(known.where(F.col("_u") < min(1.0, rows / max(1, total))))
     texts = docs.select(docs["doc_id"].cast("long").alias("_id"), common.text_of(docs).alias("_t"))
-    got = texts.join(picked, "_id").select("_y", "_t", F.xxhash64("_id", F.lit("order"))).transform(common.arrow, _sampled, "y int, at binary, order long").collect()
+    got = texts.join(common.small_side(picked, SMALL), "_id").select("_y", "_t", F.xxhash64("_id", F.lit("order"))).transform(common.arrow, _sampled, "y int, at binary, order long").collect()
     got.sort(key=lambda r: (r["order"], r["y"], r["at"]))
     return [(np.frombuffer(r["at"], np.uint32).astype(np.int64), r["y"]) for r in got]
 
 
+def unit_of(text: str) -> float:
+    """A number in [0, 1) by hash of a text."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=1) / 2.0**64
+
+
 def scored(docs: DataFrame, score: Callable[[list[np.ndarray]], list[np.ndarray]], names: list[str], count: bool = False) -> DataFrame:
-    """doc_id, a double for each name, and the number of words if ``count``; score maps feature arrays to one array for each name."""
+    """doc_id, a double for each name, and if ``count`` the number of words and the text's ``unit``; score maps feature arrays to one array for each name."""
     common.prepare(docs.sparkSession)
 
     def run(batches):
@@ -107,10 +114,10 @@ def scored(docs: DataFrame, score: Callable[[list[np.ndarray]], list[np.ndarray]
             texts = b.column(1).to_pylist()
             rows = [featured(t, buckets) for t in texts]
             made = score([r for r, _ in rows])
-            more = [pa.array([n for _, n in rows], pa.int64())] if count else []
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in made), *more], names=["doc_id", *names, *["n_tokens"] * count])
+            more = [pa.array([n for _, n in rows], pa.int64()), pa.array([unit_of(t) for t in texts], pa.float64())] if count else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in made), *more], names=["doc_id", *names, *["n_tokens", "unit"] * count])
 
-    schema = ", ".join(["doc_id long", *(f"`{n}` double" for n in names), *["n_tokens long"] * count])
+    schema = ", ".join(["doc_id long", *(f"`{n}` double" for n in names), *["n_tokens long", "unit double"] * count])
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).transform(common.arrow, run, schema)
 
 

@@ -5,23 +5,25 @@ A multinomial classifier, fitted on a bounded sample of the labels table, gives
 rate x tokens x posterior, meet the targets: the least-squares problem over domains (each scaled by its tokens at rate 1)
 is solved by accelerated projected gradient in the token-weighted norm, from r = 1. A step's gradient at a document is its
 posterior times the domains' residuals, so an iteration needs one aggregate of as many numbers as there are domains; a
-document's rate is replayed from the residuals of all steps, inside one expression, and no state but the table of
-posteriors is stored.
+document's rate is replayed from the residuals of the last steps, inside one expression, and written beside the posteriors every
+``REPLAYED`` steps.
 
 Rates are real numbers; ``copies`` realises them: the whole part, and one more with the fraction's probability by a hash of
-doc_id.
+the text. ``target_gap`` is the largest relative deviation from a target that the steps taken leave; a warning is given where it isn't
+under ``close``.
 
 Defined results: a document without words has rate 1; a null text is empty; without labels every posterior is
-uniform; a domain with no expected tokens cannot be fed and is left out of the residuals; an empty table gives an empty table.
+uniform; a domain with no expected tokens cannot be fed and is left out of the residuals; of a document's several labels the
+cleanest counts; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +32,14 @@ from . import common, hashed_text
 from .language_id import softmax
 
 DOMAINS = ("clean", "low", "toxic")
+REPLAYED = 10
 #: Shares of the tokens after mixing.
 TARGETS = {"clean": 0.97, "low": 0.025, "toxic": 0.005}
 
 
 def domain(labels: DataFrame) -> Column:
-    return F.when(labels["toxic"] == 1, 2).when(labels["quality"] == 0, 1).when((labels["quality"] == 1) & (labels["toxic"] == 0), 0)
+    """A label's domain; null if a part that decides is null."""
+    return F.when(labels["toxic"] == 1, 2).when(labels["toxic"] == 0, F.when(labels["quality"] == 0, 1).when(labels["quality"] == 1, 0))
 
 
 def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 4, alpha: float = 0.2, l1: float = 0.4, l2: float = 0.05) -> np.ndarray:
@@ -59,15 +63,16 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 4, alpha: float = 0.2,
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000) -> DataFrame:
-    """doc_id, a posterior for each domain, n_tokens."""
+    """doc_id, a posterior for each domain, n_tokens, unit."""
     weights = fit(hashed_text.labelled_sample(docs, labels, domain(labels), fit_rows))
     return hashed_text.scored(docs, lambda rows: list(softmax(hashed_text.sums(rows, weights)).T), [f"p_{d}" for d in DOMAINS], count=True)
 
 
 def replayed(steps: list[list[float]], moments: list[float]) -> Column:
-    """A document's rate after these steps: x = max(0, y - p . g), then y = x + m (x - x before)."""
+    """A document's state after these steps from its x and y: x = max(0, y - p . g), then y = x + m (x - x before)."""
+    start = F.struct("x", "y")
     if not steps:
-        return F.lit(1.0)
+        return start
     made = F.array(*(F.struct(*(F.lit(float(g)).alias(f"g{j}") for j, g in enumerate(s)), F.lit(float(m)).alias("m")) for s, m in zip(steps, moments, strict=True)))
 
     def step(state: Column, s: Column) -> Column:
@@ -75,45 +80,56 @@ def replayed(steps: list[list[float]], moments: list[float]) -> Column:
         x = F.greatest(F.lit(0.0), state["y"] - move)
         return F.struct(x.alias("x"), (x + s["m"] * (x - state["x"])).alias("y"))
 
-    return F.aggregate(made, F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")), step)
+    return F.aggregate(made, start, step)
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], steps: int = 60, close: float = 1e-4) -> tuple[list, list, dict]:
-    """Gradients and moments of the steps taken, and what they reach: token totals by domain."""
+def started(table: DataFrame) -> DataFrame:
+    return table.withColumns({"x": F.lit(1.0), "y": F.lit(1.0)})
+
+
+def advanced(table: DataFrame, steps: list, moments: list) -> DataFrame:
+    """The table with the state after these steps."""
+    return table.withColumn("_s", replayed(steps, moments)).withColumns({"x": F.col("_s.x"), "y": F.col("_s.y")}).drop("_s")
+
+
+def fit_rates(table: DataFrame, targets: dict[str, float], steps: int = 60, close: float = 1e-4) -> tuple[list, list, DataFrame, float]:
+    """Gradients and moments of the steps taken, the table with its state after them, and the largest relative gap left."""
     n = F.col("n_tokens").cast("double")
     first = table.agg(*(F.coalesce(F.sum(n * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS), F.coalesce(F.sum(n), F.lit(0.0)).alias("all")).first()
     base = np.array([first[d] for d in DOMAINS])
     want = np.array([targets.get(d, 0.0) for d in DOMAINS], dtype=float)
     want = want / want.sum() * first["all"]
     scale = np.where(base > 0, 1.0 / np.maximum(base, 1e-300), 0.0)
+    table, done = started(table), 0
     taken: list[list[float]] = []
     moments: list[float] = []
     t, at = 1.0, base  # expected totals at y
-    reached = base
-    for _ in range(steps):
-        if not first["all"] or np.abs((reached - want) * scale).max() < close:
-            break
+    gap = float(np.abs((base - want) * scale).max())
+    while first["all"] and gap >= close and len(taken) < steps:
         # for the scaled problem the gradient's Lipschitz constant in the token norm is at most 1: rows of posteriors sum to 1
         taken.append([float(g) for g in (at - want) * scale])
         t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
         moments.append((t - 1) / t_next)
         t = t_next
-        state = replayed(taken, moments)
-        r = table.select(*(f"p_{d}" for d in DOMAINS), n.alias("n"), state.alias("s")).agg(
-            *(F.sum(F.col("n") * F.col(f"p_{d}") * F.col(f"s.{v}")).alias(f"{v}_{d}") for d in DOMAINS for v in ("x", "y"))
-        ).first()
-        reached, at = np.array([r[f"x_{d}"] for d in DOMAINS]), np.array([r[f"y_{d}"] for d in DOMAINS])
-    return taken, moments, dict(zip(DOMAINS, reached.tolist(), strict=True))
+        now = advanced(table, taken[done:], moments[done:])
+        if len(taken) - done == REPLAYED:
+            table, done = common.written(now, "mixing"), len(taken)
+            now = table
+        r = now.agg(*(F.sum(n * F.col(f"p_{d}") * F.col(v)).alias(f"{v}_{d}") for d in DOMAINS for v in ("x", "y"))).first()
+        at = np.array([r[f"y_{d}"] for d in DOMAINS])
+        gap = float(np.abs((np.array([r[f"x_{d}"] for d in DOMAINS]) - want) * scale).max())
+    if first["all"] and gap >= close:
+        warnings.warn(f"mixing: {len(taken)} steps leave a gap of {gap:.2g} to a target", stacklevel=2)
+    return taken, moments, advanced(table, taken[done:], moments[done:]), gap
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, fit_rows: int = 8_000, steps: int = 60) -> DataFrame:
-    """One row per document: doc_id, n_tokens, posteriors p_<domain>, rate, copies."""
+    """One row per document: doc_id, n_tokens, posteriors p_<domain>, rate, copies, target_gap."""
     table = common.written(posteriors(docs, labels, fit_rows), "posteriors")
-    taken, moments, _ = fit_rates(table, targets or TARGETS, steps)
-    state = replayed(taken, moments)
-    rate = F.when(F.col("n_tokens") > 0, state["x"] if taken else state).otherwise(F.lit(1.0))
-    unit = F.xxhash64(common.id_text(F.col("doc_id")), F.lit("copies")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    return table.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    _, _, made, gap = fit_rates(table, targets or TARGETS, steps)
+    rate = F.when(F.col("n_tokens") > 0, F.col("x")).otherwise(F.lit(1.0))
+    copies = (F.floor("rate") + (F.col("unit") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+    return made.withColumn("rate", rate).select("doc_id", *(f"p_{d}" for d in DOMAINS), "n_tokens", "rate", copies.alias("copies"), F.lit(gap).alias("target_gap"))
 
 
 def rates_of(p: np.ndarray, taken: list[list[float]], moments: list[float]) -> np.ndarray:
@@ -133,7 +149,7 @@ def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     weights = fit(hashed_text.labelled_sample(docs, labels, domain(labels), fit_rows))
     names = [f"p_{d}" for d in DOMAINS]
     table = common.written(hashed_text.scored(docs, lambda rows: list(softmax(hashed_text.sums(rows, weights)).T), names, count=True), "posteriors")
-    taken, moments, _ = fit_rates(table, targets or TARGETS, steps)
+    taken, moments, _, _ = fit_rates(table, targets or TARGETS, steps)
     docs = docs.select(*(c for c in docs.columns if c not in ("rate", "copies")))
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("rate", T.DoubleType()), T.StructField("copies", T.LongType())])
@@ -147,7 +163,7 @@ def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
             rows = [hashed_text.featured(x, buckets) for x in texts]
             p = softmax(hashed_text.sums([r for r, _ in rows], weights)).astype(float)
             rate = np.where([n > 0 for _, n in rows], rates_of(p, taken, moments), 1.0)
-            unit = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), seed=1) for x in texts], dtype=np.uint64) / 2.0**64
+            unit = np.array([hashed_text.unit_of(x) for x in texts])
             copies = np.floor(rate) + (unit < rate - np.floor(rate))
             made = pa.RecordBatch.from_arrays([*b.columns, pa.array(rate), pa.array(copies.astype(np.int64))], names=[*b.schema.names, "rate", "copies"])
             yield made.filter(pa.array(copies > 0))

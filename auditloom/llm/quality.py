@@ -8,7 +8,7 @@ bounded sample (``fit_rows`` labelled documents by hash of doc_id). Every docume
 Results: expected_grade (0 to 2), tail (probability of the top grade), kept (tail of ``least`` or more).
 
 Defined results: a null text is the empty one; without labels all weights are 0 and the thresholds (-1, 1); a rating
-with a null part that decides it is no rating; rows that repeat give repeated rows; other columns are not read.
+with a null part that decides it is no rating; of a document's several ratings the lowest counts; rows that repeat give repeated rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ GRADES = 3
 
 
 def rating(labels: DataFrame):
-    """0 for toxic, 1 for low quality, 2 for good; null if unknown."""
-    return F.when(labels["toxic"] == 1, 0).when(labels["quality"] == 0, 1).when((labels["quality"] == 1) & (labels["toxic"] == 0), 2)
+    """0 for toxic, 1 for low quality that isn't toxic, 2 for good; null if a part that decides is null."""
+    return F.when(labels["toxic"] == 1, 0).when(labels["toxic"] == 0, F.when(labels["quality"] == 0, 1).when(labels["quality"] == 1, 2))
 
 
 def sigmoid(x):

@@ -72,7 +72,7 @@ def test_trie_spills_below_a_long_prefix():
 
 
 def test_owners(awkward, empty):
-    for sizes in ({}, {"map_bytes": 1, "task_bytes": 1}):
+    for sizes in ({}, {"map_bytes": 1, "task_bytes": 1}, {"hot_rows": 2}):
         rows = exact_dedup.owners(awkward, **sizes).collect()
         assert len(rows) == len(AWKWARD)
         norm = {}
@@ -517,7 +517,7 @@ def test_rates_alike_in_both_forms(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([1, 1, 1], size=30)
     steps, moments = [[0.3, -0.2, 0.9], [0.1, 0.0, 2.0]], [0.0, 0.3]
-    df = spark.createDataFrame([tuple(map(float, x)) for x in p], [f"p_{d}" for d in mixing.DOMAINS])
+    df = mixing.started(spark.createDataFrame([tuple(map(float, x)) for x in p], [f"p_{d}" for d in mixing.DOMAINS]))
     assert np.allclose([r["x"] for r in df.select(mixing.replayed(steps, moments)["x"].alias("x")).collect()], mixing.rates_of(p, steps, moments))
 
 
