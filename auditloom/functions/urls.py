@@ -70,17 +70,83 @@ def same_site(a: Column, b: Column) -> Column:
     return F.regexp_replace(a, r"^www\.", "") == F.regexp_replace(b, r"^www\.", "")
 
 
+#: Schemes whose addresses have an authority and a path of segments, with their own port (fixed values).
+SPECIAL_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
+_SPECIAL = "(?:" + "|".join(SPECIAL_PORTS) + ")"
+_OWN_PORT = "|".join(f"{s}://(?=.*:{port}$)" for s, port in SPECIAL_PORTS.items())
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _without_dots(path: Column) -> Column:
+    """A rooted path with its ``.`` and ``..`` segments (also percent-encoded) resolved."""
+    plain = lambda s: F.replace(F.lower(s), F.lit("%2e"), F.lit("."))
+
+    def join(pieces: Column) -> Column:
+        kept = F.aggregate(
+            pieces,
+            F.expr("CAST(array() AS array<string>)"),
+            lambda acc, s: F.when(plain(s) == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(plain(s) == ".", acc).otherwise(F.concat(acc, F.array(s))),
+        )
+        ended = F.when(plain(F.element_at(pieces, -1)).isin(".", ".."), F.array(F.lit(""))).otherwise(F.expr("CAST(array() AS array<string>)"))
+        return _let(kept, lambda k: F.concat(F.lit("/"), F.array_join(F.when(F.size(k) > 0, F.concat(k, ended)).otherwise(k), "/")))
+
+    return F.when(path.rlike(r"(?i)/(\.|%2e)"), _let(F.split(F.substring(path, F.lit(2), F.length(path)), "/"), join)).otherwise(path)
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """A link on a page: absolute, scheme-relative, rooted, or relative to the page's folder."""
-    origin = F.regexp_extract(base, r"^(\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.concat(origin, F.regexp_replace(path(base), r"[^/]*$", ""))
-    return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
-        .otherwise(F.concat(folder, href))
-    )
+    """A link on a page as browsers resolve it; null where neither the link nor the page has an authority that it needs.
+
+    White space around the link, tabs and line ends in it don't count; backslashes are slashes; dot segments are resolved; scheme and host
+    are in lower case. A link that is empty or only a query or a fragment stays on the page's own path.
+    """
+    page = r"\A\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\\\s]*)([^?#]*)(\?[^#]*)?"
+    empty = F.lit("")
+
+    def of_link(link: Column) -> Column:
+        stated = F.lower(F.regexp_extract(link, r"\A([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        parts = F.struct(link.alias("link"), stated.alias("stated"), F.lower(F.regexp_extract(base, page, 1)).alias("own"))
+        return _let(parts, of_scheme)
+
+    def of_scheme(a: Column) -> Column:
+        special = a["stated"].rlike(rf"\A{_SPECIAL}\z")
+        rest = F.when(special, F.substring(a["link"], F.length(a["stated"]) + 2, F.length(a["link"]))).otherwise(a["link"])
+        # another scheme than those of pages stays as it is
+        other = F.concat(a["stated"], F.substring(a["link"], F.length(a["stated"]) + 1, F.length(a["link"])))
+        return F.when((a["stated"] != "") & ~special, other).otherwise(_let(F.struct(rest.alias("rest"), special.alias("special"), a["stated"].alias("stated"), a["own"].alias("own")), of_rest))
+
+    def of_rest(b: Column) -> Column:
+        head = F.replace(F.regexp_extract(b["rest"], r"\A([^?#]*)", 1), F.lit("\\"), F.lit("/"))
+        return _let(F.struct(head.alias("head"), F.regexp_extract(b["rest"], r"\A[^?#]*(.*)\z", 1).alias("tail"), b["special"].alias("special"), b["stated"].alias("stated"), b["own"].alias("own")), of_head)
+
+    def of_head(c: Column) -> Column:
+        head = c["head"]
+        relative = (c["stated"] == "") | (c["special"] & (c["stated"] == c["own"]) & ~head.startswith("/"))
+        alone = F.when(relative, head.startswith("//")).otherwise(True)
+        return _let(F.struct(head.alias("head"), c["tail"].alias("tail"), alone.alias("alone"), F.when(c["special"], c["stated"]).otherwise(c["own"]).alias("scheme")), of_parts)
+
+    def of_parts(c: Column) -> Column:
+        head, tail, alone = c["head"], c["tail"], c["alone"]
+        own_path = F.regexp_extract(base, page, 3)
+        below = F.regexp_extract(head, r"\A/*[^/]*(.*)\z", 1)
+        path = (
+            F.when(alone, F.concat(F.when(below == "", F.lit("/")).otherwise(empty), below))
+            .when(head.startswith("/"), head)
+            .when(head == "", F.regexp_replace(own_path, r"\A\z", "/"))
+            .otherwise(F.concat(F.lit("/"), F.regexp_extract(own_path, r"\A/(.*/)", 1), head))
+        )
+        raw = F.when(alone, F.regexp_extract(head, r"\A/*([^/]*)", 1)).otherwise(F.regexp_extract(base, page, 2))
+        # user info as it is, the host in lower case, no port that is the scheme's own
+        host_of = F.lower(F.regexp_extract(raw, r"([^@]*)\z", 1))
+        ported = F.regexp_replace(F.concat(c["scheme"], F.lit("://"), host_of), rf"\A({_OWN_PORT})([^:]*):\d+\z|\A(.*):\z", "$1$2$3")
+        name = F.concat(F.regexp_extract(raw, r"\A(.*@)", 1), F.regexp_extract(ported, r"://(.*)\z", 1))
+        kept = F.when(~alone & (head == "") & ~tail.startswith("?"), F.coalesce(F.regexp_extract(base, page, 4), empty)).otherwise(empty)
+        return _let(name, lambda n: F.when(n != "", F.concat(c["scheme"], F.lit("://"), n, _let(path, _without_dots), kept, tail)))
+
+    return _let(F.regexp_replace(F.regexp_replace(href, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", ""), of_link)
 
 
 def robots_allow(robots: Column, url: Column) -> Column:

@@ -7,12 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the tables written by this process and not yet removed.
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``, or the checkpoint folder set in the session; a folder of our own only in local mode.
+
+    A machine's own folder would lose rows on a cluster, so a cluster without a shared one is an error.
+    """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="auditloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -20,12 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table and read it back: later steps start from it, also after lost executors."""
+    """Write a table and read it back: later steps start from it, also after lost executors. ``release`` removes it."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """The tables written so far, for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Remove the tables written after ``mark`` but those that ``keep`` reads; frames that rest on the others can't be used any more."""
+    held = {f.split("/part-")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
+    gone = [p for p in _made[since:] if p.rpartition("/")[2] not in held]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+        _made.remove(path)
+    return len(gone)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration's small state with a reliable checkpoint."""
     shared_dir(df.sparkSession)

@@ -1,6 +1,7 @@
 import csv
 import io
 import math
+from urllib.parse import urljoin
 
 import pytest
 from hypothesis import given
@@ -52,6 +53,28 @@ def test_resolve(spark, href, full):
     assert one(spark, urls.resolve(F.lit("https://a.b/d/e?f"), F.lit(href))) == full
 
 
+_BASES = ("https://h.example/a/b/c.html", "https://h.example/a/b/c.html?q=2#f", "http://h.example/", "http://h.example:8080/x/", "https://u@h.example/d/e")
+_LINKS = ("../x", "./y", ".", "..", "../", "../../../z", "/r/../s", "/r/./s/..", "?q=1", "#t", "x/y/../z?a=../b#c", "//other.example/p", "http://q/r", "mailto:a@b", "g;x=1/../y", "/", "a b", "/..", "...", "/.hidden/..x", "x?y#z?w", "javascript:void(0)")
+
+
+def test_resolve_as_urllib_does(spark):
+    df = spark.createDataFrame([(b, h) for b in _BASES for h in _LINKS], "b string, h string")
+    for r in df.select("b", "h", urls.resolve(F.col("b"), F.col("h")).alias("u")).collect():
+        assert r["u"] == urljoin(r["b"], r["h"]), (r["b"], r["h"])
+
+
+@pytest.mark.parametrize(
+    ("base", "href", "full"),
+    [
+        ("https://h.e/a/b?q#f", "", "https://h.e/a/b?q"), ("https://h.e/a", "//Other.E/P", "https://other.e/P"), ("https://h.e/a", "HTTP://U.x", "http://u.x/"), ("https://h.e/a", "HTTPS://u.x:443/", "https://u.x/"), ("http://H.E:80/a/b", "c", "http://h.e/a/c"),
+        ("https://h.e/a/b", "%2E%2e/c", "https://h.e/c"), ("https://h.e/a/b", "\\\\w.x\\y", "https://w.x/y"), ("https://h.e/a/b", " \tc\nd ", "https://h.e/a/cd"), ("https://h.e", "?q", "https://h.e/?q"), ("https://h.e/d/e", "https:rel", "https://h.e/d/rel"), ("http://h.e/d", "https:rel", "https://rel/"),
+        ("nowhere", "x", None), ("nowhere", "http://q/a/../b", "http://q/b"), (None, "x", None), ("https://h.e/", None, None), ("https://h.e/a", "http://", None),
+    ],
+)
+def test_resolve_as_browsers_do(spark, base, href, full):
+    assert one(spark, urls.resolve(F.lit(base).cast("string"), F.lit(href).cast("string"))) == full
+
+
 def test_www_is_the_same_site(spark):
     assert one(spark, urls.same_site(F.lit("www.a.b"), F.lit("a.b")))
     assert not one(spark, urls.same_site(F.lit("x.a.b"), F.lit("a.b")))

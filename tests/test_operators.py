@@ -1,15 +1,21 @@
 import json
+import os
+import subprocess
+import sys
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from auditloom import scratch
 from auditloom.functions import dom_signals as ds
 from auditloom.functions import html as markup
 from auditloom.functions import urls
 from auditloom.operators import components, content, crawl, findings, scoring, site
 from auditloom.sources import corpus, sinks
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def test_components_on_a_chain(spark):
     n = 40
@@ -19,6 +25,43 @@ def test_components_on_a_chain(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_a_hub(spark):
+    edges = [(1, i) for i in range(2, 3000)] + [(2999 + i, 5000) for i in range(500)] + [(5000, 9000), (-5, 1)]
+    for hub in (10, 10**6):
+        got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), hub=hub).collect()}
+        assert set(got.values()) == {-5} and len(got) == len({x for e in edges for x in e})
+
+
+def test_scratch_tables(spark, monkeypatch):
+    before = scratch.mark()
+    a, b = scratch.written(spark.range(3), "one"), scratch.written(spark.range(4), "two")
+    assert scratch.release(spark, before, keep=b) == 1 and b.count() == 4 and scratch.mark() == before + 1
+    with pytest.raises(Exception):
+        a.count()
+    assert scratch.release(spark, before) == 1
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Session())
+
+
+def test_a_missing_dependency_leaves_the_audit_queries():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), 'keywords' in q, any(n.startswith('op1_') for n in q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert out.returncode == 0 and out.stdout.split()[1:] == ["True", "False"], out.stderr
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [
