@@ -10,7 +10,7 @@ apart) and, if given, from a table of redirects (source, target). Urls are nodes
 lower case; hosts that hold many pages are many nodes, and no step gathers the pages of a host.
 
 Defined results: a url that is null or has no ``://`` has empty host and path, fits no rule, is no node and is allowed; null
-markup has no edges; rows that repeat give repeated rows; other columns are not read.
+markup has no edges; markup of any length is read whole, in one pass; rows that repeat give repeated rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions import urls
 from auditloom.operators.components import connected_components
 
 from . import common
@@ -59,29 +60,14 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return (name, verdict) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def resolved(base: Column, href: Column) -> Column:
-    """An address on a page's url: absolute, scheme-relative, rooted, or on the page's folder."""
-    href = F.trim(F.regexp_replace(href, "&amp;", "&"))
-    scheme, authority = F.regexp_extract(base, r"\A([^:/?#]*):", 1), F.regexp_extract(base, r"\A([^:/?#]*://[^/?#]*)", 1)
-    folder = F.coalesce(F.nullif(F.regexp_extract(base, r"\A([^:/?#]*://[^?#]*/)", 1), F.lit("")), F.concat(authority, F.lit("/")))
-    folder = F.when(F.length(folder) > F.length(authority), folder).otherwise(F.concat(authority, F.lit("/")))
-    return (
-        F.when(href == "", None)
-        .when(href.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(authority, href))
-        .when(href.startswith("#"), base)
-        .otherwise(F.concat(folder, href))
-    )
-
-
 def _attribute(tag: Column, name: str) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{form}", 1), F.lit("")) for form in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)")))
 
 
 def markup_edges(pages: DataFrame) -> DataFrame:
     """(a, b): a page's node and the node that it names as canonical or refreshes to."""
-    html = F.when(pages["html"].rlike("(?i)canonical|http-equiv"), F.regexp_replace(pages["html"], r"(?is)<!--.*?-->|<script\b.*?</script\s*>", " "))
+    # what is not closed reaches to the end, so that many open comments cost one pass
+    html = F.when(pages["html"].rlike("(?i)canonical|http-equiv"), F.regexp_replace(pages["html"], r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)", " "))
     tags = pages.select(pages["url"].cast("string").alias("u"), F.explode(F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), 1)).alias("tag"))
     rel, equiv = F.lower(_attribute(F.col("tag"), "rel")), F.lower(F.trim(_attribute(F.col("tag"), "http-equiv")))
     href = F.when(F.col("tag").rlike("(?i)^<link") & rel.rlike(r"(^|\s)canonical(\s|$)"), _attribute(F.col("tag"), "href")).when(
@@ -89,7 +75,7 @@ def markup_edges(pages: DataFrame) -> DataFrame:
     )
     # in written steps: one expression for all would be repeated in itself many times over, beyond what a method can hold
     named = common.written(tags.select("u", href.alias("href")), "url-links").where("href <> ''")
-    targets = common.written(named.select("u", resolved(F.col("u"), F.col("href")).alias("v")), "url-targets")
+    targets = common.written(named.select("u", urls.resolve(F.col("u"), F.regexp_replace("href", "&amp;", "&")).alias("v")), "url-targets")
     return targets.select(key_of(F.col("u")).alias("a"), key_of(F.col("v")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 

@@ -4,12 +4,13 @@ import re
 import time
 import zlib
 from collections import Counter
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.llm import common, decontam, exact_dedup, hashed_text, hpylm, language_id, mixing, ngram_join, pii, quality, secrets, url_filter
+from auditloom.llm import common, decontam, exact_dedup, hashed_text, hpylm, language_id, mixing, ngram_join, pii, quality, queries, secrets, url_filter
 from auditloom.llm.rtree import CountTree
 from auditloom.llm.shingles import WordHashes, shingle_set
 from auditloom.llm.trie import PatriciaTrie
@@ -632,6 +633,48 @@ def test_url_verdicts(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_propagation_against_a_plain_one(spark):
+    rng = random.Random(12)
+    hosts = ["a.com", "b.net", "c.org", "example.org", "sub.example.org", "d.io"]
+    url = lambda: f"http://{rng.choice(hosts)}{rng.choice(['/', '/de/', '/fr/', '/es/', '/en/1', '/x/'])}p{rng.randrange(25)}"
+    pages = []
+    for i in range(250):
+        own, other = url(), url()
+        link = rng.choice([None, f'<link rel="canonical" href="{other}">', f"<link href={other} rel='x canonical'>", f'<meta http-equiv=refresh content="1;url={other}">', '<link rel="canonical" href="../fr/./p3">', f'<!-- <link rel="canonical" href="{other}">'])
+        pages.append((i, own, f"<head>{link}</head>" if link and rng.random() < 0.4 else "<p>none</p>"))
+
+    def rule(u):
+        host, path = re.match(r"http://([^/]*)(.*)", u).groups()
+        fits = [(len(h + p), v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    edges = []
+    for _, own, html in pages:
+        m = re.search(r"(?:href=[\"']?|;url=)([^\"'> ]+)", html)
+        if m and "<!--" not in html:
+            edges.append((own, urljoin(own, m[1])))
+    parent = {u: u for e in edges for u in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    blocked = {root(u) for u in parent if rule(u) == "block"}
+    want = {i: rule(u) or ("block" if u in parent and root(u) in blocked else "allow") for i, u, _ in pages}
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want and sum(v == "block" and rule(u) is None for (_, u, _), v in zip(pages, want.values(), strict=True)) > 3
+
+
+def test_open_comments_cost_linear_time(spark):
+    began = time.time()
+    html = '<link rel=canonical href="/x">' + "<!-- <script " * 60_000
+    assert url_filter.judge(spark.createDataFrame([(1, "http://a.b/", html), (1, "http://a.b/", html)], "page_id long, url string, html string")).count() == 2
+    assert time.time() - began < 60
+
+
 # features and pipeline
 
 
@@ -641,6 +684,161 @@ def test_features_are_of_the_whole_text():
     assert len(hashed_text.features("", b)) > 0
 
 
+def test_unlearned_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    strange = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。", "x9q!!zk# qqv77w zzkxj pwqz kkvx jjqxz wqpz 88xkq vvkq zxq kkq zzzx wqqk",
+    ]
+    known = ["The houses of the town are on the other side of that river and the people there were all at home", "Über ein Jahr"]
+    more = spark.createDataFrame([(10**9 + i, x, None, "s", len(x)) for i, x in enumerate(strange + known)], docs.schema)
+    kept = {r["doc_id"] for r in language_id.keep_known(spark, docs.unionByName(more)).select("doc_id").collect()}
+    assert not kept & {10**9 + i for i in range(len(strange))} and {10**9 + len(strange), 10**9 + len(strange) + 1} <= kept
+    had = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert len(had - kept) <= 2
+
+
+def test_languages_against_plain_counts(spark):
+    docs = docs_of(spark)
+    model = language_id.fit(language_id.training_rows(docs))
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    for r in docs.limit(40).collect():
+        grams = [r["text"].lower()[i : i + n] for n in (1, 2, 3) for i in range(len(r["text"].lower()) - n + 1)]
+        at = [int(language_id.hashed(language_id.code_points(g), len(g))[0]) for g in grams]
+        z = sum(model["weights"][a].astype(float) for a in at) / len(at) + model["bias"]
+        p = np.exp(z[:-1] / model["temperature"])
+        p /= p.sum()
+        assert got[r["doc_id"]]["lang_pred"] == model["labels"][int(p.argmax())] and abs(got[r["doc_id"]]["score"] - p.max()) < 1e-3 and abs(got[r["doc_id"]]["rarity"] - z[-1]) < 1e-2
+
+
+def test_grades_and_posteriors_against_plain_sums(spark, labels):
+    docs = docs_of(spark)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    b = hashed_text.Buckets()
+    weights, cuts = quality.fit(hashed_text.labelled_sample(docs, labels, quality.rating(labels), 12_000))
+    for r in quality.classify(docs, labels).collect():
+        s = sum(float(weights[i]) for i in hashed_text.features(texts[r["doc_id"]], b))
+        tails = [1 / (1 + np.exp(c - s)) for c in cuts]
+        assert abs(r["tail"] - tails[1]) < 1e-4 and abs(r["expected_grade"] - sum(tails)) < 1e-4 and r["kept"] == (r["tail"] >= 0.5)
+    w = mixing.fit(hashed_text.labelled_sample(docs, labels, mixing.domain(labels), 8_000))
+    rows = mixing.mix(docs, labels, {"clean": 0.7, "low": 0.2, "toxic": 0.1}).collect()
+    p = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in rows])
+    for r, row in zip(rows[:60], p, strict=False):
+        z = np.array([sum(float(w[i, j]) for i in hashed_text.features(texts[r["doc_id"]], b)) for j in range(3)])
+        assert np.allclose(row, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-4)
+    # plain projected gradient on all rates at once reaches the same totals
+    n = np.array([r["n_tokens"] for r in rows], float)
+    base = n @ p
+    want = np.array([0.7, 0.2, 0.1]) * n.sum()
+    rate = np.ones(len(n))
+    for _ in range(3000):
+        rate = np.maximum(0.0, rate - 0.5 * p @ (((rate * n) @ p - want) / base))
+    assert np.allclose((rate * n) @ p, want, rtol=2e-2) and np.allclose((np.array([r["rate"] for r in rows]) * n) @ p, want, rtol=1e-3)
+    assert all(r["target_gap"] < 1e-4 for r in rows)
+
+
+def test_repeated_labels_count_once(spark, labels):
+    docs = docs_of(spark)
+    of = lambda marks: [(a.tolist(), y) for a, y in hashed_text.labelled_sample(docs, marks, quality.rating(marks), 12_000)]
+    assert of(labels.unionAll(labels).unionAll(labels)) == of(labels)
+    odd = spark.createDataFrame([(1, 0, None), (2, None, 1), (3, None, 0), (4, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert [r[0] for r in odd.select(quality.rating(odd)).collect()] == [None, 0, None, 2, 2]
+
+
+#: The contract's columns; an operator may return more.
+CONTRACT = {
+    "op1_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans", "op2_exact_dedup": "doc_id keep_id group_size kept text_sha256", "op5_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op7_lm_score": "doc_id held_out n_tokens n_known train_tokens base_score score", "op8_ngram_join": "doc_id n_shingles component_id", "op9_url_filter": "page_id host path rule verdict", "op10_language_id": "doc_id held_out lang_pred score",
+}
+
+
+@pytest.mark.parametrize("name", list(CONTRACT))
+def test_columns_of_the_contract(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    kinds = dict(df.dtypes)
+    assert set(CONTRACT[name].split()) <= set(df.columns)
+    long = {"n_assign", "n_access", "n_hex", "group_size", "n_email", "n_ip", "n_card", "n_phone", "n_tokens", "n_known", "train_tokens", "n_shingles"}
+    assert all(kinds[c] == "bigint" for c in long & set(kinds)) and all(kinds[c] == "boolean" for c in {"held_out", "kept"} & set(kinds)) and all(kinds[c] == "double" for c in {"score", "base_score"} & set(kinds))
+    if "held_out" in kinds:
+        m, k = (7, 2) if name.startswith("op7") else (5, 0)
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % m == k) for r in df.select("doc_id", "held_out").collect())
+
+
+def test_model_against_a_plain_sampler(spark):
+    """Customer-by-customer Gibbs sampling with named tables, on a small corpus."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(25)]
+    follow = {w: rng.sample(words, 4) for w in words}
+    texts = []
+    for _ in range(60):
+        w = [rng.choice(words)]
+        while len(w) < 12:
+            w.append(rng.choice(follow[w[-1]]) if rng.random() < 0.8 else rng.choice(words))
+        texts.append(w)
+    train, held = texts[:45], texts[45:]
+    pairs = [(a, b) for t in train for a, b in zip(["<s>", *t], [*t, "</s>"], strict=True)]
+    vocab = {b for _, b in pairs}
+    theta = 1.0
+
+    def discounts(types, tables):
+        one, two = sum(v == 1 for v in types), sum(v == 2 for v in types)
+        o0, t0 = sum(v == 1 for v in tables), sum(v == 2 for v in tables)
+        clip = lambda a, b: float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a + b else 0.5
+        return clip(one, two), clip(o0, t0)
+
+    counts = Counter(pairs)
+    low, high = {k: [1] * n for k, n in counts.items()}, {}  # table sizes by (context, word) and by word in the parent
+    for (_, w), sizes in low.items():
+        high.setdefault(w, []).extend([1] * len(sizes))
+    draw = np.random.default_rng(4)
+    scores = []
+    for sweep in range(60):
+        d1, d0 = discounts(counts.values(), Counter(w for (_, w), s in low.items() for _ in s).values())
+
+        def parent(w, d0=d0):
+            n, t = sum(map(sum, high.values())), sum(map(len, high.values()))
+            mine = high.get(w, [])
+            return (max(sum(mine) - d0 * len(mine), 0) + (theta + d0 * t) / (len(vocab) + 1)) / (theta + n)
+
+        for c, w in pairs:
+            sizes = low[c, w]
+            i = draw.choice(len(sizes), p=np.array(sizes) / sum(sizes))
+            sizes[i] -= 1
+            if not sizes[i]:
+                del sizes[i]
+                j = draw.choice(len(high[w]), p=np.array(high[w]) / sum(high[w]))
+                high[w][j] -= 1
+                if not high[w][j]:
+                    del high[w][j]
+            t = sum(len(s) for (a, _), s in low.items() if a == c)
+            p = np.array([*(n - d1 for n in sizes), (theta + d1 * t) * parent(w)])
+            i = draw.choice(len(p), p=p / p.sum())
+            if i < len(sizes):
+                sizes[i] += 1
+            else:
+                sizes.append(1)
+                up = high.setdefault(w, [])
+                n_tables = sum(map(len, high.values()))
+                q = np.array([*(n - d0 for n in up), (theta + d0 * n_tables) / (len(vocab) + 1)])
+                j = draw.choice(len(q), p=q / q.sum())
+                if j < len(up):
+                    up[j] += 1
+                else:
+                    up.append(1)
+        if sweep >= 20:
+            n_of, t_of = Counter(c for c, _ in pairs), Counter(c for (c, _), s in low.items() for _ in s)
+            each = []
+            for text in texts:
+                p = [(max(sum(low.get((a, b), [])) - d1 * len(low.get((a, b), [])), 0) + (theta + d1 * t_of[a]) * parent(b)) / (theta + n_of[a]) for a, b in zip(["<s>", *text], [*text, "</s>"], strict=True)]
+                each.append(p)
+            scores.append(each)
+    want = np.log10(np.mean(np.array([[x for t in s for x in t] for s in scores]), axis=0)).reshape(len(texts), 13).sum(axis=1)
+    rows = [(i, " ".join(t), i < len(train)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    got = np.array([r["score"] for r in hpylm.score(df, F.col("learn")).orderBy("doc_id").collect()])
+    assert abs(got[45:].mean() - want[45:].mean()) < 0.3 and abs(got[:45].mean() - want[:45].mean()) < 0.3 and np.corrcoef(got, want)[0, 1] > 0.98
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
