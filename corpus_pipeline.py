@@ -2,18 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the
 columns of ``documents``; the last adds ``rate`` and ``copies`` to the rows that the mixture takes. What a stage returns is written as
-Parquet and read again by the next one, so a lost executor costs no earlier stage.
+Parquet and read again by the next one, so a lost executor costs no earlier stage; scratch tables go as soon as a stage is written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditloom import scratch
 from auditloom.llm import common, decontam, exact_dedup, language_id, mixing, ngram_join
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is uncertain, go."""
+    """Documents without a letter, or in no language that the labelled rows show, go; which of the learned languages it is decides nothing."""
     return language_id.keep_known(spark, docs)
 
 
@@ -51,9 +52,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, begun = common.table(spark, sf_dir, "documents"), scratch.mark()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = common.written(docs, f"stage-{name}")
+            scratch.release(spark, begun, keep=docs)
     return docs
