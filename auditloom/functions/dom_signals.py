@@ -62,6 +62,11 @@ def schema_types(d: Column) -> Column:
     return F.array_distinct(found)
 
 
+def hreflang(d: Column, url: Column) -> Column:
+    """Alternate-language links with their addresses resolved on the page, as written where that can't be done."""
+    return F.transform(d["hreflang"], lambda h: F.struct(h["locale"].alias("locale"), F.coalesce(urls.resolve(url, h["url"]), h["url"]).alias("url")))
+
+
 def cms(html: Column) -> Column:
     hits = F.array(*(F.when(html.rlike(p), F.lit(n)) for n, p in sig.CMS), F.when(html.rlike(sig.GENERATOR), F.regexp_extract(html, sig.GENERATOR, 1)))
     return F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))

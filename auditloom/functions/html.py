@@ -276,6 +276,7 @@ def extract_page(html: str | None, deepest: int = 6) -> dict:
         "json_ld": [n.text() for n in scripts if get(n, "type") == "application/ld+json"],
         "itemscope": any("itemscope" in n.attrs for n in every),
         "forms": forms,
+        "videos": [u for n in every if (u := get(n, "src")) and (n.tag == "video" or (n.tag == "iframe" and re.search("youtube|vimeo", u)))] + [u for v in of("video") for n in v.walk() if n.tag == "source" and (u := get(n, "src"))],
         "has_video": any(n.tag == "video" or (n.tag == "iframe" and re.search("youtube|vimeo", get(n, "src") or "")) for n in every),
         "interactions": [k for k, hit in widgets.items() if hit],
         "client_rendered": bool(scripts) and sum(not isinstance(c, str) for c in b.body.children) < 10 and n_words < 50,
@@ -288,7 +289,7 @@ DOM = """struct<title:string,meta_description:string,h1_text:string,canonical:st
 body_text:string,visible_text:string,word_count:int,anchors:array<struct<href:string,text:string>>,images:array<struct<src:string,alt:string>>,
 scripts:array<struct<src:string,type:string>>,resources:array<string>,metas:array<struct<name:string,property:string,content:string>>,
 json_ld:array<string>,itemscope:boolean,forms:array<struct<action:string,hints:string,types:array<string>,inputs:array<struct<type:string,name:string>>,purpose:string>>,
-has_video:boolean,interactions:array<string>,client_rendered:boolean,components:array<string>,skeleton:string>"""
+videos:array<string>,has_video:boolean,interactions:array<string>,client_rendered:boolean,components:array<string>,skeleton:string>"""
 
 
 def dom(html: Column) -> Column:

@@ -15,6 +15,12 @@ from . import content, site
 from .scoring import VARIANCE_NOTES, lookup, variance
 
 SAMPLE = 10
+#: Findings in the order in which they are produced.
+ORDER = (
+    "broken_page", "missing_h1", "orphan_page", "missing_title", "missing_meta_description", "duplicate_title", "accessibility_violation", "cms_detected", "js_framework_detected", "mixed_content", "exposed_staging",
+    "pii_without_privacy_link", "near_duplicate_content", "low_readability", "template_rollup", "one_off_template", "component_style_inconsistency", "broken_hreflang", "missing_lang_attribute", "media_governance_risk", "freshness_unknown", "stale_content",
+    "url_trailing_slash_inconsistency", "url_case_inconsistency", "url_tracking_params_internal", "page_count_variance", "scale_summary",
+)
 COLUMNS = ("finding_type", "title", "description", "severity", "effort_bucket", "personas", "affected_page_count", "affected_urls_sample", "affected_template", "detection_method")
 #: type: (severity, effort, personas, words after the count, description, detection)
 KINDS: dict[str, tuple[str, str, str, str, str, str]] = {
@@ -54,21 +60,54 @@ def of_pages(kind: str, hits: DataFrame, severity: Callable[[Column], Column] |
     return row.select(*finding(kind, grade, effort, personas, _plural(F.col("n"), words), F.lit(why), F.col("n"), F.transform("s", lambda x: x["url"]), F.lit(how)))
 
 
-def broken_pages(pages: DataFrame) -> DataFrame:
-    return of_pages("broken_page", pages.where("status_code >= 400"), lambda n: F.when(n > 5, "high").otherwise("medium"))
+def of_flags(pages: DataFrame, flags: dict[str, Column], severity: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """One finding for each kind whose flag some page shows: counts and samples of all kinds from the same pass over the pages."""
+    hits = pages.select("page_ord", "url", F.explode(F.filter(F.array(*(F.when(flag, F.lit(kind)) for kind, flag in flags.items())), lambda k: k.isNotNull())).alias("kind"))
+    n = hits.groupBy("kind").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("page_ord", "url"))
+    firsts = hits.withColumn("r", place).where(F.col("r") <= SAMPLE).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("page_ord", "url"))).alias("s"))
+    row = n.join(F.broadcast(firsts), "kind")
+    out = None
+    at = {k: F.lit(None) for k in ("level", "effort", "words", "why", "how", "personas")}
+    for kind in flags:
+        level, effort, personas, words, why, how = KINDS[kind]
+        mine = F.col("kind") == kind
+        made = {"level": severity[kind](F.col("n")) if severity and kind in severity else F.lit(level), "effort": F.lit(effort), "words": F.lit(words), "why": F.lit(why), "how": F.lit(how), "personas": F.array(*map(F.lit, personas.split()))}
+        at = {k: F.when(mine, made[k]) if out is None else at[k].when(mine, made[k]) for k in made}
+        out = kind
+    return row.select(
+        F.col("kind").alias("finding_type"), F.concat(F.col("n").cast("string"), at["words"]).alias("title"), at["why"].alias("description"), at["level"].alias("severity"), at["effort"].alias("effort_bucket"), at["personas"].alias("personas"),
+        F.col("n").cast("int").alias("affected_page_count"), F.transform("s", lambda x: x["url"]).alias("affected_urls_sample"), F.lit(None).cast("string").alias("affected_template"), at["how"].alias("detection_method"),
+    )
 
 
 def _blank(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")) == ""
 
 
-def missing(pages: DataFrame) -> list[DataFrame]:
-    ok = pages.where("error IS NULL")
-    return [of_pages("missing_title", ok.where(_blank("title"))), of_pages("missing_meta_description", ok.where(_blank("meta_description")))]
+def page_flags(pages: DataFrame) -> dict[str, Column]:
+    """Kinds of findings that a page shows by itself, as far as the columns for them are there."""
+    ok, d, has = F.col("error").isNull(), F.col("dom"), set(pages.columns)
+    flags = {
+        "broken_page": ("status_code", lambda: F.col("status_code") >= 400),
+        "missing_h1": ("h1_text", lambda: ok & _blank("h1_text")),
+        "missing_title": ("title", lambda: ok & _blank("title")),
+        "missing_meta_description": ("meta_description", lambda: ok & _blank("meta_description")),
+        "mixed_content": ("dom", lambda: ds.mixed_content(d, F.col("url"))),
+        "exposed_staging": ("url", lambda: urls.is_staging(F.col("url"))),
+        "pii_without_privacy_link": ("dom", lambda: ds.pii_form_without_privacy_link(d)),
+        "low_readability": ("text", lambda: text.flesch(F.col("text")) < 30),
+    }
+    return {k: make() for k, (column, make) in flags.items() if column in has}
+
 
+GRADED = {"broken_page": lambda n: F.when(n > 5, "high").otherwise("medium")}
 
-def missing_h1(pages: DataFrame) -> DataFrame:
-    return of_pages("missing_h1", pages.where("error IS NULL").where(_blank("h1_text")))
+
+def by_page(pages: DataFrame, kinds=None) -> DataFrame:
+    """Findings of pages that can be told from the page alone, in one pass."""
+    flags = page_flags(pages)
+    return of_flags(pages, {k: v for k, v in flags.items() if kinds is None or k in kinds}, GRADED)
 
 
 def orphans(pages: DataFrame, links: DataFrame, start_url: str) -> DataFrame:
@@ -113,15 +152,6 @@ def tech_stack(pages: DataFrame) -> DataFrame:
     return row.select(F.col("kind").alias("finding_type"), *made[1:])
 
 
-def risks(pages: DataFrame) -> list[DataFrame]:
-    d = F.col("dom")
-    return [
-        of_pages("mixed_content", pages.where(ds.mixed_content(d, F.col("url")))),
-        of_pages("exposed_staging", pages.where(urls.is_staging(F.col("url")))),
-        of_pages("pii_without_privacy_link", pages.where(ds.pii_form_without_privacy_link(d))),
-    ]
-
-
 def near_duplicates(pages: DataFrame, **options) -> DataFrame:
     clusters = content.near_duplicate_clusters(pages, "page_ord", **options)
     total = clusters.agg(F.countDistinct("cluster").alias("clusters"), F.count("*").alias("n"), F.min("cluster").alias("cluster"))
@@ -131,10 +161,6 @@ def near_duplicates(pages: DataFrame, **options) -> DataFrame:
     return row.select(*finding("near_duplicate_content", F.lit("medium"), "config", "content", title, F.lit("Texts share three quarters of their shingles or more."), F.col("n"), F.transform("s", lambda x: x["url"]), F.lit("8-word shingles, Jaccard similarity of 0.75 or more")))
 
 
-def low_readability(pages: DataFrame) -> DataFrame:
-    return of_pages("low_readability", pages.where(text.flesch(F.col("text")) < 30))
-
-
 def templates(pages: DataFrame, collation: str = "UNICODE") -> list[DataFrame]:
     groups = site.template_groups(pages, collation)
     s = site.template_summary(groups)
@@ -235,13 +261,13 @@ def scale_summary(pages: DataFrame) -> DataFrame:
 
 def analyze(pages: DataFrame, links: DataFrame, assets: DataFrame, start_url: str, as_of: Column, stated: int | None = None, max_pages: int = 500, near: dict | None = None) -> DataFrame:
     """All findings in the producers' order (ord). pages carries a parsed ``dom``; cache it, every producer reads it."""
-    made = [
-        broken_pages(pages), missing_h1(pages), orphans(pages, links, start_url), *missing(pages), duplicate_titles(pages), accessibility(pages), tech_stack(pages), *risks(pages), near_duplicates(pages, **(near or {})),
-        low_readability(pages), *templates(pages), component_inconsistencies(pages), *locale_issues(pages), media_governance(assets), *freshness(pages, as_of), *url_health(pages), *variance_note(pages, stated, max_pages), scale_summary(pages),
+    parts = [
+        by_page(pages), orphans(pages, links, start_url), duplicate_titles(pages), accessibility(pages), tech_stack(pages), near_duplicates(pages, **(near or {})), *templates(pages), component_inconsistencies(pages),
+        *locale_issues(pages), media_governance(assets), *freshness(pages, as_of), *url_health(pages), *variance_note(pages, stated, max_pages), scale_summary(pages),
     ]
-    every = None
-    for i, part in enumerate(made):
-        part = part.withColumn("producer", F.lit(i))
-        every = part if every is None else every.unionByName(part)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("finding_type"))
     # a few dozen rows: one task orders them
-    return every.withColumn("ord", F.row_number().over(Window.orderBy("producer", F.desc("affected_page_count"), "title"))).drop("producer")
+    return every.withColumn("ord", F.row_number().over(Window.orderBy(place, F.desc("affected_page_count"), "title")))

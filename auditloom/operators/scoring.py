@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions import dom_signals as ds
 from auditloom.functions import signatures as sig
 from auditloom.functions.numbers import one_place, pct_score
 from auditloom.functions.text import capital_first
@@ -39,6 +40,24 @@ def scorecard(counts: DataFrame) -> DataFrame:
     return rows.withColumn("ux_maturity_band", band(F.col("ux_maturity")))
 
 
+def site_counts(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """The one row of counts that the scorecard and the narrative read, from parsed pages and their findings."""
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("finding_type") == kind, F.col("affected_page_count"))), F.lit(0)).cast("long")
+    found = findings.agg(
+        of("orphan_page").alias("orphan_pages"), (of("duplicate_title") + of("near_duplicate_content")).alias("duplicate_pages"), of("missing_h1").alias("missing_h1"), of("missing_title").alias("missing_title"),
+        of("missing_meta_description").alias("missing_meta_description"),
+    )
+    dom = F.col("dom")
+    images, bare = F.coalesce(F.sum(ds.images_total(dom)), F.lit(0)), F.coalesce(F.sum(ds.images_missing_alt(dom)), F.lit(0))
+    own = pages.agg(
+        F.count("*").alias("total_pages"), F.count_if(F.col("depth") > 3).alias("deep_pages"), F.count_if((F.col("word_count") > 0) & (F.col("word_count") < 150)).alias("thin_pages"),
+        F.count_if(F.size("accessibility_violations") > 0).alias("accessibility_pages"), F.count_if(F.coalesce("canonical", F.lit("")) == "").alias("missing_canonical"), F.count_if(F.col("status_code") >= 400).alias("broken_pages"),
+        F.greatest(F.lit(0), F.coalesce(F.max("depth"), F.lit(0))).alias("max_click_depth"), images.alias("images"), bare.alias("missing_alt"),
+    )
+    alt = F.when(F.col("images") > 0, one_place((1 - F.col("missing_alt") / F.col("images")) * 100)).otherwise(F.lit(100.0))
+    return own.crossJoin(found).withColumn("image_alt_coverage_pct", alt)
+
+
 def impact(severity: Column) -> Column:
     return F.when(severity.isin("critical", "high"), "High").otherwise("Low")
 

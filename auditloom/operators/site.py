@@ -19,7 +19,8 @@ def inbound_counts(links: DataFrame) -> DataFrame:
 
 def orphan_pages(pages: DataFrame, links: DataFrame, start_url: str) -> DataFrame:
     """Pages without error that no internal link names, but for the start."""
-    named = links.where("is_internal").select(F.col("target_url").alias("url"))
+    # each target once: most links of a site lead to a few of its pages
+    named = links.where("is_internal").select(F.col("target_url").alias("url")).distinct()
     return pages.where(F.col("error").isNull() & (F.col("url") != start_url)).join(named, "url", "left_anti")
 
 
@@ -34,17 +35,18 @@ def script_pages_without_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     return pages.where("is_client_rendered").join(links.where("is_internal").select(F.col("source_url").alias("url")), "url", "left_anti")
 
 
-def external_targets(links: DataFrame, limit: int = 30) -> DataFrame:
-    """External targets by the number of links to them: url, linked_from_count, example_linking_page."""
-    each = links.where("NOT is_internal").groupBy(F.col("target_url").alias("url")).agg(F.count("*").alias("linked_from_count"), F.min("source_url").alias("example_linking_page"))
+def external_targets(links: DataFrame, limit: int = 30, order: str | None = None) -> DataFrame:
+    """External targets by the number of links to them: url, linked_from_count, and the first linking page by the column ``order`` (by address without one)."""
+    first = F.min("source_url") if order is None else F.min_by("source_url", F.struct(order, "source_url"))
+    each = links.where("NOT is_internal").groupBy(F.col("target_url").alias("url")).agg(F.count("*").alias("linked_from_count"), first.alias("example_linking_page"))
     return each.orderBy(F.desc("linked_from_count"), "url").limit(limit)
 
 
-def broken_external_links(links: DataFrame, link_status: DataFrame, limit: int = 30) -> DataFrame:
+def broken_external_links(links: DataFrame, link_status: DataFrame, limit: int = 30, order: str | None = None) -> DataFrame:
     """The top external targets whose given status is an error text or 400 and above."""
     code = F.expr("try_cast(status AS int)")
     bad = link_status.where(code.isNull() | (code >= 400)).select("url", "status")
-    return external_targets(links, limit).join(bad, "url").select("url", "status", "linked_from_count", "example_linking_page")
+    return external_targets(links, limit, order).join(bad, "url").select("url", "status", "linked_from_count", "example_linking_page")
 
 
 def template_groups(pages: DataFrame, collation: str = "UNICODE") -> DataFrame:
@@ -240,7 +242,8 @@ def feature_matrix(pages: DataFrame) -> DataFrame:
     """
     d, f = F.col("dom"), F.filter
     purposes = F.transform(F.expr("dom.forms"), lambda x: x["purpose"])
-    by_form = F.flatten(F.array(*(F.transform(f(purposes, lambda p, k=k: p == k), lambda _, n=n: F.lit(n)) for k, n in sig.PURPOSE_FEATURES)))
+    named = F.create_map(*(F.lit(x) for pair in sig.PURPOSE_FEATURES for x in pair))
+    by_form = f(F.transform(purposes, lambda p: named[p]), lambda x: x.isNotNull())
     chats = F.transform(f(d["scripts"], lambda s: F.coalesce(s["src"].rlike("|".join(x.replace(".", r"\.") for x in sig.CHAT_SOURCES)), F.lit(False))), lambda _: F.lit("Live Chat Widget"))
     hints = F.array_join(F.transform(d["forms"], lambda x: x["hints"]), " ")
     single = F.array(

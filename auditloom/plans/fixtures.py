@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.functions import html as markup
+from auditloom.operators import audit
 from auditloom.sources import corpus
 
 AS_OF = "2024-06-30"
@@ -30,18 +30,34 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_CRAWLED = ("audit_id", "page_ord", "page_id", "url", "html", "status_code", "error", "depth", "response_time_ms", "last_modified")
+
+
 def parsed_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages with their parsed markup, as a finished crawl has them."""
-    base = corpus.fixture_pages(spark, d, markup=True).select("audit_id", "page_ord", "page_id", "url", "html", "status_code", "error", "depth", "response_time_ms", "last_modified")
-    p = base.withColumn("dom", markup.dom(F.col("html")))
-    return p.select(
-        "*",
-        *(F.col(f"dom.{c}").alias(c) for c in ("title", "meta_description", "h1_text", "canonical", "lang", "hreflang", "word_count")),
-        F.col("dom.visible_text").alias("text"),
-        F.col("dom.client_rendered").alias("is_client_rendered"),
-        markup.fingerprint(F.col("dom")).alias("template_fingerprint"),
-        F.expr("CAST(array() AS array<struct<id:string,impact:string,description:string,nodesCount:int>>)").alias("accessibility_violations"),
-    )
+    return audit.parsed(corpus.fixture_pages(spark, d, markup=True).select(*_CRAWLED))
+
+
+def rich_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose markup also has what the fixtures lack, by page_id: canonical and alternate links, descriptions, cards, structured
+    data, scripts, images, videos, documents, forms, widgets, insecure frames; and accessibility violations. No text is added."""
+    n = F.col("page_id")
+    on = lambda hit, *parts: F.when(hit, F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))).otherwise("")
+    i = n.cast("string")
+    head = F.concat(
+        on(n % 3 == 0, '<link rel="canonical" href="/c/', i, '">'), on(n % 4 != 0, '<meta name="description" content="about ', i, '">'), on(n % 5 == 0, '<link rel="alternate" hreflang="fr" href="../fr/', i, '">'),
+        on(n % 2 == 0, '<meta property="og:title" content="t">'), on(n % 6 == 0, '<meta property="og:description" content="d"><meta property="og:image" content="i"><meta name="twitter:card" content="c">'),
+        on(n % 7 == 0, '<script type="application/ld+json">{"@type":"Article"}</script>'), on(n % 3 == 1, '<script src="https://js.example.net/', i, '.js"></script>'),
+    )
+    count = (n % 4).cast("int")
+    images = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.concat(F.lit('<img src="/i/'), i, F.lit("-"), k.cast("string"), F.when(k % 2 == 0, '.png" alt="x">').otherwise('.png">')))
+    body = F.concat(
+        F.array_join(images, ""), on(n % 6 == 1, '<iframe src="https://www.youtube.com/embed/', i, '"></iframe>'), on(n % 5 == 2, '<a href="files/', i, '.pdf"></a>'), on(n % 8 == 3, '<form action="/search"><input type="search" name="q"></form>'),
+        on(n % 8 == 5, '<form><input type="email" name="e"><input type="password"></form>'), on(n % 9 == 4, '<div role="dialog"></div>'), on(n % 10 == 9, '<iframe src="http://old.example.net/w"></iframe>'),
+    )
+    html = F.replace(F.replace(F.col("html"), F.lit("<head>"), F.concat(F.lit("<head>"), head)), F.lit("<nav>"), F.concat(body, F.lit("<nav>")))
+    found = F.expr("CASE WHEN page_id % 10 = 0 THEN array(named_struct('id', 'image-alt', 'impact', 'serious', 'description', 'Images need alt', 'nodesCount', 1)) END")
+    return audit.parsed(corpus.fixture_pages(spark, d, markup=True).select(*_CRAWLED).withColumn("html", html).withColumn("accessibility_violations", found))
 
 
 def assets(spark: SparkSession, d: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditloom import scratch
 from auditloom.functions.text import csv_field
-from auditloom.operators import crawl, findings, scoring, site
+from auditloom.operators import audit, crawl, findings, scoring
 from auditloom.sources import corpus, sinks
 
 from . import fixtures as fx
@@ -78,13 +79,16 @@ def _field(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '[\",\\n]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
 
 
-@query(f"WITH {S.FINDINGS} SELECT ord, concat_ws(',', {', '.join(_field(x) for x in ('finding_type', 'title', 'severity', 'effort_bucket', chr(97) + 'rray_to_string(personas, ' + chr(39) + '|' + chr(39) + ')', 'affected_page_count::VARCHAR', 'description', 'detection_method'))}) AS line FROM fd")
+_FIELDS = ("finding_type", "title", "severity", "effort_bucket", "array_to_string(personas, '|')", "affected_page_count::VARCHAR", "description", "detection_method")
+
+
+@query(f"WITH {S.FINDINGS} SELECT ord, concat_ws(',', {', '.join(map(_field, _FIELDS))}) AS line FROM fd")
 def csv_rows(spark, d):
     """Findings as CSV lines."""
     return sinks.csv_rows(fx.findings(spark, d))
 
 
-@query(f"SELECT p_partkey, {_field(chr(112) + '_name')} AS field FROM part")
+@query(f"SELECT p_partkey, {_field('p_name')} AS field FROM part")
 def csv_fields(spark, d):
     """Quoting of fields."""
     return corpus.table(spark, d, "part").select("p_partkey", csv_field(F.col("p_name")).alias("field"))
@@ -108,31 +112,43 @@ def variance(spark, d):
     return v.select("p_partkey", "v.difference", "v.difference_pct", "v.verdict", "v.severity")
 
 
-def _counts(spark, d):
-    """Counts of the regular-expression fixture, for the scorecard."""
-    p, links = fx.audit_pages(spark, d), fx.links(spark, d)
-    orphan = site.orphan_pages(p, links, "").agg(F.count("*").alias("orphan_pages"))
-    titles = p.where("title <> ''").groupBy("title").agg(F.count("*").alias("n")).where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_pages"))
-    ok = F.col("error").isNull()
-    own = p.agg(
-        F.count("*").alias("total_pages"), F.count_if(F.col("depth") > 3).alias("deep_pages"), F.count_if((F.col("word_count") > 0) & (F.col("word_count") < 150)).alias("thin_pages"),
-        F.count_if(ok & (F.coalesce("h1_text", F.lit("")) == "")).alias("missing_h1"), F.lit(0).cast("long").alias("accessibility_pages"), F.count_if(ok & (F.coalesce("title", F.lit("")) == "")).alias("missing_title"),
-        F.count_if(ok).alias("missing_meta_description"), F.count("*").alias("missing_canonical"), F.count_if(F.col("status_code") >= 400).alias("broken_pages"), F.greatest(F.lit(0), F.max("depth")).alias("max_click_depth"),
-    )
-    return own.crossJoin(orphan).crossJoin(titles).withColumn("image_alt_coverage_pct", F.lit(100.0))
+def _site(spark, d):
+    """Parsed pages, their links, and the findings that the counts come from."""
+    p, links = scratch.written(fx.rich_pages(spark, d), "site"), fx.links(spark, d)
+    parts = (findings.by_page(p), findings.orphans(p, links, ""), findings.duplicate_titles(p), findings.near_duplicates(p, max_pages=None), findings.scale_summary(p))
+    found = parts[0]
+    for x in parts[1:]:
+        found = found.unionByName(x)
+    return p, found
 
 
-_COUNTS = f"""{S.PAGES}, {S.LINKS}, own AS (SELECT count(*) AS total, count(*) FILTER (depth > 3) AS deep, count(*) FILTER (word_count > 0 AND word_count < 150) AS thin,
-    count(*) FILTER (error IS NULL AND coalesce(h1_text, '') = '') AS h1, count(*) FILTER (error IS NULL AND coalesce(title, '') = '') AS title, count(*) FILTER (error IS NULL) AS meta,
-    count(*) FILTER (status_code >= 400) AS broken, greatest(0, max(depth)) AS deepest FROM pg),
-orp AS (SELECT count(*) AS orphan FROM pg WHERE error IS NULL AND url NOT IN (SELECT target_url FROM lk WHERE is_internal)),
-dup AS (SELECT coalesce(sum(n), 0)::BIGINT AS dup FROM (SELECT count(*) AS n FROM pg WHERE coalesce(title, '') <> '' GROUP BY title HAVING count(*) > 1)),
-sc AS (SELECT *, {S.one_place(f"{S.pct_score('orphan', 'total')} * 0.5 + {S.pct_score('deep', 'total')} * 0.5")} AS ia,
-    {S.one_place(f"{S.pct_score('thin', 'total')} * 0.25 + {S.pct_score('dup', 'total')} * 0.25 + {S.pct_score('h1', 'total')} * 0.25 + 100.0::DOUBLE * 0.25")} AS content, 100.0::DOUBLE AS a11y,
-    {S.one_place(f"{S.pct_score('title', 'total')} * 0.4::DOUBLE + {S.pct_score('meta', 'total')} * 0.4::DOUBLE + {S.pct_score('total', 'total')} * 0.2::DOUBLE")} AS seo FROM own, orp, dup),
+def _counts(spark, d):
+    """Counts of the site, from its markup and findings."""
+    return scoring.site_counts(*_site(spark, d))
+
+
+_NEAR = f"""nw AS MATERIALIZED (SELECT page_ord AS id, {S.words('text')} AS w FROM pg), ng AS MATERIALIZED (SELECT id, unnest({S.shingles('w', 8)}) AS g FROM nw), nn AS (SELECT id, count(*) AS n FROM ng GROUP BY id),
+np AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM ng a JOIN ng b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id), nd AS (SELECT a, b FROM np JOIN nn x ON x.id = a JOIN nn y ON y.id = b WHERE i::DOUBLE / (x.n + y.n - i) >= 0.75)"""
+_FOUND = rf"""{S.PAGES}, {S.LINKS}, {_NEAR}, fc AS (SELECT count(*) FILTER (status_code >= 400) AS broken_page, count(*) FILTER (error IS NULL AND coalesce(h1_text, '') = '') AS missing_h1, count(*) FILTER (error IS NULL AND coalesce(trim(title), '') = '') AS missing_title,
+    count(*) FILTER (error IS NULL AND page_id % 4 = 0) AS missing_meta_description, count(*) FILTER (page_id % 10 = 9 AND starts_with(url, 'https://')) AS mixed_content, count(*) FILTER (regexp_matches({S.host('url')}, '(^|\.)(staging|stage|dev|test|uat|preprod|qa)(\.|-)')) AS exposed_staging,
+    count(*) FILTER (page_id % 8 = 5) AS pii_without_privacy_link, count(*) FILTER ({S.flesch('text')} < 30) AS low_readability, count(*) AS scale_summary,
+    count(*) FILTER (error IS NULL AND url NOT IN (SELECT target_url FROM lk WHERE is_internal)) AS orphan_page, (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM pg WHERE trim(title) <> '' GROUP BY trim(title) HAVING count(*) > 1)) AS duplicate_title,
+    (SELECT count(*) FROM (SELECT a FROM nd UNION SELECT b FROM nd)) AS near_duplicate_content FROM pg)"""
+_COUNTS = f"""{_FOUND}, own AS (SELECT count(*) AS total, count(*) FILTER (depth > 3) AS deep, count(*) FILTER (word_count > 0 AND word_count < 150) AS thin, count(*) FILTER (page_id % 10 = 0) AS a11, count(*) FILTER (page_id % 3 <> 0) AS canon,
+    {S.one_place("(1 - sum(page_id % 4 // 2)::DOUBLE / sum(page_id % 4)) * 100")} AS alt FROM pg),
+sc AS (SELECT *, {S.one_place(f"{S.pct_score('orphan_page', 'total')} * 0.5 + {S.pct_score('deep', 'total')} * 0.5")} AS ia,
+    {S.one_place(f"{S.pct_score('thin', 'total')} * 0.25 + {S.pct_score('(duplicate_title + near_duplicate_content)', 'total')} * 0.25 + {S.pct_score('missing_h1', 'total')} * 0.25 + alt * 0.25")} AS content, {S.pct_score('a11', 'total')} AS a11y,
+    {S.one_place(f"{S.pct_score('missing_title', 'total')} * 0.4::DOUBLE + {S.pct_score('missing_meta_description', 'total')} * 0.4::DOUBLE + {S.pct_score('canon', 'total')} * 0.2::DOUBLE")} AS seo FROM own, fc),
 uxs AS (SELECT *, {S.one_place('(ia + content + a11y + seo) / 4')} AS ux FROM sc)"""
 
 
+@query(f"WITH {_COUNTS} SELECT total AS total_pages, deep AS deep_pages, thin AS thin_pages, orphan_page AS orphan_pages, duplicate_title + near_duplicate_content AS duplicate_pages, missing_h1, missing_title, missing_meta_description, canon AS missing_canonical, a11 AS accessibility_pages, broken_page AS broken_pages, alt AS image_alt_coverage_pct FROM uxs")
+def site_counts(spark, d):
+    """Counts of the site from parsed pages and findings (P3, P6, A23, R2-R7's inputs)."""
+    names = ("total_pages", "deep_pages", "thin_pages", "orphan_pages", "duplicate_pages", "missing_h1", "missing_title", "missing_meta_description", "missing_canonical", "accessibility_pages", "broken_pages", "image_alt_coverage_pct")
+    return _counts(spark, d).select(*names)
+
+
 @query(f"WITH {_COUNTS} SELECT ia AS ia_health, content AS content_quality, a11y AS accessibility, seo, ux AS ux_maturity, CASE WHEN ux >= 85 THEN 'Strong' WHEN ux >= 70 THEN 'Adequate' WHEN ux >= 50 THEN 'Needs Improvement' ELSE 'Critical' END AS ux_maturity_band FROM uxs")
 def scorecard(spark, d):
     """The site's scorecard."""
@@ -198,33 +214,49 @@ def report_areas(spark, d):
     return f.groupBy(scoring.lookup(F.col("finding_type"), scoring.REPORT_AREA, "General").alias("area")).agg(F.count("*").alias("findings"))
 
 
-@query(f"WITH {S.PAGES} SELECT finding_type, severity, affected_page_count FROM (SELECT 'broken_page' AS finding_type, CASE WHEN count(*) > 5 THEN 'high' ELSE 'medium' END AS severity, count(*)::INTEGER AS affected_page_count FROM pg WHERE status_code >= 400 UNION ALL SELECT 'missing_h1', 'medium', count(*)::INTEGER FROM pg WHERE error IS NULL AND coalesce(h1_text, '') = '' UNION ALL SELECT 'duplicate_title', 'medium', coalesce(sum(n), 0)::INTEGER FROM (SELECT count(*) AS n FROM pg WHERE title <> '' GROUP BY title HAVING count(*) > 1) UNION ALL SELECT 'low_readability', 'low', count(*)::INTEGER FROM pg WHERE {S.flesch('text')} < 30 UNION ALL SELECT 'scale_summary', 'low', count(*)::INTEGER FROM pg) WHERE affected_page_count > 0")
+_KINDS = ("broken_page", "missing_h1", "missing_title", "missing_meta_description", "mixed_content", "exposed_staging", "pii_without_privacy_link", "low_readability", "scale_summary", "orphan_page", "duplicate_title", "near_duplicate_content")
+
+
+@query(f"WITH {_FOUND}, u AS (UNPIVOT fc ON {', '.join(_KINDS)} INTO NAME finding_type VALUE n) SELECT finding_type, n::INTEGER AS affected_page_count FROM u WHERE n > 0")
 def finding_counts(spark, d):
-    """Findings that need no parsed markup (2.14: 1, 2, 6, 14, 27; U1)."""
-    p = fx.audit_pages(spark, d)
-    parts = [findings.broken_pages(p), findings.missing_h1(p), findings.duplicate_titles(p), findings.low_readability(p), findings.scale_summary(p)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.select("finding_type", "severity", "affected_page_count")
+    """Findings of a site with their pages (2.14: the kinds that a page, a title, a text or a link shows; U1)."""
+    return _site(spark, d)[1].select("finding_type", "affected_page_count")
 
 
-def _analysis(spark, d):
-    p = fx.parsed_pages(spark, d).persist()
+def _audit(spark, d):
+    pages = corpus.fixture_pages(spark, d, markup=True).select("audit_id", "page_ord", "page_id", "url", "html", "status_code", "error", "depth", "response_time_ms", "last_modified")
     start = corpus.table(spark, d, "pages").orderBy("page_id").select("url").first()["url"]
-    return p, findings.analyze(p, fx.links(spark, d), fx.assets(spark, d), start, F.lit(fx.AS_OF).cast("timestamp"), stated=200, near={"max_pages": None})
+    return audit.run(pages, start, F.lit(fx.AS_OF).cast("timestamp"), {"client_name": "Fixture & Co.", "personas": ("ux", "content")}, stated=200)
 
 
 @query()
 def all_findings(spark, d):
-    """The whole analysis of the fixture's site (2.14, U1)."""
-    return _analysis(spark, d)[1]
+    """The whole analysis of the fixture's site (2.14, U1, X6)."""
+    return _audit(spark, d).findings
+
+
+@query()
+def workbook_sheets(spark, d):
+    """The rows of every sheet of the workbook, as text."""
+    out = None
+    for i, (name, sheet) in enumerate(audit.workbook(_audit(spark, d), F.lit(fx.AS_OF).cast("timestamp")).items()):
+        rows = sheet.select(F.lit(i).alias("sheet"), F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"WITH {_COUNTS}, l(ord, label, value) AS (SELECT unnest([3, 7, 12, 13, 14, 15]), unnest(['Pages crawled', 'Overall UX Maturity', 'Orphan pages', 'Thin content pages', 'Duplicate content pages', 'Pages with accessibility issues']), unnest([total::VARCHAR, ux::VARCHAR || ' / 100 (' || (CASE WHEN ux >= 85 THEN 'Strong' WHEN ux >= 70 THEN 'Adequate' WHEN ux >= 50 THEN 'Needs Improvement' ELSE 'Critical' END) || ')', orphan_page::VARCHAR, thin::VARCHAR, (duplicate_title + near_duplicate_content)::VARCHAR, a11 || ' / ' || total]) FROM uxs) SELECT * FROM l")
+def overview(spark, d):
+    """Lines of the overview that count or score."""
+    p, found = _site(spark, d)
+    made = audit.Audit({"start_url": "https://example.com/"}, p, fx.links(spark, d), sinks.asset_rows(p), sinks.interaction_rows(p), found, scratch.written(scoring.scorecard(scoring.site_counts(p, found)), "card"))
+    return audit.overview(made).where(F.col("ord").isin(3, 7, 12, 13, 14, 15))
 
 
-@query(f"WITH {S.FINDINGS} SELECT to_json(list(finding_type ORDER BY ord)) AS types FROM fd WHERE ord <= 20")
+@query(f"WITH {S.FINDINGS} SELECT to_json(list(finding_type ORDER BY ord)) AS types FROM fd")
 def json_array(spark, d):
     """Findings in a document."""
-    f = fx.findings(spark, d).where("ord <= 20").agg(F.array_sort(F.collect_list(F.struct("ord", "finding_type"))).alias("f"))
+    f = fx.findings(spark, d).agg(F.array_sort(F.collect_list(F.struct("ord", "finding_type"))).alias("f"))
     return f.select(F.to_json(F.transform("f", lambda x: x["finding_type"])).alias("types"))
 
 

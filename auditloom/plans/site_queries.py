@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditloom import scratch
 from auditloom.functions import dom_signals as ds
 from auditloom.functions import html as markup
+from auditloom.functions import signatures as sig
 from auditloom.functions import urls
 from auditloom.functions.numbers import percent
-from auditloom.operators import content, crawl, findings, site
+from auditloom.operators import audit, content, crawl, findings, site
 from auditloom.sources import corpus, sinks
 
 from . import fixtures as fx
@@ -165,7 +167,7 @@ _FEATURES = "fp AS (SELECT p_partkey AS page_ord, 'https://x.example/' || list_e
 
 @query(
     f"WITH {_FEATURES} "
-    + " UNION ALL ".join(f"SELECT page_ord, '{n}' AS feature FROM fp WHERE regexp_matches(url, '{p}')" for n, p in __import__("auditloom.functions.signatures", fromlist=["URL_FEATURES"]).URL_FEATURES)
+    + " UNION ALL ".join(f"SELECT page_ord, '{n}' AS feature FROM fp WHERE regexp_matches(url, '{p}')" for n, p in sig.URL_FEATURES)
 )
 def feature_url_matches(spark, d):
     """Features by address."""
@@ -308,39 +310,65 @@ def parsed_fields(spark, d):
     return fx.parsed_pages(spark, d).select("page_ord", squeeze("title"), F.coalesce(F.trim("h1_text"), F.lit("")).alias("h1_text"), "lang")
 
 
-@query()
+@query(f"""WITH {S.PAGES}, {S.RICH} SELECT page_ord, CASE WHEN n % 4 <> 0 THEN 'about ' || n END AS meta_description, CASE WHEN n % 3 = 0 THEN '/c/' || n END AS canonical, (n % 4)::INTEGER AS images, (n % 4 // 2)::INTEGER AS missing_alt, n % 7 = 0 AS structured_data,
+    len(regexp_extract_all(html, '<script'))::INTEGER + (n % 7 = 0)::INTEGER + (n % 3 = 1)::INTEGER AS scripts, (n % 3 = 1)::INTEGER AS external_scripts, n % 2 = 0 AS has_og_title, n % 6 = 0 AS has_og_description, n % 6 = 0 AS has_og_image, n % 6 = 0 AS has_twitter_card, n % 6 = 0 AS og_complete,
+    CASE WHEN n % 7 = 0 THEN 'Article' ELSE '' END AS schema_types, (n % 8 IN (3, 5))::INTEGER AS forms, CASE WHEN n % 9 = 4 THEN 'modal' ELSE '' END AS interactions, n % 6 = 1 AS has_video, n % 10 = 9 AND starts_with(url, 'https://') AS mixed_content, n % 8 = 5 AS pii_without_privacy_link, (n % 5 = 2)::INTEGER AS documents FROM ri""")
 def page_signals(spark, d):
-    """Images, structured data, scripts, forms and widgets of parsed pages."""
-    p = fx.parsed_pages(spark, d)
+    """Images, structured data, scripts, cards, forms and widgets of parsed pages."""
+    p = fx.rich_pages(spark, d)
     dom = F.col("dom")
     host = F.lit("example.com")
+    meta = ds.meta_completeness(dom)
     return p.select(
         "page_ord", "meta_description", "canonical", ds.images_total(dom).alias("images"), ds.images_missing_alt(dom).alias("missing_alt"), ds.has_structured_data(dom).alias("structured_data"),
-        ds.script_count(dom).alias("scripts"), F.size(ds.external_script_hosts(dom, host)).alias("external_scripts"), ds.meta_completeness(dom).alias("meta"), F.array_join(ds.schema_types(dom), ",").alias("schema_types"),
-        F.size("dom.forms").alias("forms"), F.array_join("dom.interactions", ",").alias("interactions"), "is_client_rendered", ds.mixed_content(dom, F.col("url")).alias("mixed_content"),
-        ds.pii_form_without_privacy_link(dom).alias("pii_without_privacy_link"), F.size(ds.documents(dom, F.col("url"))).alias("documents"),
+        ds.script_count(dom).alias("scripts"), F.size(ds.external_script_hosts(dom, host)).alias("external_scripts"), *(meta[c].alias(c) for c in ("has_og_title", "has_og_description", "has_og_image", "has_twitter_card", "og_complete")),
+        F.array_join(ds.schema_types(dom), ",").alias("schema_types"), F.size("dom.forms").alias("forms"), F.array_join("dom.interactions", ",").alias("interactions"), F.col("dom.has_video").alias("has_video"),
+        ds.mixed_content(dom, F.col("url")).alias("mixed_content"), ds.pii_form_without_privacy_link(dom).alias("pii_without_privacy_link"), F.size(ds.documents(dom, F.col("url"))).alias("documents"),
     )
 
 
-@query()
+@query(f"WITH {S.PAGES}, {S.RICH} SELECT page_ord, 'fr' AS locale, origin || {S.PARENT} || 'fr/' || n AS target_url FROM ri WHERE n % 5 = 0 AND status_code < 400")
+def hreflang_rows(spark, d):
+    """Alternate-language links of parsed pages, resolved on the page."""
+    return site.hreflang_links(fx.rich_pages(spark, d)).drop("from_page")
+
+
+@query(f"WITH {S.PAGES}, {S.RICH} SELECT page_ord, CASE WHEN n % 8 = 3 THEN 'search' ELSE 'login' END AS purpose, CASE WHEN n % 8 = 3 THEN 1 ELSE 2 END AS field_count FROM ri WHERE n % 8 IN (3, 5)")
+def form_points(spark, d):
+    """Forms with a purpose."""
+    return sinks.form_points(fx.rich_pages(spark, d)).drop("url")
+
+
+@query(f"SELECT {S.percent('count(*) FILTER (page_id % 7 = 0)', 'count(*)')} AS schema_coverage_percent FROM pages")
+def schema_coverage(spark, d):
+    """Share of pages with structured data of interest."""
+    return sinks.schema_coverage(fx.rich_pages(spark, d))
+
+
+@query(f"WITH {S.PAGES} SELECT url AS \"Page\", NULL::DOUBLE AS \"Score\", NULL::DOUBLE AS \"LCP\", NULL::DOUBLE AS \"CLS\", NULL::DOUBLE AS \"TBT\" FROM pg ORDER BY page_ord LIMIT 10")
+def performance_sheet(spark, d):
+    """The first ten pages of the performance sheet."""
+    return audit.performance(fx.audit_pages(spark, d))
+
+
+_MATRIX = " UNION ALL ".join(
+    [f"SELECT {i} AS ord, '{n}' AS feature, (SELECT count(*) FROM ri WHERE {w})::BIGINT AS k" for i, (n, w) in enumerate((n, {"Site Search": "n % 8 = 3", "User Login / Account": "n % 8 = 5", "Video Content": "n % 6 = 1", "Downloadable Resources": "n % 5 = 2", "Multi-language Support": "true"}.get(n, " OR ".join([f"regexp_matches(url, '{p}')" for m, p in sig.URL_FEATURES if m == n] or ["false"]))) for n in sig.FEATURE_ORDER)]
+)
+
+
+@query(f"WITH {S.PAGES}, {S.RICH}, m AS ({_MATRIX}) SELECT ord::INTEGER AS ord, feature, k > 0 AS detected, k AS pages_found_on FROM m")
 def feature_matrix(spark, d):
     """Features of the site in fixed order."""
-    return site.feature_matrix(fx.parsed_pages(spark, d))
+    return site.feature_matrix(fx.rich_pages(spark, d))
 
 
-@query()
+@query(f"""WITH {S.PAGES}, {S.RICH}, {S.LINKS}, o AS (SELECT source_url AS url, count(*) AS k FROM lk WHERE is_internal GROUP BY source_url), f AS (SELECT page_ord, CASE WHEN text <> '' THEN first_value(url) OVER (PARTITION BY text ORDER BY page_ord) END AS first FROM pg)
+    SELECT page_ord, url, status_code, word_count::INTEGER AS word_count, {S.depth('url')}::INTEGER AS path_depth, word_count > 0 AND word_count < 150 AS thin, (n % 4)::INTEGER AS images, (n % 4 // 2)::INTEGER AS missing_alt, n % 7 = 0 AS has_schema, CASE WHEN n % 3 = 0 THEN '/c/' || n END AS canonical,
+    (n % 3 = 1)::INTEGER AS external_scripts, CASE WHEN text <> '' THEN {S.flesch('text')} END AS readability, error, coalesce(k, 0) AS internal_links_out, CASE WHEN first <> url THEN first END AS duplicate_of FROM ri LEFT JOIN o USING (url) JOIN f USING (page_ord)""")
 def page_inventory(spark, d):
     """The inventory sheet: a row for each page."""
-    p, links = fx.parsed_pages(spark, d), fx.links(spark, d)
-    dom = F.col("dom")
-    from auditloom.functions import text
-
-    rows = p.select(
-        "page_ord", "url", "status_code", "title", "word_count", urls.path_depth(F.col("url")).alias("path_depth"), "depth", ((F.col("word_count") > 0) & (F.col("word_count") < 150)).alias("thin"),
-        ds.images_total(dom).alias("images"), ds.images_missing_alt(dom).alias("missing_alt"), ds.has_structured_data(dom).alias("has_schema"), "canonical", ds.script_count(dom).alias("scripts"),
-        F.size(ds.external_script_hosts(dom, urls.host(F.col("url")))).alias("external_scripts"), text.flesch(F.col("text")).alias("readability"), "error",
-    )
-    return rows.join(site.links_out(p, links).drop("url"), "page_ord").join(content.duplicate_of(p).drop("url"), "page_ord")
+    p = scratch.written(fx.rich_pages(spark, d), "inventory")
+    return audit.inventory(p, sinks.link_rows(p)).drop("title", "depth", "scripts")
 
 
 @query(f"WITH RECURSIVE {S.LINKS}, e AS (SELECT DISTINCT source_url AS a, target_url AS b FROM lk), s AS (SELECT url FROM pages ORDER BY page_id LIMIT 20), r(url, depth) AS (SELECT url, 0 FROM s UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.url WHERE r.depth < 3) SELECT url, min(depth) AS depth FROM r GROUP BY url")
@@ -384,18 +412,16 @@ def depth_summary(spark, d):
     return p.agg(F.greatest(F.lit(0), F.max("depth")).alias("max_click_depth"), F.count_if(F.col("depth") > 3).alias("deep_pages"), percent(F.count_if(F.col("word_count") < 150), F.count("*")).alias("thin_pct"))
 
 
-@query()
+@query(f"""WITH {S.PAGES}, {S.RICH}, {S.LINKS} SELECT page_id, 'link' AS kind, target_url AS value, CASE WHEN is_internal THEN 'internal' ELSE 'external' END AS note FROM lk JOIN pages ON source_url = url
+    UNION ALL SELECT page_id, 'image', origin || '/i/' || n || '-' || k || '.png', {S.host('url')} FROM (SELECT *, unnest(range(0, n % 4)) AS k FROM ri) UNION ALL SELECT page_id, 'video', 'https://www.youtube.com/embed/' || n, 'www.youtube.com' FROM ri WHERE n % 6 = 1
+    UNION ALL SELECT page_id, 'document', origin || folder || 'files/' || n || '.pdf', {S.host('url')} FROM ri WHERE n % 5 = 2 UNION ALL SELECT page_id, 'interaction', 'modal', NULL FROM ri WHERE n % 9 = 4""")
 def extracted_rows(spark, d):
     """Link, asset and widget rows that a crawl stores (K2-K4)."""
-    p = fx.parsed_pages(spark, d)
-    kinds = [("link", sinks.link_rows(p)), ("asset", sinks.asset_rows(p)), ("interaction", sinks.interaction_rows(p))]
-    out = None
-    for name, rows in kinds:
-        part = rows.agg(F.lit(name).alias("kind"), F.count("*").alias("rows"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
+    p = fx.rich_pages(spark, d)
+    links = sinks.link_rows(p).select("page_id", F.lit("link").alias("kind"), F.col("target_url").alias("value"), F.when(F.col("is_internal"), "internal").otherwise("external").alias("note"))
+    assets = sinks.asset_rows(p).select("page_id", F.col("asset_type").alias("kind"), F.col("url").alias("value"), F.col("domain").alias("note"))
+    widgets = sinks.interaction_rows(p).select("page_id", F.lit("interaction").alias("kind"), F.col("interaction_type").alias("value"), F.lit(None).cast("string").alias("note"))
+    return links.unionByName(assets).unionByName(widgets)
 
 
 _ALTERNATES = f"{S.PAGES}, al AS (SELECT page_ord, url AS from_page, unnest(['de', 'fr']) AS locale, unnest([(SELECT q.url FROM pages q WHERE q.page_id = pg.page_id + 1), '/fr']) AS target_url FROM pg WHERE status_code < 400 AND page_id % 3 = 0)"
@@ -422,12 +448,12 @@ def locale_summary(spark, d):
     return site.locale_summary(_with_alternates(spark, d))
 
 
-_HITS = "ch AS (SELECT DISTINCT 'u' || l_orderkey AS url, list_extract(['button', 'nav', 'form.x', 'div', 'table'], (l_partkey % 5)::INTEGER + 1) || list_extract(['', '.a', '.b', '.a.b', '.c'], (l_suppkey % 5)::INTEGER + 1) AS signature FROM lineitem WHERE l_linenumber < 3), cp AS (SELECT signature, split_part(signature, '.', 1) AS tag, regexp_replace(signature, '^[^.]*\\.?', '') AS classes, count(DISTINCT url) AS page_count, min(url) AS example_url FROM ch GROUP BY signature HAVING count(DISTINCT url) >= 2)".replace("\\\\", "\\")
+_HITS = "ch AS (SELECT DISTINCT 'u' || l_orderkey AS url, list_extract(['button', 'nav', 'form.x', 'div', 'table'], (l_partkey % 5)::INTEGER + 1) || list_extract(['', '.a', '.b', '.a.b', '.c'], (l_suppkey % 5)::INTEGER + 1) AS signature FROM lineitem), cp AS (SELECT signature, split_part(signature, '.', 1) AS tag, regexp_replace(signature, '^[^.]*\\.?', '') AS classes, count(DISTINCT url) AS page_count, min(url) AS example_url FROM ch GROUP BY signature HAVING count(DISTINCT url) >= 2)".replace("\\\\", "\\")
 
 
 def _hits(spark, d):
     tags, ends = F.array(*map(F.lit, ("button", "nav", "form.x", "div", "table"))), F.array(*map(F.lit, ("", ".a", ".b", ".a.b", ".c")))
-    li = corpus.table(spark, d, "lineitem").where("l_linenumber < 3")
+    li = corpus.table(spark, d, "lineitem")
     at = lambda names, c: F.element_at(names, (F.col(c) % 5 + 1).cast("int"))
     return li.select(F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("url"), F.concat(at(tags, "l_partkey"), at(ends, "l_suppkey")).alias("signature")).distinct()
 
@@ -479,11 +505,3 @@ def alt_coverage(spark, d):
     n = (F.col("page_id") % 5).cast("int")
     tags = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("CAST(array() AS array<int>)")), lambda i: F.when(i % 3 == 0, "<img src=a alt=' '>").otherwise("<img src=a alt=x>"))
     return site.alt_coverage(corpus.table(spark, d, "pages").select(markup.dom(F.array_join(tags, "")).alias("dom")))
-
-
-@query("SELECT 30 AS pages, count(*) AS forms FROM (SELECT page_id FROM pages WHERE page_id % 2 = 0) GROUP BY 1")
-def form_points(spark, d):
-    """Forms with a purpose."""
-    html = F.when(F.col("page_id") % 2 == 0, "<form action=/search><input></form>").otherwise("<form><input></form>")
-    p = corpus.table(spark, d, "pages").select(F.col("page_id").alias("page_ord"), "url", markup.dom(html).alias("dom"))
-    return sinks.form_points(p).agg(F.lit(30).alias("pages"), F.count("*").alias("forms"))

@@ -69,8 +69,8 @@ def keywords(text: str) -> str:
     return f"list_filter({words(text)}, lambda w: w NOT IN ({STOP}))"
 
 
-def shingles(text: str, k: int) -> str:
-    w = words(text)
+def shingles(w: str, k: int) -> str:
+    """Distinct runs of k of a column of words; an expression would be evaluated anew for each run."""
     return f"list_distinct(list_transform(range(1, greatest(len({w}) - {k - 1}, 0) + 1), lambda i: array_to_string(list_slice({w}, i, i + {k - 1}), ' ')))"
 
 
@@ -115,3 +115,8 @@ FINDINGS = """fd AS (
         CASE p_partkey % 4 WHEN 0 THEN ['ux'] WHEN 1 THEN ['content', 'business'] WHEN 2 THEN ['business'] ELSE ['ux', 'content'] END AS personas,
         p_size AS affected_page_count, p_type AS description, 'brand ' || p_brand AS detection_method
     FROM part)"""
+
+
+#: What ``fixtures.rich_pages`` adds to page n's markup, and where its parts lead.
+RICH = rf"""ri AS (SELECT page_id AS n, *, {_ORIGIN} AS origin, regexp_replace({path("url")}, '[^/]*$', '') AS folder FROM pg)"""
+PARENT = "regexp_replace(folder, '[^/]+/$', '')"

@@ -172,13 +172,13 @@ def sha1_prefix(spark, d):
     return corpus.table(spark, d, "documents").select("doc_id", F.substring(F.sha1("text"), 1, 12).alias("fingerprint"))
 
 
-@query()
+@query("SELECT doc_id, ((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END))::BIGINT::VARCHAR AS text_hash FROM (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM documents)")
 def text_hash(spark, d):
-    """The 32-bit rolling hash (F8); tested against a plain restatement."""
+    """The 32-bit rolling hash (F8)."""
     return corpus.table(spark, d, "documents").select("doc_id", content.text_hash(F.col("text")).alias("text_hash"))
 
 
-_PAIRS = f"""s AS (SELECT doc_id AS id, unnest({S.shingles('text', 8)}) AS g FROM documents), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+_PAIRS = f"""w AS MATERIALIZED (SELECT doc_id, {S.words('text')} AS w FROM documents), s AS MATERIALIZED (SELECT doc_id AS id, unnest({S.shingles('w', 8)}) AS g FROM w), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 c AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
 pr AS (SELECT a, b, i::DOUBLE / (x.n + y.n - i) AS jaccard FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE i::DOUBLE / (x.n + y.n - i) >= 0.75)"""
 _CLUSTERS = f"""RECURSIVE {_PAIRS}, e AS (SELECT a AS x, b AS y FROM pr UNION SELECT b, a FROM pr), r AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node)"""
@@ -207,7 +207,7 @@ def near_dup_pairs(spark, d):
     return pairs.select("a", "b", (half_up(F.col("jaccard") * 1000000) / 1000000).alias("jaccard"))
 
 
-@query(f"SELECT a.doc_id AS doc_id, {S.half_up('1000 * len(list_intersect(x, y))::DOUBLE / greatest(len(x) + len(y) - len(list_intersect(x, y)), 1)')} AS permille FROM (SELECT doc_id, {S.shingles('text', 2)} AS x FROM documents) a JOIN (SELECT doc_id - 1 AS doc_id, {S.shingles('text', 2)} AS y FROM documents) b USING (doc_id)")
+@query(f"WITH w AS MATERIALIZED (SELECT doc_id, {S.words('text')} AS w FROM documents), s AS MATERIALIZED (SELECT doc_id, {S.shingles('w', 2)} AS s FROM w), g AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s), i AS (SELECT x.doc_id, count(*) AS n FROM g x JOIN g y ON x.doc_id + 1 = y.doc_id AND x.g = y.g GROUP BY x.doc_id) SELECT a.doc_id, {S.half_up('1000 * coalesce(i.n, 0)::DOUBLE / greatest(len(a.s) + len(b.s) - coalesce(i.n, 0), 1)')} AS permille FROM s a JOIN s b ON a.doc_id + 1 = b.doc_id LEFT JOIN i ON i.doc_id = a.doc_id")
 def jaccard(spark, d):
     """Similarity of neighbouring documents by word pairs, in thousandths (U4)."""
     w = corpus.table(spark, d, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
@@ -267,3 +267,13 @@ def sitemap_locs(spark, d):
     xml = F.concat(F.lit("<urlset><url><LOC> "), "url", F.lit(" </LOC></url><url><loc>"), "url", F.lit(".pdf</loc></url></urlset>"))
     each = _pages(spark, d).select("page_id", F.explode(crawl.locations(xml)).alias("url"))
     return each.groupBy("url").agg(F.min("page_id").alias("first_page"))
+
+
+_MADE = (("../x", f"origin || {S.PARENT} || 'x'"), ("./y/../z", "origin || folder || 'z'"), ("?q=1", f"origin || {S.path('url')} || '?q=1'"), ("#t", "regexp_replace(url, '#.*$', '') || '#t'"), ("//Other.Example/p", "regexp_extract(url, '^([a-z]+):', 1) || '://other.example/p'"), ("HTTP://U.x:80", "'http://u.x/'"), ("/r/../s", "origin || '/s'"), ("a/b", "origin || folder || 'a/b'"), ("mailto:a@b.c", "'mailto:a@b.c'"))
+
+
+@query(f"WITH {S.PAGES}, {S.RICH} " + " UNION ALL ".join(f"SELECT page_id, '{h}' AS href, {u} AS target_url FROM ri" for h, u in _MADE))
+def resolved_links(spark, d):
+    """Links of all kinds resolved on every page's address."""
+    each = _pages(spark, d).select("page_id", "url", F.explode(F.array(*(F.lit(h) for h, _ in _MADE))).alias("href"))
+    return each.select("page_id", "href", urls.resolve(F.col("url"), F.col("href")).alias("target_url"))

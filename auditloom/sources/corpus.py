@@ -79,6 +79,15 @@ def with_error_defaults(rendered: DataFrame, queued: DataFrame) -> DataFrame:
     return met.withColumns({"error": error, "word_count": F.coalesce("word_count", F.lit(0)), "depth": F.coalesce("depth", "_depth")}).drop("_depth")
 
 
+#: Characters that are kept of a page's columns (fixed values).
+STORED = {"html": 200_000, "url": 2000, "title": 500, "h1_text": 500, "canonical": 2000, "error": 2000}
+
+
+def stored(pages: DataFrame) -> DataFrame:
+    """Pages as they are stored: texts cut to the lengths that are kept."""
+    return pages.withColumns({c: F.substring(c, 1, n) for c, n in STORED.items() if c in pages.columns})
+
+
 def is_real(status: Column) -> Column:
     """A page that answered without an error status."""
     return F.coalesce(status < 400, F.lit(False))

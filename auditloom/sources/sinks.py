@@ -104,11 +104,13 @@ def link_rows(pages: DataFrame) -> DataFrame:
 
 
 def asset_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, asset_type, url, domain) of images and linked documents of parsed pages."""
-    d = F.col("dom")
-    images = pages.select("page_id", F.lit("image").alias("asset_type"), F.explode(F.transform(F.filter(d["images"], lambda i: i["src"].isNotNull()), lambda i: urls.resolve(F.col("url"), i["src"]))).alias("url"))
-    documents = pages.select("page_id", F.lit("document").alias("asset_type"), F.explode(ds.documents(d, F.col("url"))).alias("url"))
-    return images.unionByName(documents).withColumn("domain", F.nullif(urls.host(F.col("url")), F.lit("")))
+    """(page_id, asset_type, url, domain) of images, videos and linked documents of parsed pages."""
+    d, url = F.col("dom"), F.col("url")
+    images = F.transform(F.filter(d["images"], lambda i: i["src"].isNotNull()), lambda i: F.struct(F.lit("image").alias("asset_type"), urls.resolve(url, i["src"]).alias("url")))
+    videos = F.transform(d["videos"], lambda v: F.struct(F.lit("video").alias("asset_type"), urls.resolve(url, v).alias("url")))
+    documents = F.transform(ds.documents(d, url), lambda a: F.struct(F.lit("document").alias("asset_type"), a.alias("url")))
+    each = pages.select("page_id", F.explode(F.concat(images, videos, documents)).alias("a")).select("page_id", "a.asset_type", "a.url")
+    return each.where("url IS NOT NULL").withColumn("domain", F.nullif(urls.host(F.col("url")), F.lit("")))
 
 
 def interaction_rows(pages: DataFrame) -> DataFrame:

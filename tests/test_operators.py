@@ -11,7 +11,7 @@ from auditloom import scratch
 from auditloom.functions import dom_signals as ds
 from auditloom.functions import html as markup
 from auditloom.functions import urls
-from auditloom.operators import components, content, crawl, findings, scoring, site
+from auditloom.operators import audit, components, content, crawl, findings, scoring, site
 from auditloom.sources import corpus, sinks
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -119,6 +119,52 @@ def test_analysis(spark, pages):
     assert found["template_rollup"]["affected_template"] is not None
 
 
+def test_an_audit_from_pages_to_workbook(spark, tmp_path):
+    rows = [
+        (1, "https://s.example/", '<html lang="en"><head><title>Home</title><link rel=canonical href=/></head><body><h1>Hi</h1><a href="a">a</a><a href="https://out.example/x">x</a><img src="i.png"><video src="v.mp4"></video><script src="https://www.google-analytics.com/x.js"></script>' + "word " * 30, 200, None, 0),
+        (2, "https://s.example/a", "<title>A</title><body><h1>A</h1><a href='./'>up</a><a href='f.pdf'>f</a><iframe src='https://player.vimeo.com/1'></iframe>" + "text " * 200, 200, None, 1),
+        (3, "https://s.example/gone", None, 404, "not found", 1),
+    ]
+    pages = spark.createDataFrame(rows, "page_ord long, url string, html string, status_code int, error string, depth int").withColumns({"page_id": F.col("page_ord"), "response_time_ms": F.lit(20.0), "last_modified": F.lit(None).cast("timestamp")})
+    as_of = F.lit("2024-01-01").cast("timestamp")
+    status = spark.createDataFrame([("https://out.example/x", "503")], "url string, status string")
+    made = audit.run(pages, "https://s.example/", as_of, {"client_name": "S"}, link_status=status)
+    assert made.facts["status"] == "done"
+    assert {(r["asset_type"], r["url"]) for r in made.assets.collect()} == {("image", "https://s.example/i.png"), ("video", "https://s.example/v.mp4"), ("video", "https://player.vimeo.com/1"), ("document", "https://s.example/f.pdf")}
+    assert {(r["target_url"], r["is_internal"]) for r in made.links.collect()} == {("https://s.example/a", True), ("https://out.example/x", False), ("https://s.example/", True)}
+    card = made.card.first()
+    assert (card["total_pages"], card["missing_canonical"], card["thin_pages"], card["broken_pages"], card["images"], card["missing_alt"], card["image_alt_coverage_pct"]) == (3, 2, 1, 1, 1, 1, 0.0)
+    sheets = audit.workbook(made, as_of)
+    assert list(sheets) == [
+        "Overview", "Heuristic Evaluation", "Action Plan", "Feature Matrix", "Performance", "External Link Health", "Accessibility", "Tech Stack & Risks", "Templates", "Components", "Journey Maps", "Locale", "Media & Assets", "Freshness", "URL Health",
+        "Keywords", "Integrations", "Page Inventory", "Findings",
+    ]
+    shown = {r["label"]: r["value"] for r in sheets["Overview"].collect()}
+    assert shown["Client"] == "S" and shown["Pages crawled"] == "3" and shown["Orphan pages"] == "0" and shown["Unique third-party integrations"] == "1"
+    assert [tuple(r) for r in sheets["External Link Health"].collect()] == [("https://out.example/x", "503", 1, "https://s.example/")]
+    assert {r["label"]: r["value"] for r in sheets["Media & Assets"].collect()}["Video embeds"] == "2"
+    sinks.write_xlsx(sheets, str(tmp_path / "w.xlsx"))
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        assert sum(n.startswith("xl/worksheets/") for n in z.namelist()) == 19
+    assert {k: v.count() for k, v in audit.report(made).items()}["inventory"] == 3
+    assert audit.run(pages.withColumn("error", F.lit("x")), "https://s.example/", as_of).facts["status"] == "failed"
+
+
+def test_rows_appended_and_texts_cut(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    for _ in range(2):
+        sinks.append(spark.createDataFrame([(1, "a")], "page_id long, url string"), path)
+    assert spark.read.parquet(path).count() == 2
+    long = spark.createDataFrame([("h" * 200_001, "t" * 501, "e" * 2001)], "html string, title string, error string")
+    assert [len(x) for x in corpus.stored(long).first()] == [200_000, 500, 2000]
+
+
+def test_first_linking_page_by_order(spark):
+    links = spark.createDataFrame([(2, "https://a/z", "https://x/", False), (1, "https://b/y", "https://x/", False), (3, "https://a/a", "https://x/", False)], "ord int, source_url string, target_url string, is_internal boolean")
+    assert site.external_targets(links, order="ord").first()["example_linking_page"] == "https://b/y"
+    assert site.external_targets(links).first()["example_linking_page"] == "https://a/a"
+
+
 def test_near_duplicates_against_all_pairs(spark):
     import random
 
