@@ -12,12 +12,13 @@ its own size level and the next. Levels step by 1/t, so that partners are in the
 
 Steps: (1) classes of equal sets, by a 128-bit digest; copies go no further than one row for each task. (2) Group
 signatures, packed in binary blobs by bucket, one shuffle; only signatures with two classes or more remain. (3) A tree for
-each signature; its pairs within the bound are joined to a spanning forest. (4) Families: components of these edges.
-(5) For each family (in blocks of bounded size, all pairs of blocks where it is larger) sets are read again, searched in
-a tree and verified; a pair whose ends are already connected isn't verified again. (6) Components of the verified edges.
+each signature; its pairs within the bound are joined to a spanning forest. A signature of more than ``SIG_CLASSES`` classes is cut to
+blocks, and each pair of blocks is a tree. (4) Families: components of these edges. (5) Sets of a family are read again, searched in
+a tree and verified; a pair whose ends are already connected isn't verified again. A family of several blocks is first verified against its
+first block, each block in a task; then, only where it isn't connected yet, the sets outside of its largest part against all blocks.
+(6) Components of the verified edges.
 
-Work is linear in the number of shingles, besides step 5 in a family of more than one block (pairs of blocks). A signature
-tree is held by one task; signatures are contents of groups of several shingles, so only near copies share many of them.
+Work is linear in the number of shingles, besides pairs of blocks in a signature, and in a family of which large parts don't link.
 
 Defined results: text null, empty or blank: no shingle, linked with nothing, component_id is its doc_id; rows with a
 null doc_id take part in no link and have a null component_id; rows that repeat a doc_id are one node.
@@ -43,7 +44,9 @@ from .shingles import WordHashes, mix, shingle_set
 #: Rows of ids up to which a side is broadcast (about 50 MB); beyond it the join shuffles both.
 SMALL = 1_000_000
 #: Signatures in a blob, documents and shingles in a block of a family.
-BLOB, BLOCK_DOCS, BLOCK_SHINGLES = 600_000, 4_000, 1_000_000
+BLOB, BLOCK_DOCS, BLOCK_SHINGLES = 600_000, 500, 400_000
+#: Classes of a signature up to which they stand in one tree.
+SIG_CLASSES = 4_000
 
 
 class Levels:
@@ -207,8 +210,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = s[1:] == s[:-1]
         run = np.append(False, same) | np.append(same, False)
         s, c = s[run].view(np.int64), c[run]
+        ends = np.flatnonzero(np.append(s[1:] != s[:-1], True)) + 1 if len(s) else np.zeros(0, np.int64)
+        held = np.diff(ends, prepend=0)
+        n = np.repeat(held, held)
         for at in range(0, len(s), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(s[at : at + 50_000]), pa.array(c[at : at + 50_000])], names=["sig", "c64"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (s, c, n)], names=["sig", "c64", "classes"])
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 20_000) -> Iterator[pa.Table]:
@@ -282,17 +288,22 @@ def _pairs(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def linked_in(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning edges of the links among the sets: tree search, then verification of what isn't connected yet."""
+def linked_in(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, parts: np.ndarray | None = None, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges of the links among the sets: tree search, then verification of what isn't connected yet.
+
+    ``parts`` names what is connected already; only sets with ``asks`` are searched for.
+    """
     n = np.array([len(s) for s in sets])
     bits = fineness(int(n.max(initial=0)))
     points = np.array([counts(s, bits) for s in sets], dtype=np.int32)
     tree, labels, out = CountTree(points, n, num, den), Labels(len(ids)), []
+    if parts is not None:
+        labels.of = np.unique(parts, return_inverse=True)[1]
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(n)
     starts = ends - n
     member = np.zeros(int(flat.max(initial=0)) + 1, dtype=bool)
-    for i in range(len(ids)):
+    for i in range(len(ids)) if asks is None else np.flatnonzero(asks):
         near = tree.search(points[i], int(n[i]))
         near = near[labels.of[near] != labels.of[i]]
         if not len(near):
@@ -320,12 +331,12 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
         ids = t["rep"].to_numpy()
         if len(ids) < 2:
             continue
-        found = linked_in(ids, [shingle_set(x, k, hashes) for x in t["text"].to_pylist()], num, den)
+        found = linked_in(ids, [shingle_set(x, k, hashes) for x in t["text"].to_pylist()], num, den, t["part"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False))
         if found:
             yield _pairs(found)
 
 
-def similar(docs: DataFrame, k: int, num: int, den: int, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def similar(docs: DataFrame, k: int, num: int, den: int, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, sig_classes: int = SIG_CLASSES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id; links are Jaccard similarities of num/den or more."""
     spark = common.prepare(docs.sparkSession)
     levels, parts = Levels(num, den), common.parts(spark)
@@ -335,28 +346,47 @@ def similar(docs: DataFrame, k: int, num: int, den: int, block_docs: int = BLOCK
         sets.where("n > 0 AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("c64").alias("c64"), F.first("point").alias("point")), "classes"
     )
     blobs = texts.where("id IS NOT NULL").transform(common.arrow, lambda it: _blobs(it, k, levels, parts), "bucket int, sig binary, cls binary")
-    shared = blobs.repartitionById(parts, F.col("bucket")).transform(common.arrow, _shared, "sig long, c64 long")
-    points = shared.join(classes.select("c64", "rep", "n", "point"), "c64").select("sig", "rep", "n", "point")
+    shared = blobs.repartitionById(parts, F.col("bucket")).transform(common.arrow, _shared, "sig long, c64 long, classes long")
+    points = shared.join(classes.select("c64", "rep", "n", "point"), "c64").select(_tree("sig", "rep", "classes", sig_classes).alias("sig"), "rep", "n", "point")
     edges = points.repartition(parts, "sig").sortWithinPartitions("sig").transform(common.arrow, lambda it: _forest(it, num, den), "a long, b long")
     families = connected_components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
     sized = families.join(classes.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
     blocks = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    place = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    members = common.cut(
-        families.join(blocks, "family")
-        .withColumn("own", place)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("rep", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    )
-    sought = common.small_side(members, SMALL).join(texts.withColumnRenamed("id", "rep"), "rep").repartition(4 * parts, "family", "x", "y").sortWithinPartitions("family", "x", "y", "rep")
-    links = sought.transform(common.arrow, lambda it: _verify(it, k, num, den), "a long, b long")
+    blocked = common.cut(families.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+
+    def verified(members: DataFrame) -> DataFrame:
+        """Links found among members (rep, family, x, y, part, asks), each (family, x, y) in a task."""
+        met = common.small_side(common.cut(members), SMALL).join(texts.withColumnRenamed("id", "rep"), "rep")
+        sorted_in = met.repartition(4 * parts, "family", "x", "y").sortWithinPartitions("family", "x", "y", "rep")
+        return common.cut(sorted_in.transform(common.arrow, lambda it: _verify(it, k, num, den), "a long, b long"))
+
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = blocked.withColumn("y", F.explode(F.when(F.col("own") == 0, every).otherwise(F.array("own"))))
+    links = verified(first.select("rep", "family", F.lit(0).alias("x"), "y", F.col("rep").alias("part"), F.lit(True).alias("asks")))
     linked = connected_components(links)
+    large = blocked.where("blocks > 1")
+    if not large.isEmpty():
+        named = large.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+        sizes = named.groupBy("family", "part").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count("*").alias("parts"))
+        rest = common.cut(named.join(sizes.where("parts > 1"), "family").select("rep", "family", "own", "blocks", "part", (F.col("part") != F.col("most")).alias("asks")))
+        if not rest.isEmpty():
+            asking = rest.where("asks").select("rep", "family", F.col("own").alias("x"), F.explode(every).alias("y"), "part", "asks")
+            asked = rest.join(rest.where("asks").select("family", F.col("own").alias("x")).distinct(), "family").select("rep", "family", "x", F.col("own").alias("y"), "part", F.lit(False).alias("asks"))
+            linked = connected_components(links.unionByName(verified(asking.unionByName(asked))))
     named = classes.select("cls", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
     return sets.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(named, "cls", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
 
 
+def _tree(sig: str, rep: str, classes: str, most: int):
+    """The tree of a class: its signature's, or one for each pair of blocks of a signature with many classes."""
+    blocks = F.ceil(F.col(classes) / most).cast("int")
+    own = F.pmod(F.xxhash64(rep), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.xxhash64(F.col(sig), F.least(own, other), F.greatest(own, other)))
+    return F.explode(F.when(F.col(classes) > most, pairs).otherwise(F.array(sig)))
+
+
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs whose doc_id names their component, with all columns; rows with a null doc_id stay."""
     gone = common.cut(similar(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_al_gone")).distinct())

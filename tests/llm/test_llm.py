@@ -313,13 +313,29 @@ def near_copies(seed=3):
     return [*docs, (900, None), (901, " "), (902, "two words"), (903, "Two  WORDS"), (904, "one")]
 
 
-@pytest.mark.parametrize(("k", "num", "blocks"), [(3, 90, {}), (5, 80, {}), (3, 60, {"block_docs": 5}), (2, 80, {"block_docs": 3, "block_shingles": 500})])
+@pytest.mark.parametrize(("k", "num", "blocks"), [(3, 90, {}), (5, 80, {}), (3, 60, {"block_docs": 5}), (2, 80, {"block_docs": 3, "block_shingles": 500}), (3, 80, {"block_docs": 4, "sig_classes": 3})])
 def test_components_are_exact(spark, k, num, blocks):
     docs = near_copies()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar(spark.createDataFrame(docs, "doc_id long, text string"), k, num, 100, **blocks).collect()}
     assert got == plain_components(docs, k, num, 100)
 
 
+def test_one_family_of_half_the_rows(spark):
+    """A large family, blocks that don't all link, and a chain through its blocks."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    docs = []
+    for i in range(240):
+        w = list(base)
+        for at in rng.sample(range(200), 2 if i % 3 else 9):
+            w[at] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    docs += [(1000 + i, " ".join(f"c{rng.randrange(10**6)}" for _ in range(60))) for i in range(240)]
+    for most in (20, 10**6):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90, 100, block_docs=most, sig_classes=50).collect()}
+        assert got == plain_components(docs, 3, 90, 100)
+
+
 def test_join_of_awkward_rows(awkward, empty):
     got = [(r["doc_id"], r["component_id"]) for r in ngram_join.similar(awkward, 3, 90, 100).collect()]
     assert sorted(x for x in got if x[0] is not None) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8), (8, 8), (9, 9), (10, 10)]
