@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from auditloom import scratch
 
 
-def _met(edges: DataFrame, named: DataFrame, hub: int) -> DataFrame:
+def _met(edges: DataFrame, named: DataFrame, hub: int | None) -> DataFrame:
     """edges joined with (a, m, n) of their end a; nodes with more than ``hub`` edges are dealt to several tasks by their other end.
 
-    ``hub`` is a partition's fair share of the edges or more, so there are no more hubs than partitions.
+    ``hub`` is a partition's fair share of the edges or more, so there are no more hubs than partitions; None if no node can be one.
     """
+    if hub is None:
+        return edges.join(named, "a")
     hubs = scratch.cut(named.where(F.col("n") > hub).select("a", F.ceil(F.col("n") / hub).cast("int").alias("salts")))
     if hubs.isEmpty():
         return edges.join(named, "a")
@@ -21,13 +23,13 @@ def _met(edges: DataFrame, named: DataFrame, hub: int) -> DataFrame:
     return salted.join(copied, ["a", "salt"])
 
 
-def _large_star(edges: DataFrame, hub: int) -> DataFrame:
+def _large_star(edges: DataFrame, hub: int | None) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
     return _met(both.where("b > a"), least, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame, hub: int) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int | None) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
     met = _met(down, least, hub)
@@ -39,7 +41,7 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50, hub: int = 1_000) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 50, hub: int = 100_000) -> DataFrame:
     """Edges (a, b) of comparable ids to (node, component), component the smallest id reachable.
 
     Loops and edges with a null end are no edges; nodes without an edge don't appear. The rounds needed grow with
@@ -53,6 +55,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50, hub: int = 1_00
         if not state[0]:
             break
         share = max(hub, 2 * state[0] // parts)
+        share = share if share < state[0] else None
         now = scratch.cut(_small_star(_large_star(now, share), share))
         before, state = state, _state(now)
         if before == state:
