@@ -44,7 +44,7 @@ from .shingles import WordHashes, mix, shingle_set
 #: Rows of ids up to which a side is broadcast (about 50 MB); beyond it the join shuffles both.
 SMALL = 1_000_000
 #: Signatures in a blob, documents and shingles in a block of a family.
-BLOB, BLOCK_DOCS, BLOCK_SHINGLES = 600_000, 500, 400_000
+BLOB, BLOCK_DOCS, BLOCK_SHINGLES = 600_000, 2_000, 1_000_000
 #: Classes of a signature up to which they stand in one tree.
 SIG_CLASSES = 4_000
 
