@@ -6,7 +6,8 @@ then a temperature is fitted on rows that the weights haven't seen.
 
 A text also has a rarity, the mean idf of its n-grams: how seldom the fitting rows have what it is made of. It doesn't depend on
 the labels or their number. ``keep_known`` takes a text for one of no learned language where its rarity exceeds by ``margin`` all
-that the rows held back from the weights show; texts of fewer than ``LEAST_GRAMS`` n-grams are too short to tell, and stay.
+that the rows held back from the weights show, also when only its words without digits are counted; texts of fewer than
+``LEAST_GRAMS`` n-grams are too short to tell, and stay.
 
 The model is fitted on a bounded sample: about ``per_label`` rows of each label, taken by a hash of doc_id; everything else
 covers whole texts of all rows. Every label is learned: the model has a column for each, as a language list is short.
@@ -17,6 +18,7 @@ row exists (``keep_known`` then drops all); equal texts get equal results; other
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +62,11 @@ def grams(length: int) -> int:
     return sum(max(0, length - n + 1) for n in range(1, N + 1))
 
 
+def lettered(text: str) -> str:
+    """The words of a text that hold no digit, @ or =, without punctuation."""
+    return " ".join(re.sub(r"[\W\d_]+", " ", w).strip() for w in text.split() if not re.search(r"[\d@=]", w))
+
+
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a whole text with their shares."""
     total = np.zeros(DIM, dtype=np.int64)
@@ -241,12 +248,17 @@ def keep_known(spark: SparkSession, docs: DataFrame, margin: float = 0.25, **fit
     common.prepare(spark)
     model = fit(training_rows(docs), **fit_options)
 
+    bound = (1 + margin) * model["rarest"]
+
     def kept(batches):
         for b in batches:
             two = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(at)], names=["doc_id", "text"])
             found = next(_predict(iter([two]), model))
             long = np.array([x is not None and grams(len(x)) >= LEAST_GRAMS for x in b.column(at).to_pylist()], dtype=bool)
-            strange = long & (found.column(3).to_numpy() > (1 + margin) * model["rarest"])
+            strange = long & (found.column(3).to_numpy() > bound)
+            for i in np.flatnonzero(strange):  # numbers, addresses and keys are rare in every language
+                words = lettered(b.column(at)[i].as_py())
+                strange[i] = grams(len(words)) >= LEAST_GRAMS and logits([words], model)[0, -1] > bound
             keep = np.array([x != UNKNOWN for x in found.column(1).to_pylist()], dtype=bool) & ~strange
             yield b.filter(pa.array(keep))
 

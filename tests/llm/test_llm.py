@@ -706,12 +706,12 @@ def test_unlearned_languages_go(spark):
         "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
         "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。", "x9q!!zk# qqv77w zzkxj pwqz kkvx jjqxz wqpz 88xkq vvkq zxq kkq zzzx wqqk",
     ]
-    known = ["The houses of the town are on the other side of that river and the people there were all at home", "Über ein Jahr"]
+    known = ["The houses of the town are on the other side of that river and the people there were all at home", "Über ein Jahr", 'token = "4a13bc3f14f7945614a0203af883334c312a9d6f" The eroneaha thea ering lythly.', "4451718024887799 27.65.93.188 Arrró de, ciónñciónramill +1 (863) 555-9426 la que."]
     more = spark.createDataFrame([(10**9 + i, x, None, "s", len(x)) for i, x in enumerate(strange + known)], docs.schema)
     kept = {r["doc_id"] for r in language_id.keep_known(spark, docs.unionByName(more)).select("doc_id").collect()}
-    assert not kept & {10**9 + i for i in range(len(strange))} and {10**9 + len(strange), 10**9 + len(strange) + 1} <= kept
+    assert not kept & {10**9 + i for i in range(len(strange))} and {10**9 + len(strange) + i for i in range(len(known))} <= kept
     had = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
-    assert len(had - kept) <= 2
+    assert had <= kept
 
 
 def test_languages_against_plain_counts(spark):
