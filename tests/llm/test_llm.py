@@ -622,6 +622,20 @@ def test_tables_follow_their_conditional(d, c, tables, p):
     assert abs(drawn.mean() / mean - 1) < (0.02 if c <= hpylm.EXACT else 0.08) and abs(drawn.std() - spread) < 0.1 * spread + 0.1
 
 
+def test_sums_and_state_survive_their_packing():
+    rng = np.random.default_rng(0)
+    for x in (np.array([0, 3, 255, 256, 70_000, 2.0**40]), rng.poisson(300, 10_000).astype(float), np.zeros(0)):
+        assert (hpylm.widened(hpylm.narrow(x)) == x).all()
+    sums = rng.poisson(0.05, 200_001)
+    sums[70_000:150_000] += 1000
+    sums[3] = 10**6
+    got = np.zeros(-(-len(sums) // hpylm.SLICE) * hpylm.SLICE, np.int64)
+    for b in hpylm._added(iter([*hpylm._slices(sums), *hpylm._slices(sums)])):
+        for i, *packed in zip(*(b.column(n).to_pylist() for n in hpylm._SLICED.names), strict=True):
+            hpylm._add_slice(got[i * hpylm.SLICE : (i + 1) * hpylm.SLICE], *packed)
+    assert (got[: len(sums)] == 2 * sums).all()
+
+
 def test_model_of_awkward_rows(awkward, empty):
     got = {r["doc_id"]: r for r in hpylm.score(awkward, F.lit(True)).collect()}
     assert got[3]["n_tokens"] == got[4]["n_tokens"] == got[5]["n_tokens"] == 1 and got[7]["n_tokens"] == 80_001
