@@ -27,11 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table and read it back: later steps start from it, also after lost executors. ``release`` removes it."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a scratch table, which ``release`` removes."""
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     _made.append(path)
+    return path
+
+
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a table and read it back: later steps start from it, also after lost executors. ``release`` removes it.
+
+    ``by`` are the last columns of df; each of their values gets a folder, so that reads of one value read no other.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path, partitionBy=list(by) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
