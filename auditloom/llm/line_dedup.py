@@ -54,7 +54,10 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """Runs by level, each level a table bucketed and sorted by h: (h, g, docs, owner), owner null where an earlier batch has it."""
+    """Runs by level, each level a table bucketed and sorted by (h, g): h, g, docs, owner; owner is null where an earlier batch has the line.
+
+    Each level holds fewer than ``fanout`` runs. A join or a group on (h, g) reads a level's buckets in place.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
         self.spark, self.buckets, self.fanout = spark, buckets or common.parts(spark), max(2, fanout)
@@ -62,54 +65,42 @@ class LineRuns:
         #: (table, runs in it) of each level; None where the level is empty
         self.levels: list[tuple[str, int] | None] = []
 
-    def _save(self, df: DataFrame, table: str | None = None) -> str:
-        """Append a run to a table, or to a new one. A bucket of a run is one file, sorted."""
-        if table is None:
-            self._tables += 1
-            table = f"{self._name}_{self._tables}"
-            writer = df.write.option("path", scratch.fresh_path(self.spark, table))
-        else:
-            writer = df.write.mode("append")
-        writer.format("parquet").bucketBy(self.buckets, "h").sortBy("h", "g").saveAsTable(table)
-        return table
-
-    def _drop(self, table: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of keys (h, g, ...) that no run holds: a merge-anti-join with each level."""
         for level in filter(None, self.levels):
             keys = keys.join(self.spark.table(level[0]).select("h", "g"), ["h", "g"], "left_anti")
         return keys
 
+    def _owned(self, keys: DataFrame) -> DataFrame:
+        """A batch as a run: the anti-join with every level, which also keeps the rows that it finds, without an owner."""
+        seen = F.lit(False)
+        for i, level in enumerate(self.levels):
+            if level is not None:
+                held = self.spark.table(level[0]).groupBy("h", "g").agg(F.lit(True).alias(f"in_{i}"))
+                keys, seen = keys.join(held.hint("merge"), ["h", "g"], "left"), seen | F.col(f"in_{i}").isNotNull()
+        return keys.select("h", "g", "docs", F.when(~seen, F.col("last")).alias("owner"))
+
     def add(self, keys: DataFrame) -> None:
         """Add a batch's (h, g, docs, last), one row for each line; lines that no run holds get their owner here."""
-        incoming = self._save(keys.select("h", "g", "docs", "last").repartition(self.buckets, "h"))
-        batch = self.spark.table(incoming)
-        fresh = self._save(self.unseen(batch).select("h", "g", "docs", F.col("last").alias("owner")))
-        if any(self.levels):
-            known = batch.join(self.spark.table(fresh).select("h", "g"), ["h", "g"], "left_anti")
-            self._save(known.select("h", "g", "docs", F.lit(None).cast("long").alias("owner")), fresh)
-        self._drop(incoming)
-        self._put(0, fresh)
-
-    def _put(self, level: int, run: str) -> None:
-        """A run joins its level; a full level is compacted into one run of the next."""
+        self._put(0, self._owned(keys))
+
+    def _put(self, level: int, run: DataFrame) -> None:
+        """Append a run to its level; a full level is compacted into one run of the next."""
         while len(self.levels) <= level:
             self.levels.append(None)
+        writer = run.write.format("parquet").bucketBy(self.buckets, "h", "g").sortBy("h", "g")
         if self.levels[level] is None:
-            self.levels[level] = (run, 1)
-            return
-        table, runs = self.levels[level]
-        self._save(self.spark.table(run), table)
-        self._drop(run)
-        if runs + 1 < self.fanout:
-            self.levels[level] = (table, runs + 1)
-            return
-        merged = self._save(self._summed(self.spark.table(table)))
-        self._drop(table)
-        self.levels[level] = None
-        self._put(level + 1, merged)
+            self._tables += 1
+            table, runs = f"{self._name}_{self._tables}", 0
+            writer.option("path", scratch.fresh_path(self.spark, table)).saveAsTable(table)
+        else:
+            table, runs = self.levels[level]
+            writer.mode("append").saveAsTable(table)
+        self.levels[level] = (table, runs + 1)
+        if runs + 1 >= self.fanout:
+            self._put(level + 1, self._summed(self.spark.table(table)))
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            self.levels[level] = None
 
     @staticmethod
     def _summed(runs: DataFrame) -> DataFrame:
@@ -117,18 +108,18 @@ class LineRuns:
 
     def lines(self, min_docs: int = 1) -> DataFrame:
         """(h, g, docs, owner) of the lines that ``min_docs`` documents or more hold."""
-        held = None
-        for level in filter(None, self.levels):
-            part = self._summed(self.spark.table(level[0]))
-            held = part if held is None else held.unionByName(part)
-        if held is None:
+        parts = [self._summed(self.spark.table(level[0])) for level in filter(None, self.levels)]
+        if not parts:
             return self.spark.createDataFrame([], "h long, g long, docs long, owner long")
-        return self._summed(held).where(F.col("docs") >= min_docs)
+        held = parts[0]
+        for part in parts[1:]:
+            held = held.unionByName(part)
+        return (self._summed(held) if len(parts) > 1 else held).where(F.col("docs") >= min_docs)
 
     def drop(self) -> None:
         """Remove the runs; their files go with ``scratch.release``."""
         for level in filter(None, self.levels):
-            self._drop(level[0])
+            self.spark.sql(f"DROP TABLE IF EXISTS {level[0]}")
         self.levels = []
 
 
