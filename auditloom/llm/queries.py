@@ -55,6 +55,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(common.table(spark, sf_dir, "pages"))
 
 
+def url_alias_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts where each page but every fourth names the next one as canonical, written with its port, an upper-case host and dot segments."""
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.regexp_extract("url", r"\A([a-z]+)", 1).alias("scheme"), F.col("url").alias("named"))
+    port = F.when(F.col("scheme") == "https", ":443").otherwise(":80")
+    parts = [F.regexp_extract("named", r"\A[a-z]+://([^/?#]*)(/?[^?#]*)(.*)", i) for i in (1, 2, 3)]
+    link = F.concat(F.lit('<link rel="canonical" href="'), F.upper("scheme"), F.lit("://"), F.upper(parts[0]), port, F.lit("/a/.."), parts[1], parts[2], F.lit('">'))
+    made = pages.join(after, "page_id", "left").select("page_id", "url", F.when(F.col("page_id") % 4 != 3, link).alias("html"))
+    return url_filter.judge(made).select("page_id", "rule", "verdict", "reached")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language_id.identify(common.table(spark, sf_dir, "documents"))
@@ -85,6 +96,7 @@ QUERIES = {
     "op7_lm_score": op7_lm_score,
     "op8_ngram_join": op8_ngram_join,
     "op9_url_filter": op9_url_filter,
+    "url_alias_verdicts": url_alias_verdicts,
     "op10_language_id": op10_language_id,
     "op11_line_dedup": op11_line_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
@@ -120,6 +132,19 @@ ORACLE_SQL = {
         b AS (SELECT * FROM m WHERE k = 1)
         SELECT h.page_id, h.host, h.path, b.rule, coalesce(b.v, 'allow') AS verdict, false AS reached FROM h LEFT JOIN b USING (page_id)
     """,
+    "url_alias_verdicts": r"""
+        WITH RECURSIVE p AS (SELECT page_id, url, substr(url, position('://' IN url) + 3) AS rest, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+        h AS (SELECT page_id, regexp_extract(bare, '^([a-z]+://[^/?]*)', 1) || CASE WHEN regexp_matches(bare, '^[a-z]+://[^/?]*/') THEN '' ELSE '/' END || regexp_extract(bare, '^[a-z]+://[^/?]*(.*)$', 1) AS node,
+                     lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+        r(v, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        m AS (SELECT h.page_id, r.rh || r.rp AS rule, r.v, row_number() OVER (PARTITION BY h.page_id ORDER BY length(r.rh || r.rp) DESC) AS k
+              FROM h JOIN r ON (h.host = r.rh OR ends_with(h.host, '.' || r.rh)) AND starts_with(h.path, r.rp)),
+        b AS (SELECT h.*, m.rule, m.v FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.k = 1),
+        e AS (SELECT x.node AS a, y.node AS b FROM h x JOIN h y ON y.page_id = x.page_id + 1 WHERE x.page_id % 4 <> 3 AND x.node <> y.node),
+        s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        c AS (SELECT DISTINCT node AS x, node AS y FROM b WHERE v = 'block' AND node IN (SELECT a FROM s) UNION SELECT c.x, s.b FROM c JOIN s ON s.a = c.y)
+        SELECT page_id, rule, CASE WHEN v IS NOT NULL THEN v WHEN node IN (SELECT y FROM c) THEN 'block' ELSE 'allow' END AS verdict, v IS NULL AND node IN (SELECT y FROM c) AS reached FROM b
+    """,
     "op11_line_dedup": r"""
         WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         x AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k

@@ -6,8 +6,9 @@ these edges are sets of aliases, and a block decision on any alias blocks the ot
 itself takes precedence over a block that reaches it through aliases.
 
 Edges come from ``<link rel=canonical>`` and ``<meta http-equiv=refresh>`` of the pages' markup (comments and scripts
-apart) and, if given, from a table of redirects (source, target). Urls are nodes without their fragment, with the host in
-lower case; hosts that hold many pages are many nodes, and no step gathers the pages of a host.
+apart) and, if given, from a table of redirects (source, target). Urls of pages, targets and redirects alike become nodes as browsers
+resolve them: scheme and host in lower case, no port that is the scheme's own, dot segments and backslashes resolved, no fragment. Hosts that
+hold many pages are many nodes, and no step gathers the pages of a host. A page's own rule is that of its url as it is written.
 
 Defined results: a url that is null or has no ``://`` has empty host and path, fits no rule, is no node and is allowed; null
 markup has no edges; markup of any length is read whole, in one pass; rows that repeat give repeated rows; other columns are not read.
@@ -75,7 +76,12 @@ def markup_edges(pages: DataFrame) -> DataFrame:
     )
     # in written steps: one expression for all would be repeated in itself many times over, beyond what a method can hold
     named = common.written(tags.select("u", href.alias("href")), "url-links").where("href <> ''")
-    targets = common.written(named.select("u", urls.resolve(F.col("u"), F.regexp_replace("href", "&amp;", "&")).alias("v")), "url-targets")
+    return resolved_edges(named.select("u", F.regexp_replace("href", "&amp;", "&").alias("href")))
+
+
+def resolved_edges(named: DataFrame) -> DataFrame:
+    """(a, b): the nodes of an address u and of what it names, href, resolved on it."""
+    targets = common.written(named.select(urls.resolve(F.col("u"), F.col("u")).alias("u"), urls.resolve(F.col("u"), F.col("href")).alias("v")), "url-targets")
     return targets.select(key_of(F.col("u")).alias("a"), key_of(F.col("v")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
@@ -83,15 +89,17 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     """One row per page: page_id, host, path, rule, verdict, reached (whether an alias's block decided)."""
     edges = markup_edges(pages)
     if redirects is not None:
-        more = redirects.select(key_of(redirects["source"].cast("string")).alias("a"), key_of(redirects["target"].cast("string")).alias("b"))
-        edges = edges.unionByName(more.where("a IS NOT NULL AND b IS NOT NULL AND a <> b"))
+        edges = edges.unionByName(resolved_edges(redirects.select(redirects["source"].cast("string").alias("u"), redirects["target"].cast("string").alias("href"))))
     alias = connected_components(edges)
     # a node's own decision follows from the node itself, so pages that are named but not in the table count as well
     decided = alias.withColumn("verdict", fitting_rule(host_of(F.col("node")), path_of(F.col("node")), rules)[1])
     blocked = decided.groupBy("component").agg(F.max(F.col("verdict").eqNullSafe("block")).alias("hit")).where("hit").select("component")
-    reached = alias.join(blocked, "component", "left_semi").select(F.col("node").alias("_node")).distinct()
+    # a rule that allows a node keeps the block of its aliases from it, however the page's url is written
+    reached = decided.join(blocked, "component", "left_semi").where(~F.col("verdict").eqNullSafe("allow")).select(F.col("node").alias("_node")).distinct()
     url = pages["url"].cast("string")
-    rows = pages.select(pages["page_id"].alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), key_of(url).alias("_key"))
+    # written first: the node's expression names the resolved url many times
+    own = common.written(pages.select(pages["page_id"].alias("page_id"), url.alias("url"), urls.resolve(url, url).alias("node")), "url-nodes")
+    rows = own.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), key_of(F.col("node")).alias("_key"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "_own": verdict})
     joined = rows.join(reached, F.when(F.col("_own").isNull(), F.col("_key")) == F.col("_node"), "left")

@@ -389,20 +389,72 @@ def found_pairs(spark, items, docs):
     return {(r["doc_id"], r["item_id"]): r["match_kind"] for r in decontam.contaminated(docs, items).collect()}
 
 
-def test_slot_heavy_items_are_found_as_they_stand(spark):
+def test_slot_heavy_items_are_found_as_they_stand_and_changed(spark):
     rest = "gave it to all of the others who were there on that day and then went home again without a word"
     items = ["Calculate 12 + 35", "Sort 3, 8, 15, 4, 16, 23, 42, 7, 1, 90, 11, 62, 5, 70 now", "Teams: Anna Bob Carl Dora Emil Fritz Gerd Hans Ida Jan Karl Lea Max Nora " + rest]
     names = " ".join(items[2].split()[:15])
     copies = [(i, x) for i, item in enumerate(items) for x in (item, f"Please do this. {item} in the end", f"words 7 {item} 9 words")] + [(2, f"some list {names} of people")]
-    others = ["Calculate 12 + 36", items[1].replace("15", "14").replace("7,", "8,").replace("62", "63"), names.replace("Carl", "Otto").replace("Ida", "Eva"), "12 35", ""]
-    want = {(d, i): "exact" for d, (i, _) in enumerate(copies)}
-    assert found_pairs(spark, items, [x for _, x in copies] + others) == want
+    changed = [(0, "Calculate 12 + 36"), (1, items[1].replace("15", "14").replace("7,", "8,").replace("62", "63"))]
+    others = [names.replace("Carl", "Otto").replace("Ida", "Eva"), "12 35", "", "Count 12 + 36", items[1].replace("Sort 3", "Sort three of 3")]
+    want = {(d, i): "exact" if d < len(copies) else "template" for d, (i, _) in enumerate(copies + changed)}
+    assert found_pairs(spark, items, [x for _, x in copies + changed] + others) == want
 
 
 def test_arithmetic_items_are_found(spark):
     items = ["3 + 4 = 7 and 12 * 5 = 60 so 99 - 7 = 92 and 8 / 2 = 4", "Compute 17 * 23 .", "A train leaves the station at 9:15 and travels 120 km in 2 hours before it stops for 15 minutes at the next town"]
-    docs = [*(f"Exercise. {x} Then go on." for x in items), "Exercise. " + items[2].replace("9:15", "7:40").replace("120 km", "340 km").replace("2 hours", "4 hours").replace("15 minutes", "35 minutes"), "Compute 17 * 24 .", "3 + 4 = 8 and 12 * 5 = 60"]
-    assert found_pairs(spark, items, docs) == {(0, 0): "exact", (1, 1): "exact", (2, 2): "exact", (3, 2): "template"}
+    docs = [*(f"Exercise. {x} Then go on." for x in items), "Exercise. " + items[2].replace("9:15", "7:40").replace("120 km", "340 km").replace("2 hours", "4 hours").replace("15 minutes", "35 minutes"), "... Compute 18 * 29 .", "3 + 4 = 8 and 12 * 5 = 60", "Compute 18 * 18 * 29", "We compute 5 of them"]
+    # two numbers that differ in the item may be the same elsewhere, but not the other way round
+    assert found_pairs(spark, items, docs) == {(0, 0): "exact", (1, 1): "exact", (2, 2): "exact", (3, 2): "template", (4, 1): "template", (6, 1): "template"}
+
+
+#: Questions with placeholders: numbers in digits, numbers in words, names.
+QUESTIONS = (
+    "{A} has {w} apples and buys {w} more apples from {B} . How many apples does {A} have now ?",
+    "Compute {n} * {n} .", "Solve {n} x + {n} = {n} for x", "What is {n} percent of {n} ?", "{A} runs {n} km in {n} minutes . How fast is that in km per hour ?",
+    "A shop sells pens for {n} dollars each . {A} pays {n} dollars . How many pens is that ?", "{A} , {B} and {C} share {w} sweets . Each gets how many sweets and how many are left over ?",
+    "Find the greatest common divisor of {n} and {n} .", "If {w} workers need {w} days , how many days do {w} workers need ?", "The sum of {n} and {n} is divided by {n} . What is left over ?",
+)
+
+
+def test_recall_of_changed_questions(spark):
+    """Planted questions with other numbers, number words and names, among texts with none."""
+    rng = random.Random(11)
+    numbers, names = sorted(decontam.NUMBER_WORDS - {"hundred", "thousand", "million", "billion", "dozen"}), ["Anna", "Tom", "Maria", "Peter", "Lucy", "Omar", "Ivan"]
+    plain = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+
+    def made(question):
+        who = dict(zip("ABC", rng.sample(names, 3), strict=True))
+        return re.sub(r"\{(\w)\}", lambda m: who.get(m[1]) or (rng.choice(numbers) if m[1] == "w" else str(rng.randrange(2, 999))), question)
+
+    prose = lambda n: " ".join(rng.choice([*[rng.choice(plain)] * 9, str(rng.randrange(50)), rng.choice(numbers), rng.choice(names)]) for _ in range(n))
+    items = [made(q) for q in QUESTIONS]
+    docs, want = [], set()
+    for _ in range(10):
+        for i, q in enumerate(QUESTIONS):
+            want.add((len(docs), i))
+            docs.append(f"{prose(40)}. {made(q)} {prose(40)}")
+    docs += [prose(rng.randrange(5, 200)) for _ in range(400)]
+    docs += [f"{prose(10)} compute {prose(3)} and find the sum of it {prose(5)}" for _ in range(50)]
+    got = set(found_pairs(spark, items, docs))
+    assert len(got & want) >= 0.9 * len(want), sorted(Counter(i for _, i in want - got).items())
+    assert len(got - want) <= 0.02 * len(want), sorted(got - want)
+
+
+def test_common_windows_are_no_evidence(spark, monkeypatch):
+    """A sparse template that many texts hold finds nothing; a preamble that many items share neither."""
+    monkeypatch.setattr(decontam, "RARE_TEXTS", 5)
+    rng = random.Random(2)
+    docs = [f"in {rng.randrange(1900, 2000)} , {rng.randrange(9)} things number{i}" for i in range(30)]
+    assert found_pairs(spark, ["In 1950 , 3"], docs) == {}
+    monkeypatch.setattr(decontam, "SHARED", 3)
+    preamble = "Read the following text with care and answer the question that comes after it in one word"
+    own = [" ".join(f"{a}{b}{i}x" for a in "abcd" for b in "efgh") for i in range(8)]
+    items = [f"{preamble} {x}" for x in own]
+    docs = [f"{preamble} nothing else", *(f"see: {x}" for x in items), f"see: {own[2]}"]
+    items_df, docs_df = (spark.createDataFrame(list(enumerate(x)), f"{k}_id long, text string") for x, k in ((items, "item"), (docs, "doc")))
+    got = decontam.found_texts(docs_df, items_df, 10, 4, 5, shared=3).count()
+    assert got == 9  # the text with the preamble alone isn't found
+    assert decontam.found_texts(docs_df, items_df, 10, 4, 5, shared=100).count() == 10
 
 
 def plain_template(text):
