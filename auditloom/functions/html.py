@@ -14,15 +14,26 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .accessibility import violations
 from .signatures import BARE_COMPONENTS, COMPONENT_TAGS, SKELETON_SKIP
 
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HEAD = frozenset("base link meta title style script noscript template".split())
-_FORMATTING = frozenset("b big code em font i s small strike strong tt u nobr".split())
-_BLOCK = frozenset(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
-)
-_SPACED = frozenset("p div h1 h2 h3 h4 h5 h6 li br tr td section article header footer nav ul ol".split())
+_VOID = frozenset((
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+))
+_HEAD = frozenset((
+    "base", "link", "meta", "title", "style", "script", "noscript", "template",
+))
+_FORMATTING = frozenset((
+    "b", "big", "code", "em", "font", "i", "s", "small", "strike", "strong", "tt", "u", "nobr",
+))
+_BLOCK = frozenset((
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer",
+    "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table",
+    "ul",
+))
+_SPACED = frozenset((
+    "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "tr", "td", "section", "article", "header", "footer", "nav", "ul", "ol",
+))
 #: A start tag ends these open elements, up to the nearest of the limits.
 _IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -282,6 +293,7 @@ def extract_page(html: str | None, deepest: int = 6) -> dict:
         "client_rendered": bool(scripts) and sum(not isinstance(c, str) for c in b.body.children) < 10 and n_words < 50,
         "components": component_signatures(b.body, body),
         "skeleton": skeleton(b.body, 0, deepest),
+        "violations": violations(b),
     }
 
 
@@ -289,7 +301,8 @@ DOM = """struct<title:string,meta_description:string,h1_text:string,canonical:st
 body_text:string,visible_text:string,word_count:int,anchors:array<struct<href:string,text:string>>,images:array<struct<src:string,alt:string>>,
 scripts:array<struct<src:string,type:string>>,resources:array<string>,metas:array<struct<name:string,property:string,content:string>>,
 json_ld:array<string>,itemscope:boolean,forms:array<struct<action:string,hints:string,types:array<string>,inputs:array<struct<type:string,name:string>>,purpose:string>>,
-videos:array<string>,has_video:boolean,interactions:array<string>,client_rendered:boolean,components:array<string>,skeleton:string>"""
+videos:array<string>,has_video:boolean,interactions:array<string>,client_rendered:boolean,components:array<string>,skeleton:string,
+violations:array<struct<id:string,impact:string,description:string,nodesCount:int>>>"""
 
 
 def dom(html: Column) -> Column:

@@ -54,26 +54,26 @@ PURPOSE_FEATURES = (("search", "Site Search"), ("login", "User Login / Account")
 #: (journey, name, ((stage, name, keywords), ...))
 JOURNEYS = (
     ("prospective_customer", "Prospective Customer", (
-        ("awareness", "Awareness", "blog article insight guide resource news learn"),
-        ("consideration", "Consideration", "about service product feature solution case-study case_study portfolio work"),
-        ("decision", "Decision", "pricing plans demo trial quote compare vs"),
-        ("action", "Action / Conversion", "signup sign-up register checkout cart book apply contact buy shop"),
+        ("awareness", "Awareness", ("blog", "article", "insight", "guide", "resource", "news", "learn")),
+        ("consideration", "Consideration", ("about", "service", "product", "feature", "solution", "case-study", "case_study", "portfolio", "work")),
+        ("decision", "Decision", ("pricing", "plans", "demo", "trial", "quote", "compare", "vs")),
+        ("action", "Action / Conversion", ("signup", "sign-up", "register", "checkout", "cart", "book", "apply", "contact", "buy", "shop")),
     )),
     ("job_seeker", "Job Seeker", (
-        ("discover_careers", "Discover Careers", "careers jobs join-us join_us work-with-us we-are-hiring"),
-        ("browse_openings", "Browse Openings", "position opening vacancy job-listing job_listing openings"),
-        ("apply", "Apply", "apply application submit-resume submit_resume"),
+        ("discover_careers", "Discover Careers", ("careers", "jobs", "join-us", "join_us", "work-with-us", "we-are-hiring")),
+        ("browse_openings", "Browse Openings", ("position", "opening", "vacancy", "job-listing", "job_listing", "openings")),
+        ("apply", "Apply", ("apply", "application", "submit-resume", "submit_resume")),
     )),
     ("existing_customer", "Existing Customer / Support", (
-        ("sign_in", "Sign In", "login signin sign-in account my-account my_account"),
-        ("self_service", "Self-Service Help", "faq help docs documentation knowledge-base knowledgebase kb"),
-        ("contact_support", "Contact Support", "support help-desk helpdesk ticket contact-support"),
+        ("sign_in", "Sign In", ("login", "signin", "sign-in", "account", "my-account", "my_account")),
+        ("self_service", "Self-Service Help", ("faq", "help", "docs", "documentation", "knowledge-base", "knowledgebase", "kb")),
+        ("contact_support", "Contact Support", ("support", "help-desk", "helpdesk", "ticket", "contact-support")),
     )),
     ("press_investor", "Press / Investor", (
-        ("company_info", "Company Info", "about company who-we-are leadership our-team our_team"),
-        ("news_press", "News & Press", "press media newsroom press-release press_release announcement"),
-        ("investor_relations", "Investor Relations", "investor investors shareholder financial-report financial_report /ir/ ir-"),
-        ("media_contact", "Media Contact", "media-contact media_contact press-contact press_contact"),
+        ("company_info", "Company Info", ("about", "company", "who-we-are", "leadership", "our-team", "our_team")),
+        ("news_press", "News & Press", ("press", "media", "newsroom", "press-release", "press_release", "announcement")),
+        ("investor_relations", "Investor Relations", ("investor", "investors", "shareholder", "financial-report", "financial_report", "/ir/", "ir-")),
+        ("media_contact", "Media Contact", ("media-contact", "media_contact", "press-contact", "press_contact")),
     )),
 )
 SCHEMA_TYPES = ("Organization", "BreadcrumbList", "Article", "Product", "WebPage", "FAQPage")

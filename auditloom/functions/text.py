@@ -9,10 +9,11 @@ from .numbers import one_place
 
 #: Words that keyword reports leave out (fixed values).
 STOPWORDS = (
-    "the a an and or but in on at to for of with by is are was were be been this that these those it its as from your you we our us will can if "
-    "not all more about into than then which their they he she his her have has had do does did up out so no yes how what when where who why here "
-    "there also may any each other"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "this", "that",
+    "these", "those", "it", "its", "as", "from", "your", "you", "we", "our", "us", "will", "can", "if", "not", "all", "more", "about", "into", "than",
+    "then", "which", "their", "they", "he", "she", "his", "her", "have", "has", "had", "do", "does", "did", "up", "out", "so", "no", "yes", "how",
+    "what", "when", "where", "who", "why", "here", "there", "also", "may", "any", "each", "other",
+)
 WORD = r"[a-z][a-z'-]{2,}"
 _BLOCK = r"(?i)</?(?:p|div|h[1-6]|li|br|tr|td|section|article|header|footer|nav|ul|ol)(?:\s[^>]*)?>"
 
@@ -23,8 +24,7 @@ def words(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Words without stopwords, in order."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(words(text), lambda w: ~F.array_contains(stop, w))
+    return F.filter(words(text), lambda w: ~w.isin(*STOPWORDS))
 
 
 def shingles(tokens: Column, k: int) -> Column:
@@ -40,12 +40,19 @@ def syllables(word: Column) -> Column:
     return F.when(w == "", F.lit(0)).otherwise(F.when(w.endswith("e") & (groups > 1), groups - 1).otherwise(groups))
 
 
+def syllables_of(letters: Column) -> Column:
+    """Syllables of all words of a text of lower-case letters and spaces: the sum of ``syllables``, in three searches that don't go back."""
+    groups = F.regexp_count(letters, F.lit("[aeiouy]++"))
+    # a vowel group, a consonant, and an e at the end: two groups at least, and the last doesn't sound
+    silent = F.regexp_count(letters, F.lit("(?<![a-z])[^aeiouy ]*+[aeiouy]++[^aeiouy ]++[a-z]*+(?<=e)"))
+    return groups - silent + F.regexp_count(letters, F.lit("(?<![a-z])[^aeiouy ]++(?![a-z])"))
+
+
 def flesch(text: Column) -> Column:
     """Flesch reading ease to one place; null under 20 words."""
-    found = F.regexp_extract_all(text, F.lit("([a-zA-Z']+)"), 1)
-    n = F.size(found)
-    sentences = F.greatest(F.size(F.filter(F.split(text, "[.!?]+"), lambda s: s.rlike(r"\S"))), F.lit(1))
-    sounds = F.aggregate(found, F.lit(0), lambda a, w: a + syllables(w))
+    n = F.regexp_count(text, F.lit("[a-zA-Z']+"))
+    sentences = F.greatest(F.regexp_count(text, F.lit(r"[^.!?\s][^.!?]*+")), F.lit(1))
+    sounds = syllables_of(F.lower(F.regexp_replace(F.regexp_replace(text, "'", ""), "[^a-zA-Z]+", " ")))
     return F.when(n >= 20, one_place(206.835 - 1.015 * (n / sentences) - 84.6 * (sounds / n)))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: Extensions of files that are no pages (fixed values).
 NON_PAGE = (
-    "pdf docx? xlsx? pptx? csv rtf zip rar 7z tar gz jpe?g png gif svg webp ico bmp tiff? mp4 mp3 wav avi mov webm ogg woff2? ttf eot xml json".split()
-)
+    "pdf", "docx?", "xlsx?", "pptx?", "csv", "rtf", "zip", "rar", "7z", "tar", "gz", "jpe?g", "png", "gif", "svg", "webp", "ico", "bmp", "tiff?",
+    "mp4", "mp3", "wav", "avi", "mov", "webm", "ogg", "woff2?", "ttf", "eot", "xml", "json",
+)
 NON_PAGE_PATTERN = r"(?i)\.(" + "|".join(NON_PAGE) + r")(\?|#|$)"
 STAGING_PATTERN = r"(^|\.)(staging|stage|dev|test|uat|preprod|qa)(\.|-)"
 #: Query parameters of campaigns (fixed values); names that begin with utm_ count as well.

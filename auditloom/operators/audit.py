@@ -19,15 +19,19 @@ _VIOLATIONS = "array<struct<id:string,impact:string,description:string,nodesCoun
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Crawled pages with everything that their markup says; the markup is parsed once, in the column ``dom``."""
-    p = corpus.stored(pages).withColumn("dom", markup.dom(F.col("html")))
-    given = F.col("accessibility_violations") if "accessibility_violations" in pages.columns else F.lit(None).cast(_VIOLATIONS)
-    return p.select(
+    """Crawled pages with everything that their markup says; the markup is parsed once and whole, in the column ``dom``, and cut where it is kept.
+
+    Accessibility violations are those of the column of that name, where a scanner in a browser made one, else what the rules for markup find.
+    """
+    p = pages.withColumn("dom", markup.dom(F.col("html")))
+    given = F.col("accessibility_violations") if "accessibility_violations" in pages.columns else F.col("dom.violations")
+    made = p.select(
         *(c for c in pages.columns if c != "accessibility_violations"), "dom",
         *(F.col(f"dom.{c}").alias(c) for c in ("title", "meta_description", "h1_text", "canonical", "lang", "word_count")),
         ds.hreflang(F.col("dom"), F.col("url")).alias("hreflang"), F.col("dom.visible_text").alias("text"), F.col("dom.client_rendered").alias("is_client_rendered"),
         markup.fingerprint(F.col("dom")).alias("template_fingerprint"), F.coalesce(given, F.array().cast(_VIOLATIONS)).alias("accessibility_violations"),
     )
+    return corpus.stored(made)
 
 
 @dataclass

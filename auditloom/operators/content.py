@@ -11,7 +11,7 @@ from auditloom.functions import signatures as sig
 from auditloom.functions import text
 from auditloom.functions.numbers import share3
 
-from .components import connected_components
+from . import near_duplicates
 
 
 def top_keywords(pages: DataFrame, limit: int = 20) -> DataFrame:
@@ -32,7 +32,7 @@ def top_keywords(pages: DataFrame, limit: int = 20) -> DataFrame:
 def top_phrases(pages: DataFrame, limit: int = 20) -> DataFrame:
     """Pairs of neighbouring keywords by occurrences: phrase, occurrences."""
     words = text.keywords(F.col("text"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1))))
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
     each = pages.select("page_ord", words.alias("w")).select("page_ord", F.posexplode(pairs).alias("pos", "phrase"))
     counts = each.groupBy("phrase").agg(F.count("*").alias("occurrences"), F.min(F.struct("page_ord", "pos")).alias("first"))
     return counts.orderBy(F.desc("occurrences"), "first").limit(limit)
@@ -46,27 +46,11 @@ def zipped(left: DataFrame, right: DataFrame, order_left: list[Column], order_ri
 
 
 def near_duplicate_pairs(pages: DataFrame, key: str, threshold: float = 0.75, k: int = 8) -> DataFrame:
-    """Pairs (a, b) of keys, a < b, whose word shingles have at least this Jaccard similarity.
+    """Pairs (a, b, jaccard) of keys, a < b, whose word shingles have at least this Jaccard similarity.
 
-    Prefix filtering: with shingles ordered from rare to common, a pair over the threshold shares one among its first
-    n - ceil(t n) + 1; common shingles are at the end and are not joined on. Equal sets meet by a digest, in a chain, as one class.
+    Texts with equal sets of shingles meet in a chain at 1, as one class; its first one stands for it in all other pairs.
     """
-    tokens = pages.select(F.col(key).alias("id"), text.words(F.col("text")).alias("w")).where(F.size("w") >= k)
-    sets = tokens.select("id", F.array_sort(text.shingles(F.col("w"), k)).alias("s"))
-    sets = scratch.written(sets.withColumn("digest", F.sha2(F.array_join("s", "\n"), 256)), "shingles")
-    reps = sets.groupBy("digest").agg(F.min("id").alias("id"), F.first("s").alias("s")).select("id", "s", F.size("s").alias("n"))
-    each = reps.select("id", "n", F.explode("s").alias("g")).select("id", "n", F.xxhash64("g").alias("h"))
-    df = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(df, "h", "left").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "h")))
-    prefix = ranked.where((F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1) & F.col("df").isNotNull()).select("id", "n", "h")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.n") >= threshold * F.col("y.n") - 1e-9) & (F.col("y.n") >= threshold * F.col("x.n") - 1e-9))
-    candidates = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sa, sb = reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), reps.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    scored = candidates.join(sa, "a").join(sb, "b").select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    same = sets.select("digest", F.col("id").alias("b")).join(sets.groupBy("digest").agg(F.min("id").alias("a")), "digest").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    return scored.unionByName(same)
+    return near_duplicates.pairs(pages, key, threshold, k)
 
 
 def unlike_pairs(pairs: DataFrame) -> DataFrame:
@@ -84,8 +68,7 @@ def near_duplicate_clusters(pages: DataFrame, key: str, threshold: float = 0.75,
     """(id, cluster) of pages in clusters of more than one; none if there are more than max_pages, unless that is None."""
     if max_pages is not None and pages.limit(max_pages + 1).count() > max_pages:
         pages = pages.where(F.lit(False))
-    pairs = near_duplicate_pairs(pages, key, threshold, k)
-    return connected_components(pairs.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    return near_duplicates.forest(pages, key, threshold, k)[0].select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
 
 def duplicate_of(pages: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""The crawl as a level-by-level search over a static corpus: frontier, seen set, page budget; robots and sitemaps as tables."""
+"""The crawl as a level-by-level search over a static corpus: frontier, seen set, page budget; robots and sitemaps as tables.
+
+``reachable`` searches one site; ``crawl_audits`` searches for any number of audits at once, each with its robots text, depth and budget.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,14 @@ from pyspark.sql import functions as F
 
 from auditloom import scratch
 from auditloom.functions import urls
+from auditloom.sources.bucketed import BucketedTable
+
+from .ranks import numbered
 
+#: Rows of a counted side up to which it is broadcast.
+SMALL = 200_000
+#: The error of a page that robots exclude (a fixed text).
+BLOCKED = "blocked_by_robots_txt"
 STATUSES = ("queued", "crawling", "analyzing", "done", "failed")
 PERSONAS = ("ux", "content", "business")
 
@@ -103,6 +113,103 @@ def reachable(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int
     return seen
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def robots_rules(robots: DataFrame) -> DataFrame:
+    """Path prefixes (audit_id, rule) that the Disallow lines of robots(audit_id, txt) name, of any agent; an empty one excludes nothing."""
+    lines = F.filter(F.transform(F.split(F.coalesce("txt", F.lit("")), "\n"), lambda s: F.trim(s)), lambda s: F.lower(s).startswith("disallow:"))
+    rules = robots.select("audit_id", F.explode(F.transform(lines, lambda s: F.trim(F.regexp_replace(s, r"^[^:]*:", "")))).alias("rule"))
+    return rules.where("rule <> ''").distinct()
+
+
+def disallowed(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+    """The distinct (audit_id, url) of addresses whose path begins with a rule of their audit.
+
+    Rules are looked up by equal prefixes: a path gives one for each length that its audit's rules have, so the cost of an address
+    grows with the lengths, not with the rules. ``rules`` is a written table (audit_id, rule).
+    """
+    lengths = scratch.written(rules.groupBy("audit_id").agg(F.collect_set(F.length("rule")).alias("lengths")), "rule-lengths")
+    paths = addresses.select("audit_id", "url").distinct().join(_small(lengths), "audit_id").withColumn("path", urls.path(F.col("url")))
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    prefixes = paths.select("audit_id", "url", F.explode(F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("rule"))
+    return prefixes.join(_small(rules), ["audit_id", "rule"], "left_semi").select("audit_id", "url").distinct()
+
+
+def granted(new: DataFrame, left: DataFrame, order: list[str]) -> DataFrame:
+    """Of new(audit_id, url, ...) the first ``left`` of each audit in the order given; left(audit_id, left).
+
+    Only audits that ask for more than they have left are put in order, and by running counts over a range-partitioned sort: neither
+    all audits nor one large one are sorted in one task.
+    """
+    asked = new.groupBy("audit_id").agg(F.count("*").alias("asked")).join(left, "audit_id")
+    short = scratch.written(asked.where(F.col("asked") > F.greatest(F.col("left"), F.lit(0))).select("audit_id", "left"), "short-audits")
+    if short.isEmpty():
+        return new
+    some = _small(short)
+    ranked = numbered(new.join(some.select("audit_id"), "audit_id", "left_semi"), ["audit_id"], order, "_place")
+    return new.join(some.select("audit_id"), "audit_id", "left_anti").unionByName(ranked.join(some, "audit_id").where(F.col("_place") < F.col("left")).drop("_place", "left"))
+
+
+def crawl_audits(links: DataFrame, audits: DataFrame, robots: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """(audit_id, url, depth, error) of the pages that each audit's crawl takes, by breadth-first search for all audits at once.
+
+    links(audit_id, source_url, target_url); audits(audit_id, start_url, max_pages, max_depth, respect_robots); robots(audit_id, txt);
+    seeds(audit_id, url, ord), addresses that sitemaps name, at depth 1. The start page takes the first place of the budget, then the seeds in
+    their order, then each level's new addresses in their own. A page that robots exclude takes its place, with an error, and leads
+    nowhere. A null start or address is none; of audits that repeat an id one row counts, that with the smallest options.
+
+    What is seen grows by appending each level to a table in buckets of (audit_id, url); a level writes its new addresses only, and neither
+    it nor the next one shuffles what was seen before.
+    """
+    spark = links.sparkSession
+    options = audits.where("audit_id IS NOT NULL AND start_url IS NOT NULL").groupBy("audit_id").agg(F.min(F.struct("start_url", "max_pages", "max_depth", "respect_robots")).alias("o"))
+    options = scratch.written(options.select("audit_id", "o.*"), "audits")
+    edges = links.select("audit_id", F.col("source_url").alias("from"), F.col("target_url").alias("url")).where("url IS NOT NULL").where(~urls.is_non_page(F.col("url")))
+    edges = scratch.written(edges.join(_small(options.select("audit_id")), "audit_id", "left_semi").distinct(), "crawl-links")
+    rules = None
+    if robots is not None:
+        heeding = options.where("respect_robots").select("audit_id")
+        rules = scratch.written(robots_rules(robots.join(_small(heeding), "audit_id", "left_semi")), "robots-rules")
+    table = BucketedTable(spark, "crawl_seen", "audit_id string, url string, depth int, error string", ("audit_id", "url"))
+    used = options.select("audit_id", F.lit(0).cast("long").alias("used"))
+
+    def take(new: DataFrame, depth: int, order: list[str]) -> int:
+        """Grant, mark and append new addresses; returns how many."""
+        nonlocal used
+        left = options.join(used, "audit_id").select("audit_id", (F.col("max_pages") - F.col("used")).alias("left"))
+        rows = granted(new, left, order).select("audit_id", "url")
+        if rules is not None:
+            blocked = disallowed(rows, rules).withColumn("error", F.lit(BLOCKED))
+            rows = rows.join(blocked, ["audit_id", "url"], "left")
+        else:
+            rows = rows.withColumn("error", F.lit(None).cast("string"))
+        rows = scratch.written(rows.select("audit_id", "url", F.lit(depth).alias("depth"), "error"), "crawl-level")
+        counts = rows.groupBy("audit_id").agg(F.count("*").alias("n"))
+        used = scratch.written(used.join(counts, "audit_id", "left").select("audit_id", (F.col("used") + F.coalesce("n", F.lit(0))).alias("used")), "crawl-used")
+        n = rows.count()
+        if n:
+            table.append(rows)
+        return n
+
+    def unseen(new: DataFrame) -> DataFrame:
+        return new.join(table.read().select("audit_id", "url"), ["audit_id", "url"], "left_anti")
+
+    take(options.select("audit_id", F.col("start_url").alias("url")), 0, ["url"])
+    if seeds is not None:
+        named = seeds.join(_small(options.select("audit_id")), "audit_id", "left_semi").where("url IS NOT NULL").groupBy("audit_id", "url").agg(F.min("ord").alias("ord"))
+        take(scratch.written(unseen(named), "crawl-seeds"), 1, ["ord", "url"])
+    deepest = options.agg(F.max("max_depth")).first()[0] or 0
+    for depth in range(deepest):
+        frontier = table.read().where((F.col("depth") == depth) & F.col("error").isNull()).join(_small(options.where(F.col("max_depth") > depth).select("audit_id")), "audit_id", "left_semi")
+        found = frontier.select("audit_id", F.col("url").alias("from")).join(edges, ["audit_id", "from"]).select("audit_id", "url").distinct()
+        new = scratch.written(unseen(found), "crawl-found")
+        if not take(new, depth + 1, ["url"]) and table.read().where(F.col("depth") > depth).isEmpty():
+            break
+    return table.close()
+
+
 def reserve(candidates: DataFrame, remaining: int, order: Column) -> DataFrame:
     """The first ``remaining`` candidates, as a budget grants them."""
     return candidates.orderBy(order).limit(max(0, remaining))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,6 +121,16 @@ def broken_hreflang(pages: DataFrame, resolve: bool = False) -> DataFrame:
     return each.join(pages.select(F.col("url").alias("target_url")), "target_url", "left_anti").select("page_ord", "from_page", "locale", "target_url")
 
 
+def broken_hreflang_examples(pages: DataFrame, n: int = 15) -> DataFrame:
+    """The first broken alternate links in the order of their pages: page_ord, from_page, locale, target_url."""
+    return broken_hreflang(pages).orderBy("page_ord", "locale", "target_url").limit(n)
+
+
+def document_examples(assets: DataFrame, n: int = 15) -> DataFrame:
+    """The first documents that pages link to: page_id, url."""
+    return assets.where("asset_type = 'document'").select("page_id", "url").orderBy("page_id", "url").limit(n)
+
+
 def locale_summary(pages: DataFrame) -> DataFrame:
     real = pages.where(is_real(F.col("status_code")))
     a = real.agg(
@@ -187,6 +201,21 @@ def parameter_counts(pages: DataFrame) -> DataFrame:
     return pages.where(urls.host(F.col("url")) != "").select("page_ord", "url", F.size(keys).alias("param_count"), F.filter(keys, urls.is_tracking).alias("tracking_params"))
 
 
+#: Examples that summaries list of conflicts, broken links and documents, and of parameters (fixed values).
+EXAMPLES, PARAMETER_EXAMPLES, BLOAT = 15, 10, 3
+
+
+def url_health(pages: DataFrame) -> DataFrame:
+    """One row on the addresses: groups in conflict (15 at most of either kind), counts and examples of parameters."""
+    groups = address_groups(pages)
+    listed = lambda df, value, n, name: df.orderBy("page_ord").limit(n).agg(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", value))), lambda x: x[value]).alias(name))
+    params = parameter_counts(pages)
+    bloat, tracked = params.where(F.col("param_count") > BLOAT), params.where(F.size("tracking_params") > 0)
+    counts = params.agg(F.count_if(F.col("param_count") > BLOAT).alias("param_bloat_count"), F.count_if(F.size("tracking_params") > 0).alias("tracking_param_count"))
+    row = listed(groups.where("slash_conflict"), "pages", EXAMPLES, "trailing_slash_inconsistencies").crossJoin(listed(groups.where("case_conflict"), "pages", EXAMPLES, "case_inconsistencies"))
+    return row.crossJoin(counts).crossJoin(listed(bloat, "url", PARAMETER_EXAMPLES, "param_bloat_examples")).crossJoin(listed(tracked, "url", PARAMETER_EXAMPLES, "tracking_param_examples"))
+
+
 def journey_rules(spark: SparkSession, custom=()) -> DataFrame:
     """The journeys' stages in order: journey_id, journey, stage_id, stage, keywords, ord."""
     rows, n = [], 0
@@ -197,16 +226,54 @@ def journey_rules(spark: SparkSession, custom=()) -> DataFrame:
     return spark.createDataFrame(rows, "journey_id string, journey string, stage_id string, stage string, keywords array<string>, ord int")
 
 
+def keyword_matcher(rules: dict[str, set[int]]) -> Callable[[str], set[int]]:
+    """From keywords, each with the numbers of its rules, a function from a text to the numbers of the rules that it meets.
+
+    One automaton goes over the text once for all keywords, so the cost of a text doesn't grow with the rules.
+    """
+    always = rules.get("", set())
+    words = {k: v for k, v in rules.items() if k}
+    try:
+        import ahocorasick
+    except ImportError:  # one search for each keyword
+        return lambda x: always.union(*(v for k, v in words.items() if k in x))
+    if not words:
+        return lambda x: always
+    machine = ahocorasick.Automaton()
+    for k, v in words.items():
+        machine.add_word(k, v)
+    machine.make_automaton()
+    return lambda x: always.union(*(v for _, v in machine.iter(x)))
+
+
+def keyword_hits(texts: DataFrame, rules: dict[str, set[int]]) -> DataFrame:
+    """texts (..., hay) to a row for each rule that hay meets, with the rule's number ``ord`` in place of hay."""
+    held = [f for f in texts.schema.fields if f.name != "hay"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held), "ord int"])
+    names = [f.name for f in held]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = keyword_matcher(rules)
+        for batch in batches:
+            found = [sorted(matcher(x)) for x in batch.column("hay").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            columns = [batch.column(n).take(at) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([o for x in found for o in x], pa.int32())], names=[*names, "ord"])
+
+    return texts.mapInArrow(run, schema)
+
+
 def journey_stages(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """For each stage: present, page_count, example_url and click_depth of the shallowest page.
 
-    The rules are a few rows of the program's own, so each page meets them in an array and only matches leave the task.
+    ``rules`` is configuration, of thousands of rows at most: it goes to the tasks as one automaton, and only matches leave them.
     """
-    listed = rules.agg(F.array_sort(F.collect_list(F.struct("ord", "keywords"))).alias("rules"))
+    words: dict[str, set[int]] = {}
+    for r in rules.select("ord", "keywords").collect():
+        for k in r["keywords"]:
+            words.setdefault(k, set()).add(r["ord"])
     hay = F.lower(F.concat_ws(" ", "url", F.coalesce("title", F.lit(""))))
-    real = pages.where(is_real(F.col("status_code"))).select("page_ord", "url", "depth", hay.alias("hay")).crossJoin(F.broadcast(listed))
-    hits = F.filter("rules", lambda r: F.exists(r["keywords"], lambda k: F.col("hay").contains(k)))
-    each = real.select("page_ord", "url", "depth", F.explode(F.transform(hits, lambda r: r["ord"])).alias("ord"))
+    each = keyword_hits(pages.where(is_real(F.col("status_code"))).select("page_ord", "url", "depth", hay.alias("hay")), words)
     best = each.groupBy("ord").agg(F.count("*").alias("page_count"), F.min(F.struct("depth", "page_ord", "url")).alias("best"))
     return rules.join(best, "ord", "left").select(
         "ord", "journey_id", "journey", "stage_id", "stage", F.col("best").isNotNull().alias("present"), F.coalesce("page_count", F.lit(0)).alias("page_count"), F.col("best.url").alias("example_url"), F.col("best.depth").alias("click_depth")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import report_queries, site_queries, urls_text
+from . import audits_queries, report_queries, site_queries, urls_text
 
-_PARTS = (urls_text, site_queries, report_queries)
+_PARTS = (urls_text, site_queries, report_queries, audits_queries)
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}

@@ -38,9 +38,9 @@ def parsed_pages(spark: SparkSession, d: str) -> DataFrame:
     return audit.parsed(corpus.fixture_pages(spark, d, markup=True).select(*_CRAWLED))
 
 
-def rich_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages whose markup also has what the fixtures lack, by page_id: canonical and alternate links, descriptions, cards, structured
-    data, scripts, images, videos, documents, forms, widgets, insecure frames; and accessibility violations. No text is added."""
+def rich_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Crawled pages whose markup also has what the fixtures lack, by page_id: canonical and alternate links, descriptions, cards, structured
+    data, scripts, images, videos, documents, forms, widgets, insecure frames. No text is added."""
     n = F.col("page_id")
     on = lambda hit, *parts: F.when(hit, F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))).otherwise("")
     i = n.cast("string")
@@ -56,8 +56,13 @@ def rich_pages(spark: SparkSession, d: str) -> DataFrame:
         on(n % 8 == 5, '<form><input type="email" name="e"><input type="password"></form>'), on(n % 9 == 4, '<div role="dialog"></div>'), on(n % 10 == 9, '<iframe src="http://old.example.net/w"></iframe>'),
     )
     html = F.replace(F.replace(F.col("html"), F.lit("<head>"), F.concat(F.lit("<head>"), head)), F.lit("<nav>"), F.concat(body, F.lit("<nav>")))
+    return corpus.fixture_pages(spark, d, markup=True).select(*_CRAWLED).withColumn("html", html)
+
+
+def rich_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Those pages parsed, with accessibility violations as a scanner gives them."""
     found = F.expr("CASE WHEN page_id % 10 = 0 THEN array(named_struct('id', 'image-alt', 'impact', 'serious', 'description', 'Images need alt', 'nodesCount', 1)) END")
-    return audit.parsed(corpus.fixture_pages(spark, d, markup=True).select(*_CRAWLED).withColumn("html", html).withColumn("accessibility_violations", found))
+    return audit.parsed(rich_markup(spark, d).withColumn("accessibility_violations", found))
 
 
 def assets(spark: SparkSession, d: str) -> DataFrame:

@@ -112,10 +112,14 @@ def variance(spark, d):
     return v.select("p_partkey", "v.difference", "v.difference_pct", "v.verdict", "v.severity")
 
 
-def _site(spark, d):
-    """Parsed pages, their links, and the findings that the counts come from."""
+#: Findings of single pages that counts and scores read.
+_SCORED = ("missing_h1", "missing_title", "missing_meta_description")
+
+
+def _site(spark, d, kinds=None):
+    """Parsed pages, and the findings that the counts come from; ``kinds`` are those of single pages, all without them."""
     p, links = scratch.written(fx.rich_pages(spark, d), "site"), fx.links(spark, d)
-    parts = (findings.by_page(p), findings.orphans(p, links, ""), findings.duplicate_titles(p), findings.near_duplicates(p, max_pages=None), findings.scale_summary(p))
+    parts = (findings.by_page(p, kinds), findings.orphans(p, links, ""), findings.duplicate_titles(p), findings.near_duplicates(p, max_pages=None), findings.scale_summary(p))
     found = parts[0]
     for x in parts[1:]:
         found = found.unionByName(x)
@@ -124,7 +128,7 @@ def _site(spark, d):
 
 def _counts(spark, d):
     """Counts of the site, from its markup and findings."""
-    return scoring.site_counts(*_site(spark, d))
+    return scoring.site_counts(*_site(spark, d, _SCORED))
 
 
 _NEAR = f"""nw AS MATERIALIZED (SELECT page_ord AS id, {S.words('text')} AS w FROM pg), ng AS MATERIALIZED (SELECT id, unnest({S.shingles('w', 8)}) AS g FROM nw), nn AS (SELECT id, count(*) AS n FROM ng GROUP BY id),
@@ -248,7 +252,7 @@ def workbook_sheets(spark, d):
 @query(f"WITH {_COUNTS}, l(ord, label, value) AS (SELECT unnest([3, 7, 12, 13, 14, 15]), unnest(['Pages crawled', 'Overall UX Maturity', 'Orphan pages', 'Thin content pages', 'Duplicate content pages', 'Pages with accessibility issues']), unnest([total::VARCHAR, ux::VARCHAR || ' / 100 (' || (CASE WHEN ux >= 85 THEN 'Strong' WHEN ux >= 70 THEN 'Adequate' WHEN ux >= 50 THEN 'Needs Improvement' ELSE 'Critical' END) || ')', orphan_page::VARCHAR, thin::VARCHAR, (duplicate_title + near_duplicate_content)::VARCHAR, a11 || ' / ' || total]) FROM uxs) SELECT * FROM l")
 def overview(spark, d):
     """Lines of the overview that count or score."""
-    p, found = _site(spark, d)
+    p, found = _site(spark, d, _SCORED)
     made = audit.Audit({"start_url": "https://example.com/"}, p, fx.links(spark, d), sinks.asset_rows(p), sinks.interaction_rows(p), found, scratch.written(scoring.scorecard(scoring.site_counts(p, found)), "card"))
     return audit.overview(made).where(F.col("ord").isin(3, 7, 12, 13, 14, 15))
 

@@ -139,7 +139,7 @@ def _stage_values() -> str:
     rows, n = [], 0
     for jid, jname, stages in JOURNEYS:
         for sid, sname, words in stages:
-            rows.append(f"({n}, '{jid}', '{jname}', '{sid}', '{sname}', [{', '.join(repr(w) for w in words.split())}])")
+            rows.append(f"({n}, '{jid}', '{jname}', '{sid}', '{sname}', [{', '.join(repr(w) for w in words)}])")
             n += 1
     return ", ".join(rows)
 
@@ -162,6 +162,20 @@ def journey_totals(spark, d):
     return site.journeys(journey_map(spark, d)).select("journey_id", "stages_present", "stages_total")
 
 
+_OWN = f"""{S.PAGES}, cj AS (SELECT 100 + page_id % 20 AS ord, page_id % 20 AS k, regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]+)', 1) AS word FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/?#]*/[^/?#]+')),
+ch AS (SELECT DISTINCT cj.ord, cj.k, pg.page_ord, pg.url, pg.depth FROM cj, pg WHERE pg.status_code < 400 AND contains(lower(url || ' ' || coalesce(title, '')), lower(word)))"""
+
+
+@query(f"WITH {_OWN}, o AS (SELECT DISTINCT k FROM cj), b AS (SELECT k, count(*) AS page_count, min(struct_pack(d := depth, o := page_ord, u := url)) AS b FROM ch GROUP BY k) SELECT 'stage ' || o.k AS stage, b IS NOT NULL AS present, coalesce(page_count, 0) AS page_count, b.u AS example_url, b.d AS click_depth FROM o LEFT JOIN b USING (k)")
+def custom_journeys(spark, d):
+    """Journeys of one's own beside the given ones: a stage for each of twenty sets of words that the site's addresses begin with."""
+    word = F.lower(F.regexp_extract("url", r"^[a-z]+://[^/?#]*/([^/?#]+)", 1))
+    words = corpus.table(spark, d, "pages").select((F.col("page_id") % 20).alias("k"), word.alias("w")).where("w <> ''").groupBy("k").agg(F.collect_set("w").alias("w")).orderBy("k").collect()
+    own = ("own", "Own", tuple((str(r["k"]), f"stage {r['k']}", tuple(r["w"])) for r in words))
+    stages = site.journey_stages(fx.audit_pages(spark, d), site.journey_rules(spark, [own]))
+    return stages.where("journey_id = 'own'").select("stage", "present", "page_count", "example_url", "click_depth")
+
+
 _FEATURES = "fp AS (SELECT p_partkey AS page_ord, 'https://x.example/' || list_extract(['blog/1', 'help', 'Pricing/', 'jobs/2', 'cart', 'stores/5', 'blogger', 'news'], (p_partkey % 8)::INTEGER + 1) AS url FROM part)"
 
 

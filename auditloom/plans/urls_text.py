@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text, urls
 from auditloom.functions.numbers import half_up, one_place, pct_score
-from auditloom.operators import content, crawl, site
+from auditloom.operators import content, crawl, near_duplicates, site
 from auditloom.sources import corpus
 
 from . import fixtures as fx
@@ -84,7 +84,13 @@ _GROUPS = rf"""{_VARIANTS}, a AS (SELECT page_id, url, {S.host('url')} AS host,
 g AS (SELECT host, regexp_replace(lower(path), '/$', '') AS k, list_sort(list(DISTINCT url)) AS pages, count(DISTINCT path) AS paths, count(DISTINCT regexp_replace(path, '/$', '')) AS bare, min(page_id) AS first_page FROM a GROUP BY host, k)"""
 
 
-def _variants(spark, d):
+def address_variants_sql() -> str:
+    """The table vp of addresses that differ in case, a final slash, or the case of their host."""
+    return _VARIANTS
+
+
+def address_variants(spark, d):
+    """The same as a frame."""
     n = F.floor(F.col("page_id") / 5) % 40
     k = F.col("page_id") % 5
     name = lambda head, tail="": F.concat(F.lit(head), n.cast("string"), F.lit(tail))
@@ -95,13 +101,13 @@ def _variants(spark, d):
 @query(f"WITH {_GROUPS} SELECT first_page, pages FROM g WHERE len(pages) > 1 AND bare < paths")
 def url_slash_conflicts(spark, d):
     """Addresses with and without a final slash."""
-    return site.address_groups(_variants(spark, d)).where("slash_conflict").select(F.col("page_ord").alias("first_page"), "pages")
+    return site.address_groups(address_variants(spark, d)).where("slash_conflict").select(F.col("page_ord").alias("first_page"), "pages")
 
 
 @query(f"WITH {_GROUPS} SELECT first_page, pages FROM g WHERE len(pages) > 1 AND bare > 1")
 def url_case_conflicts(spark, d):
     """Addresses in several letter cases."""
-    return site.address_groups(_variants(spark, d)).where("case_conflict").select(F.col("page_ord").alias("first_page"), "pages")
+    return site.address_groups(address_variants(spark, d)).where("case_conflict").select(F.col("page_ord").alias("first_page"), "pages")
 
 
 @query(f"SELECT page_id, {S.path('url')} AS path, starts_with({S.path('url')}, '/de/') OR starts_with({S.path('url')}, '/en/1') AS blocked FROM pages")
@@ -202,7 +208,7 @@ def near_dup_rollup(spark, d):
 def near_dup_pairs(spark, d):
     """Pairs of unlike near-duplicate documents, the first of each text."""
     docs = corpus.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    firsts = docs.groupBy("text").agg(F.min("id").alias("id"))
+    firsts, _ = near_duplicates.first_texts(docs, "id")
     pairs = content.unlike_pairs(content.near_duplicate_pairs(firsts, "id"))
     return pairs.select("a", "b", (half_up(F.col("jaccard") * 1000000) / 1000000).alias("jaccard"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions import text, urls
+from auditloom.operators.ranks import numbered
 
 AUDIT = "fixture"
 
@@ -25,6 +26,14 @@ def keyset_page(df: DataFrame, key: str, after, n: int) -> DataFrame:
     return rows.orderBy(key).limit(n)
 
 
+def keyset_pages(df: DataFrame, key: str, n: int = 100) -> DataFrame:
+    """df with ``page``, the number of the page of n rows that each row falls into in the key's order, for all pages at once.
+
+    A filter on df reaches the scan. Ranges of the key are read, sorted and numbered by tasks of their own; null keys come first.
+    """
+    return numbered(df.withColumn("_all", F.lit(0)), ["_all"], [key], "_place").withColumn("page", F.floor(F.col("_place") / n)).drop("_all", "_place")
+
+
 def assets_of(assets: DataFrame, pages: DataFrame) -> DataFrame:
     """Assets whose page is in pages, each once."""
     return assets.join(pages.select("page_id"), "page_id", "left_semi")

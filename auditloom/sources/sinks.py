@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import tempfile
 import zipfile
+import zlib
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditloom.functions import dom_signals as ds
 from auditloom.functions import text, urls
@@ -126,38 +133,101 @@ def replace_audit(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("audit_id").parquet(path)
 
 
-def write_xlsx(sheets: dict[str, DataFrame], path: str) -> None:
-    """A workbook of small tables (reports of bounded size), streamed row by row into sheet parts."""
+#: Rows that a sheet may have (a limit of the format), and rows that a task packs at once.
+SHEET_ROWS, PACKED_ROWS = 1_048_576, 4_096
 
-    def cell(v) -> str:
-        if v is None:
-            return "<c/>"
-        if isinstance(v, bool):
-            return f'<c t="b"><v>{int(v)}</v></c>'
-        if isinstance(v, (int, float)):
-            return f"<c><v>{v}</v></c>"
-        if isinstance(v, (list, tuple)):
-            v = "\n".join(map(str, v))
-        clean = "".join(c for c in str(v) if c >= " " or c in "\t\n")
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean[:32767])}</t></is></c>'
 
+def _cell(v) -> str:
+    if v is None:
+        return "<c/>"
+    if isinstance(v, bool):
+        return f'<c t="b"><v>{int(v)}</v></c>'
+    if isinstance(v, (int, float)):
+        return f"<c><v>{v}</v></c>"
+    if isinstance(v, (list, tuple)):
+        v = "\n".join(map(str, v))
+    clean = "".join(c for c in str(v) if c >= " " or c in "\t\n")
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean[:32767])}</t></is></c>'
+
+
+def _row(cells) -> str:
+    return f"<row>{''.join(map(_cell, cells))}</row>"
+
+
+def sheet_chunks(df: DataFrame) -> DataFrame:
+    """A sheet's rows as markup, (rows, packed), made by the tasks that hold them; chunks are in the order of df."""
+    plain = df.select(*(F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, (T.TimestampType, T.DateType, T.DecimalType)) else F.col(f"`{f.name}`") for f in df.schema.fields))
+    # numbered names, for a sheet may have a column twice
+    plain = plain.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACKED_ROWS):
+                part = batch.slice(at, PACKED_ROWS)
+                made = "".join(_row(r) for r in zip(*(c.to_pylist() for c in part.columns), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([zlib.compress(made.encode("utf-8", "replace"), 1)])], names=["rows", "packed"])
+
+    return plain.mapInArrow(run, "rows long, packed binary")
+
+
+def write_xlsx(sheets: dict[str, DataFrame], path: str, most: int = SHEET_ROWS) -> None:
+    """A workbook of sheets of any size, at a path of the driver's.
+
+    Tasks turn rows to markup; the driver appends their packed chunks, one at a time, and looks at no row. A sheet with more rows than the
+    format allows goes on in further sheets of its name. The file appears whole or not at all.
+    """
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    names = [n[:31] for n in sheets]
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{parts}</Types>')
-        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        listed = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1))
-        z.writestr("xl/workbook.xml", f'{head}<workbook {main} xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
-        rels = "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{rels}</Relationships>')
-        for i, df in enumerate(sheets.values(), 1):
-            with z.open(f"xl/worksheets/sheet{i}.xml", "w") as f:
-                f.write(f"{head}<worksheet {main}><sheetData>".encode())
-                f.write(f"<row>{''.join(map(cell, df.columns))}</row>".encode())
-                for row in df.toLocalIterator():
-                    f.write(f"<row>{''.join(map(cell, row))}</row>".encode())
-                f.write(b"</sheetData></worksheet>")
+    names: list[str] = []
+    fd, made = tempfile.mkstemp(prefix=".workbook-", dir=os.path.dirname(os.path.abspath(path)))
+    os.close(fd)
+
+    @contextlib.contextmanager
+    def sheet(z: zipfile.ZipFile, name: str, columns: list[str]):
+        names.append(name)
+        with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as f:
+            f.write(f"{head}<worksheet {main}><sheetData>{_row(columns)}".encode())
+            yield f
+            f.write(b"</sheetData></worksheet>")
+
+    def pieces(df: DataFrame) -> Iterator[tuple[int, bytes]]:
+        """Chunks, cut so that a sheet can end at any row."""
+        for r in sheet_chunks(df).toLocalIterator():
+            text = zlib.decompress(r["packed"])
+            if r["rows"] <= most - 1:
+                yield r["rows"], text
+            else:
+                yield from ((1, row + b"</row>") for row in text.split(b"</row>")[:-1])
+
+    try:
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, df in sheets.items():
+                waiting, part, left = pieces(df), 0, None
+                while part == 0 or left is not None:
+                    part += 1
+                    tail = "" if part == 1 else f" ({part})"
+                    with sheet(z, name[: 31 - len(tail)] + tail, df.columns) as f:
+                        free = most - 1
+                        for n, text in [left] if left else []:
+                            f.write(text)
+                            free -= n
+                        left = None
+                        for n, text in waiting:
+                            if n > free:
+                                left = (n, text)
+                                break
+                            f.write(text)
+                            free -= n
+            parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
+            z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{parts}</Types>')
+            z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+            listed = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1))
+            z.writestr("xl/workbook.xml", f'{head}<workbook {main} xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
+            rels = "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
+            z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{rels}</Relationships>')
+        os.replace(made, path)
+    except BaseException:
+        os.unlink(made)
+        raise
