@@ -5,8 +5,8 @@ ordered by an estimate of how common they are, rare ones first; two sets over th
 n - ceil(t n) + 1 of each (prefix filter). Where the first shared one stands bounds what can follow (positional filter). Of the pairs that are left,
 a parity sketch of both sets bounds their symmetric difference from below (in place of a suffix filter), before the sets themselves are compared.
 
-Clusters need no table of pairs. First every member of a shingle's list is compared with two of its members only, so that a family of m near copies
-costs about 2 m comparisons; what they connect is joined to components. Only lists that still hold several components are gone
+Clusters need no table of pairs. First every member of a shingle's list is compared with one of its members only, so that a family of m near copies
+costs little more than m comparisons; what they connect is joined to components. Only lists that still hold several components are gone
 through, and there only pairs across components. No link between two classes is lost.
 """
 
@@ -180,9 +180,9 @@ def pairs(pages: DataFrame, key: str, threshold: float = 0.75, k: int = 8) -> Da
 
 
 def _starred(each: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of every member of a shingle's list with the list's first and last by size."""
-    ends = each.groupBy("h").agg(F.min(F.struct("n", "id", "place")).alias("x"), F.max(F.struct("n", "id", "place")).alias("y"))
-    star = ends.select("h", F.explode(F.array("x", "y")).alias("x")).select("h", F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("x.place").alias("placea"))
+    """Pairs of every member of a shingle's list with the list's first, by id, so that the lists of a family mostly agree on it."""
+    firsts = each.groupBy("h").agg(F.min(F.struct("id", "n", "place")).alias("x"))
+    star = firsts.select("h", F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("x.place").alias("placea"))
     return _ordered(_sided(each, "b").join(star, "h").where((F.col("a") != F.col("b")) & _possible(threshold)))
 
 

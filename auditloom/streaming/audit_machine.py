@@ -76,7 +76,7 @@ class AuditMachine(StatefulProcessor):
     def _step(self, state: dict | None, event: dict, out: list[tuple]) -> dict | None:
         kind, url = event["kind"], event["url"]
         if kind == "start" and state is None and url is not None:
-            state = {"status": "queued", "error": None, "max_pages": event["max_pages"] or 0, "max_depth": event["max_depth"] or 0, "used": 0, "outstanding": 0}
+            state = {"status": "queued", "error": None, "max_pages": int(event["max_pages"] or 0), "max_depth": int(event["max_depth"] or 0), "used": 0, "outstanding": 0}
             _move(state, "crawling", out)
             self._enqueue(state, [url], 0, out)
             self._enqueue(state, event["links"] or [], 1, out)
@@ -84,7 +84,7 @@ class AuditMachine(StatefulProcessor):
                 _move(state, "analyzing", out)
         elif kind == "page" and state is not None and state["status"] == "crawling" and self._waiting(url):
             self.seen.updateValue((url,), (True,))
-            error, depth = event["error"], event["depth"] or 0
+            error, depth = event["error"], int(event["depth"] or 0)
             if error is not None and error != BLOCKED and depth == 0:
                 _move(state, "failed", out, error)
                 return state

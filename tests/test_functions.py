@@ -1,6 +1,8 @@
 import csv
 import io
 import math
+import random
+import time
 from urllib.parse import urljoin
 
 import pytest
@@ -195,3 +197,16 @@ def test_skeleton_folds_repeats():
 @given(st.text(alphabet="<>/abp \"'=&;!-", max_size=60))
 def test_any_markup_parses(s):
     extract_page(s)
+
+
+def test_syllables_of_whole_texts(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeiouybcdxe") for _ in range(rng.randrange(1, 9))) for _ in range(400)] + ["the", "tree", "eye", "queue", "cycle", "e", "rhythm", "bee", "ae", "axe"]
+    rows = [(" ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))),) for _ in range(200)]
+    df = spark.createDataFrame(rows, "t string")
+    each = F.aggregate(F.split("t", " "), F.lit(0), lambda a, w: a + text.syllables(w))
+    assert df.select(each.alias("a"), text.syllables_of(F.col("t")).alias("b")).where("a <> b").count() == 0
+    began = time.time()
+    long = spark.createDataFrame([("x" * 200_000,), ("ab" * 100_000 + "e",), (" " * 200_000,), ("a" * 200_000 + "'",)], "t string")
+    assert long.select(text.flesch(F.col("t"))).count() == 4 and long.agg(F.sum(text.syllables_of(F.col("t")))).first()[0] == 1 + 100_000 + 0 + 1
+    assert time.time() - began < 30
