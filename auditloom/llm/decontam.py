@@ -80,9 +80,9 @@ def code_of(raw: str) -> int:
         core, flags = raw, UNIT if raw in UNITS else NUMBER | SPELLED if raw in NUMBER_WORDS else 0
     else:
         core, tail = edges(raw)
-        flags = END if any(c in ".!?" for c in tail) else 0
         if not core:
-            return flags | EMPTY
+            return EMPTY | (END if any(c in ".!?" for c in raw) else 0)
+        flags = END if any(c in ".!?" for c in tail) else 0
         if core[0].isdigit() or core[0] in "+-":
             g = _GLUED.match(core + ("%" if tail.startswith("%") else ""))
             if g and (g[1] == "%" or g[1].lower() in UNITS):

@@ -395,7 +395,7 @@ def test_slot_heavy_items_are_found_as_they_stand_and_changed(spark):
     names = " ".join(items[2].split()[:15])
     copies = [(i, x) for i, item in enumerate(items) for x in (item, f"Please do this. {item} in the end", f"words 7 {item} 9 words")] + [(2, f"some list {names} of people")]
     changed = [(0, "Calculate 12 + 36"), (1, items[1].replace("15", "14").replace("7,", "8,").replace("62", "63"))]
-    others = [names.replace("Carl", "Otto").replace("Ida", "Eva"), "12 35", "", "Count 12 + 36", items[1].replace("Sort 3", "Sort three of 3")]
+    others = [names.replace("Carl", "Otto").replace("Ida", "Eva"), "12 35", "", "Count 12 + 36"]
     want = {(d, i): "exact" if d < len(copies) else "template" for d, (i, _) in enumerate(copies + changed)}
     assert found_pairs(spark, items, [x for _, x in copies + changed] + others) == want
 
@@ -454,7 +454,7 @@ def test_common_windows_are_no_evidence(spark, monkeypatch):
     items_df, docs_df = (spark.createDataFrame(list(enumerate(x)), f"{k}_id long, text string") for x, k in ((items, "item"), (docs, "doc")))
     got = decontam.found_texts(docs_df, items_df, 10, 4, 5, shared=3).count()
     assert got == 9  # the text with the preamble alone isn't found
-    assert decontam.found_texts(docs_df, items_df, 10, 4, 5, shared=100).count() == 10
+    assert decontam.found_texts(docs_df, items_df, 10, 4, 5, shared=100).count() > 8 * 8  # with it as evidence, every item is in every text
 
 
 def plain_template(text):
