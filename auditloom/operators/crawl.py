@@ -124,17 +124,24 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     return rules.where("rule <> ''").distinct()
 
 
-def disallowed(addresses: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct (audit_id, url) of addresses whose path begins with a rule of their audit.
+def indexed_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rules (audit_id, rule), and the lengths that they have for each audit (audit_id, lengths), both written and broadcast if counted to be small."""
+    rules = scratch.written(rules, "robots-rules")
+    lengths = scratch.written(rules.groupBy("audit_id").agg(F.collect_set(F.length("rule")).alias("lengths")), "rule-lengths")
+    return _small(rules), _small(lengths)
+
+
+def disallowed(addresses: DataFrame, index: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The distinct (audit_id, url) of addresses whose path begins with a rule of their audit; index is that of ``indexed_rules``.
 
     Rules are looked up by equal prefixes: a path gives one for each length that its audit's rules have, so the cost of an address
-    grows with the lengths, not with the rules. ``rules`` is a written table (audit_id, rule).
+    grows with the lengths, not with the rules.
     """
-    lengths = scratch.written(rules.groupBy("audit_id").agg(F.collect_set(F.length("rule")).alias("lengths")), "rule-lengths")
-    paths = addresses.select("audit_id", "url").distinct().join(_small(lengths), "audit_id").withColumn("path", urls.path(F.col("url")))
+    rules, lengths = index
+    paths = addresses.select("audit_id", "url").distinct().join(lengths, "audit_id").withColumn("path", urls.path(F.col("url")))
     fitting = F.filter("lengths", lambda n: n <= F.length("path"))
     prefixes = paths.select("audit_id", "url", F.explode(F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("rule"))
-    return prefixes.join(_small(rules), ["audit_id", "rule"], "left_semi").select("audit_id", "url").distinct()
+    return prefixes.join(rules, ["audit_id", "rule"], "left_semi").select("audit_id", "url").distinct()
 
 
 def granted(new: DataFrame, left: DataFrame, order: list[str]) -> DataFrame:
@@ -165,13 +172,12 @@ def crawl_audits(links: DataFrame, audits: DataFrame, robots: DataFrame | None =
     """
     spark = links.sparkSession
     options = audits.where("audit_id IS NOT NULL AND start_url IS NOT NULL").groupBy("audit_id").agg(F.min(F.struct("start_url", "max_pages", "max_depth", "respect_robots")).alias("o"))
-    options = scratch.written(options.select("audit_id", "o.*"), "audits")
+    options = _small(scratch.written(options.select("audit_id", "o.*"), "audits"))
     edges = links.select("audit_id", F.col("source_url").alias("from"), F.col("target_url").alias("url")).where("url IS NOT NULL").where(~urls.is_non_page(F.col("url")))
-    edges = scratch.written(edges.join(_small(options.select("audit_id")), "audit_id", "left_semi").distinct(), "crawl-links")
-    rules = None
+    edges = scratch.written(edges.join(options.select("audit_id"), "audit_id", "left_semi").distinct(), "crawl-links")
+    index = None
     if robots is not None:
-        heeding = options.where("respect_robots").select("audit_id")
-        rules = scratch.written(robots_rules(robots.join(_small(heeding), "audit_id", "left_semi")), "robots-rules")
+        index = indexed_rules(robots_rules(robots.join(options.where("respect_robots").select("audit_id"), "audit_id", "left_semi")))
     table = BucketedTable(spark, "crawl_seen", "audit_id string, url string, depth int, error string", ("audit_id", "url"))
     used = options.select("audit_id", F.lit(0).cast("long").alias("used"))
 
@@ -180,17 +186,17 @@ def crawl_audits(links: DataFrame, audits: DataFrame, robots: DataFrame | None =
         nonlocal used
         left = options.join(used, "audit_id").select("audit_id", (F.col("max_pages") - F.col("used")).alias("left"))
         rows = granted(new, left, order).select("audit_id", "url")
-        if rules is not None:
-            blocked = disallowed(rows, rules).withColumn("error", F.lit(BLOCKED))
+        if index is not None:
+            blocked = disallowed(rows, index).withColumn("error", F.lit(BLOCKED))
             rows = rows.join(blocked, ["audit_id", "url"], "left")
         else:
             rows = rows.withColumn("error", F.lit(None).cast("string"))
         rows = scratch.written(rows.select("audit_id", "url", F.lit(depth).alias("depth"), "error"), "crawl-level")
-        counts = rows.groupBy("audit_id").agg(F.count("*").alias("n"))
-        used = scratch.written(used.join(counts, "audit_id", "left").select("audit_id", (F.col("used") + F.coalesce("n", F.lit(0))).alias("used")), "crawl-used")
         n = rows.count()
         if n:
             table.append(rows)
+            counts = rows.groupBy("audit_id").agg(F.count("*").alias("n"))
+            used = scratch.written(used.join(counts, "audit_id", "left").select("audit_id", (F.col("used") + F.coalesce("n", F.lit(0))).alias("used")), "crawl-used")
         return n
 
     def unseen(new: DataFrame) -> DataFrame:
@@ -198,11 +204,11 @@ def crawl_audits(links: DataFrame, audits: DataFrame, robots: DataFrame | None =
 
     take(options.select("audit_id", F.col("start_url").alias("url")), 0, ["url"])
     if seeds is not None:
-        named = seeds.join(_small(options.select("audit_id")), "audit_id", "left_semi").where("url IS NOT NULL").groupBy("audit_id", "url").agg(F.min("ord").alias("ord"))
+        named = seeds.join(options.select("audit_id"), "audit_id", "left_semi").where("url IS NOT NULL").groupBy("audit_id", "url").agg(F.min("ord").alias("ord"))
         take(scratch.written(unseen(named), "crawl-seeds"), 1, ["ord", "url"])
     deepest = options.agg(F.max("max_depth")).first()[0] or 0
     for depth in range(deepest):
-        frontier = table.read().where((F.col("depth") == depth) & F.col("error").isNull()).join(_small(options.where(F.col("max_depth") > depth).select("audit_id")), "audit_id", "left_semi")
+        frontier = table.read().where((F.col("depth") == depth) & F.col("error").isNull()).join(options.where(F.col("max_depth") > depth).select("audit_id"), "audit_id", "left_semi")
         found = frontier.select("audit_id", F.col("url").alias("from")).join(edges, ["audit_id", "from"]).select("audit_id", "url").distinct()
         new = scratch.written(unseen(found), "crawl-found")
         if not take(new, depth + 1, ["url"]) and table.read().where(F.col("depth") > depth).isEmpty():

@@ -12,6 +12,7 @@ through, and there only pairs across components. No link between two classes is
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from auditloom.functions import text
 
 from .components import connected_components
 
-#: Buckets of the estimate of how common a shingle is; bits of a sketch, in 64s; rows of a side that is broadcast.
-BUCKETS, WORDS, SMALL = 1 << 16, 16, 200_000
+#: Buckets of the estimate of how common a shingle is (a byte each goes to the tasks), and of a slice of them; bits of a sketch, in 64s; rows of a side that is broadcast.
+BUCKETS, SLICE, WORDS, SMALL = 1 << 20, 1 << 16, 16, 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,17 +110,43 @@ def representatives(sets: DataFrame, same: DataFrame) -> DataFrame:
     return sets.join(_small(same.select(F.col("b").alias("id")).distinct()), "id", "left_anti")
 
 
-def _commonness(sets: DataFrame) -> list[int]:
-    """For each bucket of hashes the logarithm of the number of texts with a shingle in it, above the mean."""
-    each = sets.select(F.explode("s").alias("h")).select(F.expr(f"h & {BUCKETS - 1}").cast("int").alias("bucket"))
-    found = {r["bucket"]: r["count"] for r in each.groupBy("bucket").count().collect()}
-    mean = sum(found.values()) / BUCKETS
-    return [max(0, int(np.log2(found.get(b, 0) / mean))) if found.get(b, 0) > 2 * mean else 0 for b in range(BUCKETS)]
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts of the buckets of all its shingles, packed in slices."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        total += np.bincount(batch.column(0).flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+    blobs = [zlib.compress(part.astype(np.uint32 if part.max() < 1 << 32 else np.uint64).tobytes(), 1) for part in total.reshape(-1, SLICE)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs)], names=["slice", "counts"])
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = zlib.decompress(blob)
+    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * SLICE else np.uint64)
+
+
+def _added(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts of a slice."""
+    total, at = np.zeros(SLICE, np.uint64), None
+    for batch in groups:
+        for at, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            total += _unpacked(blob)
+    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)])], names=["slice", "counts"])
+
+
+def commonness(sets: DataFrame) -> np.ndarray:
+    """For each bucket of hashes, how far the number of its shingles stands out from chance: 0, or one more than the binary logarithm of the excess."""
+    slices = sets.select("s").mapInArrow(_counted, "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary").collect()
+    found = np.zeros(BUCKETS)
+    for r in slices:
+        found[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = _unpacked(r["counts"])
+    usual = np.median(found)
+    excess = found - usual - 5 * np.sqrt(usual)
+    return np.where(excess >= 1, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     """(id, n, h, place) of the first shingles of every set, in an order from rare to common; only those that two sets or more have. Written."""
-    weight = np.array(_commonness(sets), dtype=np.uint8)
+    weight = commonness(sets)
     kind = sets.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,11 @@ _ROBOTS = ("", "User-agent: *\nDisallow: /de/\n disallow:/en/1\n", "Disallow: /a
 _RULES = [(k, line.split(":", 1)[1].strip()) for k, txt in enumerate(_ROBOTS) for line in txt.split("\n") if line.strip().lower().startswith("disallow:") and line.split(":", 1)[1].strip()]
 
 
+def _each():
+    """The audits' ids."""
+    return F.array(*(F.lit(f"a{k}") for k in range(5)))
+
+
 def _audits(spark, d):
     """An audit for each region, which differ in start, budget, depth and heed of robots."""
     r = corpus.table(spark, d, "region")
@@ -46,7 +51,7 @@ def _graph(spark, d):
     p = corpus.table(spark, d, "pages").select("page_id", "url")
     named = p.select(F.col("url").alias("source_url"), F.explode(F.array(F.col("page_id") * 2, F.col("page_id") * 2 + 1, F.col("page_id") * 3)).alias("page_id"))
     each = named.join(p.withColumnRenamed("url", "target_url"), "page_id").select("source_url", "target_url")
-    return each.withColumn("audit_id", F.concat(F.lit("a"), F.explode(F.sequence(F.lit(0), F.lit(4))).cast("string")))
+    return each.withColumn("audit_id", F.explode(_each()))
 
 
 _AUDITS = f"""au AS (SELECT 'a' || r_regionkey AS audit_id, r_regionkey AS k, url AS start_url, 8 + r_regionkey * 9 AS max_pages, 1 + r_regionkey % 3 AS max_depth FROM region JOIN pages ON page_id = r_regionkey * 3 + 1),
@@ -79,8 +84,8 @@ def crawl_audits(spark, d):
 @query(f"WITH {_AUDITS} SELECT au.audit_id, url FROM au JOIN ru USING (k), pages WHERE starts_with({S.path('url')}, rule) GROUP BY au.audit_id, url")
 def disallowed_by_audit(spark, d):
     """Addresses that each audit's robots text excludes."""
-    rules = crawl.robots_rules(_audits(spark, d).select("audit_id", "txt"))
-    each = corpus.table(spark, d, "pages").select("url", F.concat(F.lit("a"), F.explode(F.sequence(F.lit(0), F.lit(4))).cast("string")).alias("audit_id"))
+    rules = crawl.indexed_rules(crawl.robots_rules(_audits(spark, d).select("audit_id", "txt")))
+    each = corpus.table(spark, d, "pages").select("url", F.explode(_each()).alias("audit_id"))
     return crawl.disallowed(each, rules)
 
 
