@@ -53,6 +53,8 @@ UNITS = frozenset((
     "dollars", "euro", "euros", "usd", "eur", "cent", "cents", "percent", "degrees", "kmh", "mph", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb",
     "w", "kw", "v", "a",
 ))
+_KNOWN = {**dict.fromkeys(NUMBER_WORDS, NUMBER | SPELLED), **dict.fromkeys(UNITS, UNIT)}
+_ENDS = frozenset(".!?")
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*\Z")
 _GLUED = re.compile(r"[+-]?\d[\d.,]*([^\W\d_]+|%)\Z")
 _SLOT = {NUMBER: np.uint64(0x1111111111111100), QUANTITY: np.uint64(0x2222222222222200), NAME: np.uint64(0x3333333333333300)}
@@ -77,23 +79,24 @@ def edges(raw: str) -> tuple[str, str]:
 def code_of(raw: str) -> int:
     """64 bits for a raw word: the hash of its core, and flags in the lowest eight."""
     if raw.isalpha() and raw.islower():
-        core, flags = raw, UNIT if raw in UNITS else NUMBER | SPELLED if raw in NUMBER_WORDS else 0
+        core, flags = raw, _KNOWN.get(raw, 0)
     else:
         core, tail = edges(raw)
         if not core:
             return EMPTY | (END if any(c in ".!?" for c in raw) else 0)
-        flags = END if any(c in ".!?" for c in tail) else 0
+        flags = END if tail and not _ENDS.isdisjoint(tail) else 0
+        low = core.lower()
         if core[0].isdigit() or core[0] in "+-":
             g = _GLUED.match(core + ("%" if tail.startswith("%") else ""))
             if g and (g[1] == "%" or g[1].lower() in UNITS):
                 flags |= QUANTITY
             elif _NUMBER.match(core):
                 flags |= NUMBER
-        elif core[0].isalpha() and all(x in NUMBER_WORDS for x in core.lower().split("-")):
+        elif low in NUMBER_WORDS or "-" in low and all(x in NUMBER_WORDS for x in low.split("-")):
             flags |= NUMBER | SPELLED
         elif core[0].isupper() and core[1:].islower():
             flags |= NAME
-        core = core.lower()
+        core = low
         if core in UNITS:
             flags |= UNIT
     return (xxhash.xxh64_intdigest(core.encode("utf-8", "surrogatepass")) & ~0xFF) | flags
@@ -103,7 +106,7 @@ class Codes(dict):
     """Codes of raw words; forgets all when full, so that memory stays bounded."""
 
     def __missing__(self, raw: str) -> int:
-        if len(self) > 150_000:
+        if len(self) > 300_000:
             self.clear()
         c = self[raw] = code_of(raw)
         return c
