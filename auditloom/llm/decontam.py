@@ -83,7 +83,7 @@ def code_of(raw: str) -> int:
     else:
         core, tail = edges(raw)
         if not core:
-            return EMPTY | (END if any(c in ".!?" for c in raw) else 0)
+            return EMPTY
         flags = END if tail and not _ENDS.isdisjoint(tail) else 0
         low = core.lower()
         if core[0].isdigit() or core[0] in "+-":

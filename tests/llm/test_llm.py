@@ -402,7 +402,7 @@ def test_slot_heavy_items_are_found_as_they_stand_and_changed(spark):
 
 def test_arithmetic_items_are_found(spark):
     items = ["3 + 4 = 7 and 12 * 5 = 60 so 99 - 7 = 92 and 8 / 2 = 4", "Compute 17 * 23 .", "A train leaves the station at 9:15 and travels 120 km in 2 hours before it stops for 15 minutes at the next town"]
-    docs = [*(f"Exercise. {x} Then go on." for x in items), "Exercise. " + items[2].replace("9:15", "7:40").replace("120 km", "340 km").replace("2 hours", "4 hours").replace("15 minutes", "35 minutes"), "... Compute 18 * 29 .", "3 + 4 = 8 and 12 * 5 = 60", "Compute 18 * 18 * 29", "We compute 5 of them"]
+    docs = [*(f"Exercise. {x} Then go on." for x in items), "Exercise. " + items[2].replace("9:15", "7:40").replace("120 km", "340 km").replace("2 hours", "4 hours").replace("15 minutes", "35 minutes"), "Go on. Compute 18 * 29 .", "3 + 4 = 8 and 12 * 5 = 60", "Compute 18 * 18 * 29", "We compute 5 of them"]
     # two numbers that differ in the item may be the same elsewhere, but not the other way round
     assert found_pairs(spark, items, docs) == {(0, 0): "exact", (1, 1): "exact", (2, 2): "exact", (3, 2): "template", (4, 1): "template", (6, 1): "template"}
 
