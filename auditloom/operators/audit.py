@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,19 +19,21 @@ from . import content, findings, scoring, site
 _VIOLATIONS = "array<struct<id:string,impact:string,description:string,nodesCount:int>>"
 
 
-def parsed(pages: DataFrame) -> DataFrame:
+def parsed(pages: DataFrame, fields: Iterable[str] = tuple(markup.FIELDS)) -> DataFrame:
     """Crawled pages with everything that their markup says; the markup is parsed once and whole, in the column ``dom``, and cut where it is kept.
 
     Accessibility violations are those of the column of that name, where a scanner in a browser made one, else what the rules for markup find.
+    ``fields`` are those of ``dom`` that are asked for; columns that rest on others are left out.
     """
-    p = pages.withColumn("dom", markup.dom(F.col("html")))
-    given = F.col("accessibility_violations") if "accessibility_violations" in pages.columns else F.col("dom.violations")
-    made = p.select(
-        *(c for c in pages.columns if c != "accessibility_violations"), "dom",
-        *(F.col(f"dom.{c}").alias(c) for c in ("title", "meta_description", "h1_text", "canonical", "lang", "word_count")),
-        ds.hreflang(F.col("dom"), F.col("url")).alias("hreflang"), F.col("dom.visible_text").alias("text"), F.col("dom.client_rendered").alias("is_client_rendered"),
-        markup.fingerprint(F.col("dom")).alias("template_fingerprint"), F.coalesce(given, F.array().cast(_VIOLATIONS)).alias("accessibility_violations"),
-    )
+    fields, d = tuple(fields), F.col("dom")
+    given = F.col("accessibility_violations") if "accessibility_violations" in pages.columns else d["violations"]
+    columns = {
+        **{c: (c, lambda c=c: d[c]) for c in ("title", "meta_description", "h1_text", "canonical", "lang", "word_count")},
+        "hreflang": ("hreflang", lambda: ds.hreflang(d, F.col("url"))), "text": ("visible_text", lambda: d["visible_text"]), "is_client_rendered": ("client_rendered", lambda: d["client_rendered"]),
+        "template_fingerprint": ("skeleton", lambda: markup.fingerprint(d)), "accessibility_violations": ("violations", lambda: F.coalesce(given, F.array().cast(_VIOLATIONS))),
+    }
+    p = pages.withColumn("dom", markup.dom(F.col("html"), fields))
+    made = p.select(*(c for c in pages.columns if c != "accessibility_violations"), "dom", *(make().alias(c) for c, (field, make) in columns.items() if field in fields))
     return corpus.stored(made)
 
 

@@ -134,8 +134,8 @@ def long_pages(spark, d):
     n = F.col("page_id").cast("string")
     html = F.concat(F.lit("<html lang=en><title>t</title><body>"), F.repeat(F.lit("word "), _LONG // 5), F.repeat(F.lit("more "), (F.col("page_id") % 7).cast("int")), F.lit('<a href="/far/'), n, F.lit('">far</a></body></html>'))
     pages = corpus.table(spark, d, "pages").select("page_id", F.col("page_id").alias("page_ord"), "url", html.alias("html"))
-    p = audit.parsed(pages)
-    return sinks.link_rows(p).join(p.select("page_id", "word_count"), "page_id").select("page_id", "target_url", F.col("word_count").cast("long").alias("word_count"))
+    p = audit.parsed(pages, ("anchors", "word_count"))
+    return sinks.link_rows(p, "word_count").select("page_id", "target_url", F.col("word_count").cast("long").alias("word_count"))
 
 
 _TAGGED = "'?a=1&b=2&c=3&d=' || page_id || '&utm_source=x'"

@@ -104,10 +104,10 @@ def payload_json(audit: dict, pages: DataFrame, findings: DataFrame, card: DataF
     return row.select(F.to_json(document).alias("json"))
 
 
-def link_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, source_url, target_url, is_internal) from parsed pages."""
-    each = pages.select("page_id", F.col("url").alias("source_url"), F.explode(ds.links(F.col("dom"), F.col("url"))).alias("l"))
-    return each.select("page_id", "source_url", F.col("l.url").alias("target_url"), "l.is_internal")
+def link_rows(pages: DataFrame, *keep: str) -> DataFrame:
+    """(page_id, source_url, target_url, is_internal) from parsed pages, and the columns of the page to keep."""
+    each = pages.select("page_id", F.col("url").alias("source_url"), *keep, F.explode(ds.links(F.col("dom"), F.col("url"))).alias("l"))
+    return each.select("page_id", "source_url", F.col("l.url").alias("target_url"), "l.is_internal", *keep)
 
 
 def asset_rows(pages: DataFrame) -> DataFrame:
