@@ -72,17 +72,19 @@ def is_sitemap_index(xml: Column) -> Column:
     return xml.rlike(r"(?i)<sitemapindex[\s>]")
 
 
-def sitemap_urls(sitemaps: DataFrame, candidates: DataFrame, root_host: str, most_files: int = 10, most_urls: int = 2000) -> DataFrame:
+def sitemap_urls(sitemaps: DataFrame, candidates: DataFrame, root_host: str, most_files: int = 10, most_urls: int | None = 2000) -> DataFrame:
     """Page addresses (url, ord) that the candidate sitemaps name, through one level of indexes.
 
-    sitemaps(url, xml) stands for the web; candidates(url, ord). At most ``most_files`` files are read, in order.
+    sitemaps(url, xml) stands for the web; candidates(url, ord). At most ``most_files`` files are read, in order, and the first
+    ``most_urls`` addresses kept; ``None`` keeps all.
     """
     top = candidates.orderBy("ord").limit(most_files).join(sitemaps, "url").select(F.col("ord").alias("i"), F.lit(-1).alias("j"), "url", "xml")
     nested = top.where(is_sitemap_index(F.col("xml"))).select("i", F.posexplode(locations(F.col("xml"))).alias("j", "url")).join(sitemaps, "url").select("i", "j", "url", "xml")
     read = top.unionByName(nested).orderBy("i", "j").limit(most_files)
     each = read.where(~is_sitemap_index(F.col("xml"))).select("i", "j", F.posexplode(locations(F.col("xml"))).alias("k", "url"))
     good = each.where((urls.host(F.col("url")) == root_host) & ~urls.is_non_page(F.col("url")))
-    return good.groupBy("url").agg(F.min(F.struct("i", "j", "k")).alias("ord")).orderBy("ord").limit(most_urls)
+    found = good.groupBy("url").agg(F.min(F.struct("i", "j", "k")).alias("ord"))
+    return found if most_urls is None else found.orderBy("ord").limit(most_urls)
 
 
 def reachable(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None, robots_txt: str | None = None) -> DataFrame:

@@ -2,6 +2,10 @@
 
 import random
 
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from auditloom.functions import html as markup
 from auditloom.plans import catalog
 
@@ -27,3 +31,35 @@ def test_words_are_counted_as_split_counts_them():
     for n in range(200):
         text = "".join(rng.choices("ab \t\n\x0b\x1c\x85\xa0\u1680\u2003\u2028\u3000\u3001\U0001f600\ud800", k=n))
         assert markup.count_words(text) == len(text.split())
+
+
+def settled(v):
+    if isinstance(v, (list, tuple)):
+        return tuple(map(settled, v))
+    return round(v, 6) if isinstance(v, float) else v
+
+
+@pytest.fixture
+def agrees(spark, tmp_path):
+    """Whether a query has the rows of its SQL on pages made by a function from the fixture's."""
+
+    def check(name, made):
+        made(spark.read.parquet(f"{SF}/pages.parquet")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.execute(f"SELECT {', '.join(f'"{c}"' for c in got.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(repr, map(settled, got.collect()))) == sorted(map(repr, map(settled, want)))
+        return want
+
+    return check
+
+
+def many_addresses(pages):
+    """Ninety times as many pages, all addresses apart and on the start's host."""
+    at = F.col("page_id") * 90 + F.col("k")
+    return pages.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(89)))).select(at.alias("page_id"), F.concat(F.lit("https://h.example/p"), at.cast("string")).alias("url"), "html")
+
+
+def test_sitemaps_of_more_than_two_thousand_addresses(agrees):
+    assert len(agrees("sitemap_seeds", many_addresses)) > 2000
