@@ -129,9 +129,10 @@ def duplicate_titles(pages: DataFrame) -> DataFrame:
 def accessibility(pages: DataFrame) -> DataFrame:
     """One finding for each rule; impact and description are those of the first page."""
     each = pages.select("page_ord", "url", F.posexplode("accessibility_violations").alias("pos", "v")).select("page_ord", "pos", "url", "v.id", "v.impact", "v.description")
-    by = each.groupBy("id").agg(F.countDistinct("url").alias("n"), F.min(F.struct("page_ord", "pos", "impact", "description")).alias("f"))
+    # an address may be that of several pages
+    by = each.groupBy("id").agg(F.countDistinct("page_ord").alias("n"), F.min(F.struct("page_ord", "pos", "impact", "description")).alias("f"))
     place = F.row_number().over(_window("id"))
-    firsts = each.groupBy("id", "url").agg(F.min("page_ord").alias("page_ord")).withColumn("r", place).where(F.col("r") <= SAMPLE).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("page_ord", "url"))).alias("s"))
+    firsts = each.select("id", "page_ord", "url").distinct().withColumn("r", place).where(F.col("r") <= SAMPLE).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("page_ord", "url"))).alias("s"))
     row = by.join(firsts, "id").orderBy("f")
     title = F.concat(F.lit("Accessibility: "), F.col("f.description"))
     why = F.concat(F.lit("Rule "), F.col("id"), F.lit(" ("), F.col("f.impact"), F.lit(") on "), F.col("n").cast("string"), F.lit(" page(s)."))
@@ -144,7 +145,7 @@ def _window(key: str):
 
 def tech_stack(pages: DataFrame) -> DataFrame:
     each = site.tech_stack(pages).select("page_ord", "url", "kind", "name").distinct()
-    by = each.groupBy("kind", "name").agg(F.countDistinct("url").alias("n"), F.min("page_ord").alias("first"))
+    by = each.groupBy("kind", "name").agg(F.countDistinct("page_ord").alias("n"), F.min("page_ord").alias("first"))
     firsts = each.withColumn("r", F.row_number().over(Window.partitionBy("kind", "name").orderBy("page_ord"))).where(F.col("r") <= SAMPLE).groupBy("kind", "name").agg(F.array_sort(F.collect_list(F.struct("page_ord", "url"))).alias("s"))
     row = by.join(firsts, ["kind", "name"]).orderBy("kind", "first", "name")
     what = F.when(F.col("kind") == "cms_detected", "Platform: ").otherwise("Script framework: ")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditloom import scratch
 from auditloom.operators import audit, crawl, findings, site
 from auditloom.sources import corpus, sinks
 
@@ -122,7 +123,8 @@ _TEXTS = {"document-title": "Documents must have <title> element to aid in navig
     FROM sc JOIN tx ON tx.id = v.id WHERE v.nodes > 0 GROUP BY description, v.impact""")
 def accessibility_from_markup(spark, d):
     """Accessibility findings made from the markup of all pages."""
-    return findings.accessibility(audit.parsed(fx.rich_markup(spark, d))).select("title", "severity", "affected_page_count", "affected_urls_sample")
+    p = audit.parsed(fx.rich_markup(spark, d), ("violations",)).select("page_ord", "url", "accessibility_violations")
+    return findings.accessibility(scratch.written(p, "violations")).select("title", "severity", "affected_page_count", "affected_urls_sample")
 
 
 _LONG = 210_000
