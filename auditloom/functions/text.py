@@ -56,13 +56,22 @@ def flesch(text: Column) -> Column:
     return F.when(n >= 20, one_place(206.835 - 1.015 * (n / sentences) - 84.6 * (sounds / n)))
 
 
+#: The character references that plain markup has; ampersands last.
+REFERENCES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
 def unescaped(text: Column) -> Column:
-    """The character references that plain markup has; ampersands last."""
-    for name, char in (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    """Plain markup's character references as characters; others stay as they are."""
+    for name, char in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
 
+def plain_references(html: Column) -> Column:
+    """Markup of which a parser decodes what ``unescaped`` does: all other ampersands are written as references to themselves."""
+    return F.regexp_replace(html, "&(?!(?:" + "|".join(name[1:-1] for name, _ in REFERENCES) + ");)", "&amp;")
+
+
 def visible_text(html: Column) -> Column:
     """Text of the body without scripts, styles and comments; block tags separate words. For malformed markup see the parser in ``html``."""
     body = F.regexp_replace(html, r"(?is)^.*?<body[^>]*>", "")
