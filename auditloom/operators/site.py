@@ -29,8 +29,8 @@ def orphan_pages(pages: DataFrame, links: DataFrame, start_url: str) -> DataFram
 
 
 def links_out(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """page_ord, url, internal_links_out; 0 where a page has none."""
-    n = links.where("is_internal").groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n"))
+    """page_ord, url, internal_links_out; 0 where a page has none. Links are those of an address, each once, also where several pages have it."""
+    n = links.where("is_internal").select(F.col("source_url").alias("url"), "target_url").distinct().groupBy("url").agg(F.count("*").alias("n"))
     return pages.select("page_ord", "url").join(n, "url", "left").select("page_ord", "url", F.coalesce("n", F.lit(0)).alias("internal_links_out"))
 
 

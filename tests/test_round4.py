@@ -93,3 +93,7 @@ def test_references_that_are_cut_short_are_text_to_the_fixtures(agrees):
 
 def test_links_are_rows_of_each_page_of_their_address(agrees):
     assert agrees("extracted_rows", shared_addresses)
+
+
+def test_inventory_counts_each_link_of_an_address_once(agrees):
+    assert agrees("page_inventory", lambda pages: shared_addresses(cut_titles(pages)))
