@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.scratch import cut, shared_dir, written  # noqa: F401
+from auditloom.scratch import cut, mark, release, shared_dir, written  # noqa: F401
 
 #: The whitespace of all contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"

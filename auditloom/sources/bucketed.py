@@ -22,8 +22,10 @@ class BucketedTable:
         self.path = scratch.fresh_path(spark, self.table)
         self._begun = False
 
-    def append(self, rows: DataFrame) -> None:
-        writer = rows.repartition(self.buckets, *self.keys).write.format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys)
+    def append(self, rows: DataFrame, dealt: bool = False, **options: str) -> None:
+        """dealt: the rows lie by their keys in as many partitions as there are buckets already."""
+        rows = rows if dealt else rows.repartition(self.buckets, *self.keys)
+        writer = rows.write.format("parquet").options(**options).bucketBy(self.buckets, *self.keys).sortBy(*self.keys)
         if self._begun:
             writer.mode("append").saveAsTable(self.table)
         else:

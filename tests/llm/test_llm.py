@@ -7,7 +7,9 @@ from collections import Counter
 from urllib.parse import urljoin
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from auditloom.llm import common, decontam, exact_dedup, hashed_text, hpylm, language_id, mixing, ngram_join, pii, quality, queries, secrets, url_filter
@@ -695,6 +697,50 @@ def test_model_of_awkward_rows(awkward, empty):
     assert hpylm.score(empty, F.lit(True)).count() == 0
 
 
+def test_each_rare_context_has_its_own_restaurant(spark):
+    """Before, these contexts were hashed to one of 4,096 places at least, and to 2**23 at most."""
+    at: dict = {}
+    for i in range(100_000):
+        other = at.setdefault((xxhash.xxh64_intdigest(f"u{i}".encode()) >> 8) & 4095, i)
+        if other != i:
+            break
+    rows = [(j, f"u{c} w{k}", True) for j, (c, k) in enumerate([(other, 0), (i, 1)] * 20 + [(100_000 + k, k % 50) for k in range(200)])]
+    rows += [(1000, f"u{other} w0", False), (1001, f"u{other} w1", False), (1002, f"u{i} w1", False), (1003, f"u{i} w0", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    got = {r["doc_id"]: r["score"] for r in hpylm.score(df, F.col("learn"), sample_rows=1).collect()}
+    assert got[1000] - got[1001] > 1 and got[1002] - got[1003] > 1
+
+
+def test_rare_and_hot_contexts_score_alike(spark):
+    docs = docs_of(spark)
+    learn = common.id_mod(docs["doc_id"], 7) != 2
+    hot, rare = ({r["doc_id"]: r for r in hpylm.score(docs, learn, **a).collect()} for a in ({}, {"sample_rows": 1}))
+    assert hot.keys() == rare.keys() and all(hot[i][c] == rare[i][c] for i in hot for c in ("n_tokens", "n_known", "train_tokens"))
+    a, b = (np.array([r[i]["score"] for i in sorted(r)]) for r in (hot, rare))
+    assert np.abs(b / a - 1).max() < 0.03 and abs(b.sum() / a.sum() - 1) < 0.003
+
+
+def test_rare_totals_reach_each_bucket_that_asks():
+    rng, hots, parts = np.random.default_rng(2), 3, 4
+    known = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64) << np.uint64(1))
+    tables, customers, asked, buckets = {}, {}, [], {}
+    for n in range(5):
+        rare = np.sort(rng.choice(known, 100, replace=False))
+        ctx, train = np.arange(hots + 100), rng.integers(0, 400, hots + 100).astype(np.uint32)
+        k = buckets[n] = hpylm.Bucket(np.array([2], np.uint64).tobytes(), np.array([hots + 100], np.uint32).tobytes(), hpylm.pack24(ctx), train.tobytes(), rare.tobytes())
+        t = np.minimum(k.train, rng.integers(1, 300, hots + 100))
+        for h, x, c in zip(rare.tolist(), t[hots:].tolist(), k.train[hots:].tolist(), strict=True):
+            tables[h], customers[h] = tables.get(h, 0) + x, customers.get(h, 0) + c
+        asked += k.asked(n, t, hots, parts)
+    columns = [*zip(*asked, strict=True), *([None] * len(asked) for _ in hpylm._SLICED)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, hpylm._ASKED.types, strict=True)], schema=hpylm._ASKED)
+    told = [r for b in hpylm._told(iter([batch])) for r in b.to_pylist()]
+    g = hpylm.Global(np.ones(hots), np.ones(hots + hpylm.FIXED), hots, 1.0, 1.0)
+    for n, k in buckets.items():
+        own = k.seated(g, [r for r in told if r["bucket"] == n])
+        assert own.tables[hots:].tolist() == [tables[h] for h in k.rare.tolist()] and own.customers[hots:].tolist() == [customers[h] for h in k.rare.tolist()]
+
+
 # addresses
 
 
